@@ -11,6 +11,7 @@ from swipeline.llm.mixing import mix
 from swipeline.llm.packing import pack
 from swipeline.llm.quality import quality
 from swipeline.llm.simhash import simhash_dedup
+from swipeline.llm.substring import substring_dedup
 from swipeline.llm.toxicity import toxicity
 
 
@@ -32,6 +33,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -46,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_mixing, op5_toxicity, op7_quality, op8_exact_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_mixing, op5_toxicity, op6_substring, op7_quality, op8_exact_dedup, op10_simhash)}
 
 ORACLE_SQL = {
     "op4_mixing": r"""
