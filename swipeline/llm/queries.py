@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swipeline.llm.common import lower_ascii
+from swipeline.llm.common import lower_ascii, scratch
 from swipeline.llm.exact_dedup import exact_dedup
+from swipeline.llm.hnsw import embedding_dedup
+from swipeline.llm.licenses import license_scan
 from swipeline.llm.mixing import mix
 from swipeline.llm.packing import pack
 from swipeline.llm.quality import quality
 from swipeline.llm.simhash import simhash_dedup
 from swipeline.llm.substring import substring_dedup
+from swipeline.llm.token_counts import document_counts, TokenRollup
 from swipeline.llm.toxicity import toxicity
 
 
@@ -19,11 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -48,11 +59,30 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), "doc_id", F.sha2(text, 256).alias("text_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches over all documents: all inserted, those labelled toxic deleted, those of low quality revised.
+
+    A revision counts a text again without its runs of symbols; the last batch is committed twice, which changes nothing.
+    """
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rollup = TokenRollup(spark, scratch(spark, "token-rollup"))
+    inserts = document_counts(docs).withColumn("op", F.lit("insert"))
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    deletes = toxic.withColumn("op", F.lit("delete"))
+    poor = labels.filter("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    clean = F.regexp_replace("text", r"[!*$%&#|]+", "")
+    revised = document_counts(docs.join(poor, "doc_id", "left_semi").withColumn("text", clean)).withColumn("op", F.lit("revise"))
+    for number, changes in enumerate((inserts, deletes, revised)):
+        rollup.commit(number, changes)
+    rollup.commit(2, revised)
+    return rollup.totals()
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_mixing, op5_toxicity, op6_substring, op7_quality, op8_exact_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_embedding_dedup, op4_mixing, op5_toxicity, op6_substring, op7_quality, op8_exact_dedup, op9_token_counts, op10_simhash)}
 
 ORACLE_SQL = {
     "op4_mixing": r"""
