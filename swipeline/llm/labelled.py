@@ -27,7 +27,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, fit_rows: in
     share = [min(1.0, fit_rows / 2 / max(1, k)) for k in n]
     chance = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.filter(chance < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).select(F.col("doc_id").alias("_id"), "y")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.coalesce("text", F.lit("")).alias("text"), "y")
     return cut(rows), n
 
 

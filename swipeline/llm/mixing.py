@@ -53,14 +53,16 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows with the columns of ``docs``: a document taken twice is there twice.
 
     A document cut at its source's budget gives its first words, joined by one space, with n_chars (if there) to match.
+    Documents without words, null texts too, are not in it; a null doc_id or source is a value like others; other
+    columns are carried. An empty table gives no rows.
     """
     plan = mix(docs.withColumn("_row", row_key()), carry=("_row",), **options).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_key"), "size", "taken").distinct()
-    copies = F.filter(F.array(*(F.least("size", F.col("taken") - k * F.col("size")) for k in range(options.get("most", 2)))), lambda n: n > 0)
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).distinct()
+    copies = F.filter(F.array(*(F.least("_size", F.col("_taken") - k * F.col("_size")) for k in range(options.get("most", 2)))), lambda n: n > 0)
     rows = docs.withColumn("_row", row_key()).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
     rows = rows.withColumn("_n", F.explode(copies))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_n").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_n") < F.col("size"), part).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(F.col("_n") < F.col("_size"), part).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_n") < F.col("size"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col("_n") < F.col("_size"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
