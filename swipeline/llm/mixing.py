@@ -54,12 +54,25 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document cut at its source's budget gives its first words, joined by one space, with n_chars (if there) to match.
     Documents without words, null texts too, are not in it; a null doc_id or source is a value like others; other
-    columns are carried. An empty table gives no rows.
+    columns are carried. Of repeated rows, which are alike but for what their source's cut leaves of them, the first take
+    whole copies and a later one the rest; a source has one such group at most. An empty table gives no rows.
     """
-    plan = mix(docs.withColumn("_row", row_key()), carry=("_row",), **options).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).distinct()
-    copies = F.filter(F.array(*(F.least("_size", F.col("_taken") - k * F.col("_size")) for k in range(options.get("most", 2)))), lambda n: n > 0)
-    rows = docs.withColumn("_row", row_key()).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
+    most, keyed = options.get("most", 2), docs.withColumn("_row", row_key())
+    plan = cut(
+        mix(keyed, carry=("_row",), **options)
+        .groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key"), F.col("size").alias("_size"))
+        .agg(F.min("taken").alias("_least"), F.max("taken").alias("_taken"), F.sum("taken").alias("_all"), F.count("*").alias("_rows"))
+        .filter("_taken > 0")
+    )
+
+    def planned(which: str) -> DataFrame:
+        return keyed.join(plan.filter(which), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
+
+    whole = F.floor(F.col("_least") / F.col("_size")) * F.col("_size")
+    turn = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(*docs.drop("text").columns)) - 1
+    uneven = planned("_least < _taken").withColumn("_taken", whole + F.least("_size", F.greatest(F.lit(0), F.col("_all") - F.col("_rows") * whole - turn * F.col("_size"))))
+    rows = planned("_least = _taken").unionByName(uneven)
+    copies = F.filter(F.array(*(F.least("_size", F.col("_taken") - k * F.col("_size")) for k in range(most))), lambda n: n > 0)
     rows = rows.withColumn("_n", F.explode(copies))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_n").cast("int")), " ")
     rows = rows.withColumn("text", F.when(F.col("_n") < F.col("_size"), part).otherwise(F.col("text")))
