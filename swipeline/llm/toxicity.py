@@ -80,11 +80,11 @@ def presence_counts(rows: DataFrame, orders: tuple[int, ...], bits: int) -> np.n
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", orders: tuple[int, ...] = (3, 4, 5), bits: int = 18, n_features: int = 4096, fit_rows: int = 20000, linear_rows: int = 4096, smoothing: float = 1.0, penalty: float = 1e-4) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", orders: tuple[int, ...] = (3, 4, 5, 6), bits: int = 18, n_features: int = 2048, fit_rows: int = 20000, linear_rows: int = 4096, smoothing: float = 1.0, penalty: float = 1e-4) -> Model | float:
     """A model fitted on at most about ``fit_rows`` labelled rows, half of each class; the share of class 1 if one class is missing.
 
-    The log-count ratios come from all of them; the ``n_features`` buckets whose counts tell the classes apart best (ratio times
-    the root of their count) become features, and about ``linear_rows`` rows give the linear weights.
+    The log-count ratios come from all of them; the ``n_features`` buckets that tell the classes apart best (by the squared
+    difference of their shares of documents over its variance) become features, and about ``linear_rows`` rows give the linear weights.
     """
     rows, n = training_sample(docs, labels, label, fit_rows)
     if not min(n):
@@ -92,7 +92,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", orders: tuple[
     counts = presence_counts(rows, orders, bits)
     share = (counts + smoothing) / (counts + smoothing).sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
-    order = np.argsort(-np.abs(ratio) * np.sqrt(counts.sum(axis=0)), kind="stable")[:n_features]
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    docs_of = np.maximum(1, [sizes.get(0, 0), sizes.get(1, 0)])
+    pooled = counts.sum(axis=0) / docs_of.sum()
+    apart = (counts[1] / docs_of[1] - counts[0] / docs_of[0]) ** 2 / (pooled * (1 - pooled) + 1e-6)
+    order = np.argsort(-apart, kind="stable")[:n_features]
     order = order[counts[:, order].sum(axis=0) > 0]
     feature = np.full(1 << bits, -1, np.int16)
     feature[order] = np.arange(len(order))
