@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swipeline.llm.common import lower_ascii, scratch
+from swipeline.llm.common import cut, lower_ascii, scratch
 from swipeline.llm.exact_dedup import exact_dedup
 from swipeline.llm.hnsw import embedding_dedup
 from swipeline.llm.licenses import license_scan
@@ -62,7 +62,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches over all documents: all inserted, those labelled toxic deleted, those of low quality revised.
 
-    A revision counts a text again without its runs of symbols; the last batch is committed twice, which changes nothing.
+    A revision counts a text again without its runs of symbols; counts are joined with the labels, so no text is shuffled.
+    The last batch is committed twice, which changes nothing.
     """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rollup = TokenRollup(spark, scratch(spark, "token-rollup"))
@@ -71,7 +72,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     deletes = toxic.withColumn("op", F.lit("delete"))
     poor = labels.filter("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
     clean = F.regexp_replace("text", r"[!*$%&#|]+", "")
-    revised = document_counts(docs.join(poor, "doc_id", "left_semi").withColumn("text", clean)).withColumn("op", F.lit("revise"))
+    revised = cut(document_counts(docs.withColumn("text", clean)).join(poor, "doc_id", "left_semi").withColumn("op", F.lit("revise")))
     for number, changes in enumerate((inserts, deletes, revised)):
         rollup.commit(number, changes)
     rollup.commit(2, revised)
