@@ -101,33 +101,44 @@ class Scanner:
         said = [f"-{' '.join(want[i:j])} +{' '.join(words[a + k : a + m])}" for _, i, j, k, m in ops]
         return a, z, said, sum(j - i for _, i, j, _, _ in ops), sum(m - k for _, _, _, k, m in ops)
 
+    def best(self, words: list[str], lo: int, hi: int, least: float, slack: float, tries: int) -> tuple | None:
+        """(rank, row) of the form that words[lo:hi] hold with the fewest differences; a confirmed one first."""
+        part, out = words[lo:hi], None
+        if len(part) < 3:
+            return None
+        ranked = self.rank(part)
+        for gain, k in ranked[:tries]:
+            if gain < least:
+                break
+            a, z, said, missing, added = self.match(part, k)
+            ok = missing + added <= slack * len(self.forms[k][1])
+            key = (not ok, missing + added if ok else 0, -len(self.forms[k][1]) if ok else 0, -gain)
+            if out is None or key < out[0]:
+                name = self.forms[k][0]
+                other = next((self.forms[j][0] for _, j in ranked if self.forms[j][0] != name), None)
+                out = key, (lo + a, lo + z, name, float(gain), other, missing, added, said, ok)
+        return out
+
     def scan(self, block: str, least: float, slack: float, tries: int) -> Iterator[tuple]:
-        words = words_of(block)
+        """The rows of one block. A run is looked at in steps of half the longest template, four steps at a time, so the
+        work grows with the run's length and a notice of up to 1.5 times that template lies whole in a look."""
+        words, step = words_of(block), max(1, self.longest // 2)
         for first, end in self.windows(words):
-            todo = [(first, end)]
+            todo = [(first, end, None)]
             while todo:
-                lo, hi = todo.pop()
-                part = words[lo:hi]
-                if len(part) < 3:
+                lo, last, doubt = todo.pop()
+                hi = min(last, lo + 4 * step)
+                found = self.best(words, lo, hi, least, slack, tries)
+                if found and found[1][-1]:
+                    yield found[1]
+                    a, z = found[1][:2]
+                    todo += [(lo, a, doubt if doubt and doubt[1][1] <= a else None), (z, last, None)]
                     continue
-                ranked = self.rank(part)
-                best = None
-                for gain, k in ranked[:tries]:
-                    if gain < least:
-                        break
-                    a, z, said, missing, added = self.match(part, k)
-                    ok = missing + added <= slack * len(self.forms[k][1])
-                    key = (not ok, missing + added if ok else 0, -len(self.forms[k][1]) if ok else 0, -gain)
-                    if best is None or key < best[0]:
-                        best = key, gain, k, a, z, said, missing, added, ok
-                if best is None:
-                    continue
-                _, gain, k, a, z, said, missing, added, ok = best
-                name = self.forms[k][0]
-                other = next((self.forms[j][0] for _, j in ranked if self.forms[j][0] != name), None)
-                yield lo + a, lo + z, name, float(gain), other, missing, added, said, ok
-                if ok:
-                    todo += [(lo, lo + a), (lo + z, hi)]
+                doubt = min((x for x in (doubt, found) if x), key=lambda x: x[0], default=None)
+                if hi < last:
+                    todo.append((lo + step, last, doubt))
+                elif doubt:
+                    yield doubt[1]
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.2, slack: float = 0.1, tries: int = 6, level: int = 19) -> DataFrame:

@@ -133,6 +133,14 @@ def test_licenses(spark):
     assert license_scan(brute.table(spark, [])).count() == 0
 
 
+def test_many_notices_in_one_line(spark):
+    """A line of many notices takes time in proportion, and each is found where it is."""
+    notice, n = "Licensed under CC BY-SA 4.0. All rights reserved. ", 400
+    out = license_scan(brute.table(spark, [(1, notice * n, "s"), (2, "the software and " * 20000, "s")])).filter("confirmed").collect()
+    assert sorted((r.start_word, r.license) for r in out if r.doc_id == 1) == sorted(x for k in range(n) for x in ((8 * k, "CC-BY-SA-4.0"), (8 * k + 5, "All-rights-reserved")))
+    assert not [r for r in out if r.doc_id == 2]
+
+
 def test_license_query_whole(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     out = queries.op1_license_scan(spark, "/root/testdata/sf0.01").filter("confirmed").collect()
