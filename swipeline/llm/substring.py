@@ -105,8 +105,9 @@ def by_key(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     return ((int(keys[p[0]]), p) for p in np.split(order, cuts) if len(p))
 
 
-def home(ids: np.ndarray, groups: int) -> np.ndarray:
-    return (mixed(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+def home(ids: np.ndarray, tags: np.ndarray, groups: int) -> np.ndarray:
+    """The document group of each (id, tag): rows that share a doc_id, or have none, are dealt out by their texts."""
+    return (mixed(ids.view(np.uint64) ^ (tags.astype(np.uint64) << np.uint64(48))) % np.uint64(groups)).astype(np.int64)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -167,7 +168,7 @@ def removals(docs: DataFrame, window: int, buckets: int, groups: int, chunk: int
             for key, at in by_key(bucket):
                 w = kept[at]
                 found.append((key, TO_BUCKET, pack_windows(h[w], row[w], pos[w], ids, tags)))
-            for key, at in by_key(home(ids[row[gone]], groups)):
+            for key, at in by_key(home(ids[row[gone]], tags[row[gone]], groups)):
                 w = gone[at]
                 found.append((key, TO_DOCUMENT, pack_spans(ids[row[w]], tags[row[w]], pos[w])))
             for k in range(0, len(found), 64):
@@ -182,7 +183,7 @@ def removals(docs: DataFrame, window: int, buckets: int, groups: int, chunk: int
         least = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(h))))
         gone = order[ids[order] > least]
         gone = gone[np.lexsort((pos[gone], tags[gone], ids[gone]))]
-        found = [(key, TO_DOCUMENT, pack_spans(ids[gone[at]], tags[gone[at]], pos[gone[at]])) for key, at in by_key(home(ids[gone], groups))]
+        found = [(key, TO_DOCUMENT, pack_spans(ids[gone[at]], tags[gone[at]], pos[gone[at]])) for key, at in by_key(home(ids[gone], tags[gone], groups))]
         return pa.Table.from_batches([rows(found)] if found else [], ROWS)
 
     return docs.mapInArrow(scan, SCHEMA).groupBy("kind", "key").applyInArrow(judge, SCHEMA)
@@ -195,7 +196,7 @@ def grouped_texts(docs: DataFrame, groups: int, chunk: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3)
         for ids, tags, texts in chunks(batches, chunk):
             found = []
-            for key, at in by_key(home(ids, groups)):
+            for key, at in by_key(home(ids, tags, groups)):
                 sizes = np.array([len(texts[k]) for k in at], "<u8")
                 body = b"".join(texts[k] for k in at)
                 found.append((key, TEXT, struct.pack("<I", len(at)) + ids[at].tobytes() + tags[at].tobytes() + sizes.tobytes() + pack.compress(body)))
