@@ -21,10 +21,11 @@ def ngram_buckets(text: str, orders: tuple[int, ...], bits: int) -> np.ndarray:
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint64) * MIX
     codes ^= codes >> np.uint64(31)
     out, h = [], codes
-    for n in range(2, max(orders) + 1):
+    for n in range(1, max(orders) + 1):
         if len(codes) < n:
             break
-        h = h[:-1] * np.uint64(0xD6E8FEB86659FD93) + codes[n - 1 :]
+        if n > 1:
+            h = h[:-1] * np.uint64(0xD6E8FEB86659FD93) + codes[n - 1 :]
         if n in orders:
             out.append(((h ^ (h >> np.uint64(32))) * MIX) >> np.uint64(64 - bits))
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
@@ -80,7 +81,7 @@ def presence_counts(rows: DataFrame, orders: tuple[int, ...], bits: int) -> np.n
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", orders: tuple[int, ...] = (3, 4, 5, 6), bits: int = 18, n_features: int = 2048, fit_rows: int = 20000, linear_rows: int = 4096, smoothing: float = 1.0, penalty: float = 1e-4) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", orders: tuple[int, ...] = (2, 3, 4, 5, 6), bits: int = 18, n_features: int = 1024, fit_rows: int = 20000, linear_rows: int = 4096, smoothing: float = 1.0, penalty: float = 1e-5) -> Model | float:
     """A model fitted on at most about ``fit_rows`` labelled rows, half of each class; the share of class 1 if one class is missing.
 
     The log-count ratios come from all of them; the ``n_features`` buckets that tell the classes apart best (by the squared

@@ -74,3 +74,4 @@ def test_ngrams_cover_whole_text():
     assert len(ngram_buckets(text, (3,), 18)) == len(text)
     assert len(set(ngram_buckets("Hello", (3,), 18)) - set(ngram_buckets("hello", (3,), 18))) == 0
     assert len(ngram_buckets("", (3,), 18)) == 0
+    assert len(ngram_buckets("ab", (1, 2), 18)) == 4 + 3
