@@ -51,6 +51,8 @@ TEMPLATES = {
 }
 #: A block is a candidate if it has one of these words; each template has one.
 TRIGGER = r"(?i)licen[sc]e|copyright|permission|permitted|public domain|all rights reserved|software"
+#: Words that templates share with any English prose: a place is looked at for the other words of a template.
+COMMON = frozenset("a above all an and any are as at be by can for from has have in is it its may no nor not of on or permit provided shall that the their this to under use was will with without you your".split())
 SCHEMA = "doc_id long, block long, start_word long, end_word long, license string, reduction double, runner_up string, missing_words long, added_words long, differences array<string>, confirmed boolean"
 
 
@@ -60,35 +62,55 @@ def words_of(text: str) -> list[str]:
 
 
 class Scanner:
-    """Templates as raw-content dictionaries: a compressor for each, and one without."""
+    """Templates as raw-content dictionaries: a compressor for each, and one without; and what to look for of each in a text.
 
-    def __init__(self, templates: dict[str, list[str]], level: int):
-        self.forms = [(name, words_of(form)) for name, forms in templates.items() for form in forms]
+    A form of n words is confirmed with ``slack`` * n words missing or added. So many edits leave one of as many pieces and one more
+    whole, so a text that holds none of the pieces of a form does not hold the form, and each piece found is a place to align it.
+    """
+
+    def __init__(self, templates: dict[str, list[str]], level: int, slack: float):
+        self.forms = [(name, words) for name, forms in templates.items() for form in forms if (words := words_of(form))]
         self.plain = zstandard.ZstdCompressor(level=level)
         self.given = [
             zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(" ".join(words).encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for _, words in self.forms
         ]
-        self.vocabulary = {w for _, words in self.forms for w in words}
-        self.longest = max(len(words) for _, words in self.forms)
+        self.edits = [int(slack * len(words) + 1e-9) for _, words in self.forms]
+        self.pieces, self.rare, self.shape = {}, {}, []
+        for f, (_, words) in enumerate(self.forms):
+            n = len(words)
+            parts = min(n, self.edits[f] + 1)
+            for k in range(parts):
+                at, to = k * n // parts, (k + 1) * n // parts
+                anchor = max(range(at, to), key=lambda j: (words[j] not in COMMON, len(words[j])))
+                self.pieces.setdefault(words[anchor], []).append((f, at, words[at:to], anchor - at))
+            own = [k for k, w in enumerate(words) if w not in COMMON] or list(range(n))
+            for w in {words[k] for k in own}:
+                self.rare.setdefault(w, []).append(f)
+            # the longest step between rarer words, the words before the first and after the last, how many make a look
+            self.shape.append((max([y - x for x, y in zip(own, own[1:], strict=False)], default=1) + 3, own[0], n - 1 - own[-1], min(2, len({words[k] for k in own}))))
+
+    def gain(self, words: list[str], form: int) -> float:
+        """The share of the compressed size that the template saves."""
+        data = " ".join(words).encode()
+        return 1 - len(self.given[form].compress(data)) / len(self.plain.compress(data))
 
-    def windows(self, words: list[str]) -> Iterator[tuple[int, int]]:
-        """Runs of template words, short gaps (fields such as a year or a name) included: where in the block a notice may be."""
-        first = last = None
-        for k, w in enumerate(words):
-            if w in self.vocabulary:
-                if first is not None and k - last > 4:
-                    yield first, last + 1
-                    first = None
-                first, last = (k if first is None else first), k
-        if first is not None:
-            yield first, last + 1
-
-    def rank(self, words: list[str]) -> list[tuple[float, int]]:
-        """(share of the compressed size that the template saves, form), best first."""
+    def runner_up(self, words: list[str], name: str) -> str | None:
+        """The other license whose template saves most."""
         data = " ".join(words).encode()
-        alone = len(self.plain.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
+        return min(((len(c.compress(data)), k) for k, c in enumerate(self.given) if self.forms[k][0] != name), default=(0, None))[1]
+
+    def align(self, words: list[str], form: int) -> tuple[int, int, int] | None:
+        """(edits, first, end) of the words that the form aligns with by fewest words missing and added; None if too many."""
+        want, most = self.forms[form][1], self.edits[form]
+        row = [(0, j) for j in range(len(words) + 1)]
+        for w in want:
+            last, row = row, [(row[0][0] + 1, row[0][1])]
+            for j, x in enumerate(words):
+                cost, first = min(last[j + 1], row[j], key=lambda c: (c[0], -c[1]))
+                row.append(last[j] if x == w and last[j][0] <= cost + 1 else (cost + 1, first))
+        cost, first, end = min(((c, a, j) for j, (c, a) in enumerate(row)), key=lambda c: (c[0], c[2] - c[1]))
+        return (cost, first, end) if cost <= most and end > first else None
 
     def match(self, words: list[str], form: int) -> tuple[int, int, list[str], int, int]:
         """(first, end, differences, template words missing, others added) of the words that the form aligns with."""
@@ -97,58 +119,103 @@ class Scanner:
         if not blocks:
             return 0, 0, [], len(want), 0
         a, z = blocks[0].b, blocks[-1].b + blocks[-1].size
-        ops = [o for o in SequenceMatcher(None, want, words[a:z], autojunk=False).get_opcodes() if o[0] != "equal"]
-        said = [f"-{' '.join(want[i:j])} +{' '.join(words[a + k : a + m])}" for _, i, j, k, m in ops]
-        return a, z, said, sum(j - i for _, i, j, _, _ in ops), sum(m - k for _, _, _, k, m in ops)
-
-    def best(self, words: list[str], lo: int, hi: int, least: float, slack: float, tries: int) -> tuple | None:
-        """(rank, row) of the form that words[lo:hi] hold with the fewest differences; a confirmed one first."""
-        part, out = words[lo:hi], None
-        if len(part) < 3:
-            return None
-        ranked = self.rank(part)
-        for gain, k in ranked[:tries]:
-            if gain < least:
-                break
-            a, z, said, missing, added = self.match(part, k)
-            ok = missing + added <= slack * len(self.forms[k][1])
-            key = (not ok, missing + added if ok else 0, -len(self.forms[k][1]) if ok else 0, -gain)
-            if out is None or key < out[0]:
-                name = self.forms[k][0]
-                other = next((self.forms[j][0] for _, j in ranked if self.forms[j][0] != name), None)
-                out = key, (lo + a, lo + z, name, float(gain), other, missing, added, said, ok)
-        return out
-
-    def scan(self, block: str, least: float, slack: float, tries: int) -> Iterator[tuple]:
-        """The rows of one block. A run is looked at in steps of half the longest template, four steps at a time, so the
-        work grows with the run's length and a notice of up to 1.5 times that template lies whole in a look."""
-        words, step = words_of(block), max(1, self.longest // 2)
-        for first, end in self.windows(words):
-            todo = [(first, end, None)]
-            while todo:
-                lo, last, doubt = todo.pop()
-                hi = min(last, lo + 4 * step)
-                found = self.best(words, lo, hi, least, slack, tries)
-                if found and found[1][-1]:
-                    yield found[1]
-                    a, z = found[1][:2]
-                    todo += [(lo, a, doubt if doubt and doubt[1][1] <= a else None), (z, last, None)]
-                    continue
-                doubt = min((x for x in (doubt, found) if x), key=lambda x: x[0], default=None)
-                if hi < last:
-                    todo.append((lo + step, last, doubt))
-                elif doubt:
-                    yield doubt[1]
-
-
-def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.2, slack: float = 0.1, tries: int = 6, level: int = 19) -> DataFrame:
+        return a, z, *self.compare(words[a:z], form)
+
+    def compare(self, words: list[str], form: int) -> tuple[list[str], int, int]:
+        """(differences, template words missing, others added) between the form and all of ``words``, by fewest of them."""
+        want = self.forms[form][1]
+        n, m = len(want), len(words)
+        left = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                left[i][j] = left[i + 1][j + 1] + 1 if want[i] == words[j] else max(left[i + 1][j], left[i][j + 1])
+        said, i, j, missing, added = [], 0, 0, 0, 0
+        while i < n or j < m:
+            a, b = i, j
+            while (i < n or j < m) and not (i < n and j < m and want[i] == words[j]):
+                if j == m or (i < n and left[i + 1][j] >= left[i][j + 1]):
+                    i += 1
+                else:
+                    j += 1
+            if i > a or j > b:
+                said.append(f"-{' '.join(want[a:i])} +{' '.join(words[b:j])}")
+                missing, added = missing + i - a, added + j - b
+            while i < n and j < m and want[i] == words[j]:
+                i, j = i + 1, j + 1
+        return said, missing, added
+
+    def sure(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(first, end, form) of all places that hold a form with as few edits as confirm it, those with fewest and then the longest first."""
+        seen, found = set(), []
+        for k, w in enumerate(words):
+            for f, at, piece, anchor in self.pieces.get(w, ()):
+                if words[max(0, k - anchor) : k - anchor + len(piece)] == piece and (f, k - anchor - at) not in seen:
+                    seen.add((f, k - anchor - at))
+                    lo = max(0, k - anchor - at - self.edits[f])
+                    hit = self.align(words[lo : k - anchor - at + len(self.forms[f][1]) + self.edits[f]], f)
+                    if hit:
+                        found.append((hit[0], -len(self.forms[f][1]), lo + hit[1], lo + hit[2], f))
+        return [(a, z, f) for _, _, a, z, f in sorted(set(found))]
+
+    def looks(self, words: list[str], taken: bytearray) -> Iterator[tuple[int, int, int]]:
+        """(first, end, form) of places for a form that is not confirmed: where its rarer words stand as close as in itself, of 1.5 times its
+        words at most and half of them on for the next, so they grow with the text and a notice lies whole in one."""
+        hits = {}
+        for k, w in enumerate(words):
+            for f in self.rare.get(w, ()) if not taken[k] else ():
+                hits.setdefault(f, []).append(k)
+        for f, at in hits.items():
+            step, before, after, least = self.shape[f]
+            n = len(self.forms[f][1])
+            size, i = max(3, (3 * n + 1) // 2), 0
+            while i < len(at):
+                j = i
+                while j + 1 < len(at) and at[j + 1] - at[j] <= step and at[j + 1] - at[i] < size:
+                    j += 1
+                lo, hi = at[i], at[j] + 1
+                if len({words[k] for k in at[i : j + 1]}) >= least:
+                    while lo > max(0, at[i] - before) and not taken[lo - 1]:
+                        lo -= 1
+                    while hi < min(len(words), at[j] + 1 + after) and not taken[hi]:
+                        hi += 1
+                    if not any(taken[lo:hi]):
+                        yield lo, hi, f
+                if j + 1 < len(at) and at[j + 1] - at[j] <= step:
+                    start = at[i] + max(1, n // 2)
+                    while i < j + 1 and at[i] < start:
+                        i += 1
+                else:
+                    i = j + 1
+
+    def scan(self, words: list[str], least: float) -> Iterator[tuple]:
+        """The rows of a block: what is confirmed, then of the rest what a template saves ``least`` of, both without overlaps."""
+        taken = bytearray(len(words))
+        for a, z, f in self.sure(words):
+            if not any(taken[a:z]):
+                taken[a:z] = b"\1" * (z - a)
+                yield self.row(words, a, z, f, self.gain(words[a:z], f), a, z, self.compare(words[a:z], f), True)
+        found = [(-g, -(z - a), a, z, f) for a, z, f in self.looks(words, taken) if z - a > 1 and (g := self.gain(words[a:z], f)) >= least]
+        for g, _, a, z, f in sorted(found):
+            if not any(taken[a:z]):
+                taken[a:z] = b"\1" * (z - a)
+                x, y, *rest = self.match(words[a:z], f)
+                yield self.row(words, a, z, f, -g, a + x, a + y, rest, False)
+
+    def row(self, words: list[str], a: int, z: int, form: int, gain: float, first: int, end: int, rest: tuple, ok: bool) -> tuple:
+        name, (said, missing, added) = self.forms[form][0], rest
+        other = self.runner_up(words[a:z], name)
+        return first, end, name, float(gain), None if other is None else self.forms[other][0], missing, added, said, ok
+
+
+def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.2, slack: float = 0.1, level: int = 19) -> DataFrame:
     """One row for each notice that a line of ``docs`` seems to hold, with what its wording differs in.
 
-    Lines with a trigger word are candidates; in them, runs of words that templates use. A run is compressed alone and with each
-    template as a zstandard raw dictionary; the templates that save at least ``least`` of its size are ranked by it, and the ``tries`` best
-    are compared word by word. The winner is confirmed when words missing and added are at most ``slack`` of the template's; what is
-    left on either side is scanned again. ``block`` is the line, start_word and end_word the place in its words; ``differences`` says what
-    the template has (-) and the text has (+).
+    Lines with a trigger word are candidates. Every form is searched in them word by word, and confirmed where words missing and
+    added are at most ``slack`` of its own, in prose as on a line of its own; of overlapping places the one with fewest differences, then the longest form
+    counts. In what is left, places with two rarer words of a form as close together as in it, up to 1.5 times as long as the form, are compressed alone
+    and with the template as a zstandard raw dictionary, and are unconfirmed notices if it saves at least ``least`` of the size. ``reduction`` is
+    what it saves of the place, ``runner_up`` the other license that saves most. ``block`` is the line, start_word and end_word the
+    place in its words; ``differences`` says what the template has (-) and the text has (+).
 
     Null and empty texts and lines without a trigger give no rows; repeated rows give repeated results; a null doc_id is carried.
     """
@@ -156,7 +223,7 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     trigger = re.compile(TRIGGER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, level)
+        scanner = Scanner(templates, level, slack)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         kinds = [pa.int64()] * 4 + [pa.string(), pa.float64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_()]
         for batch in batches:
@@ -164,7 +231,7 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for n, line in enumerate(text.split("\n")):
                     if trigger.search(line):
-                        for a, z, name, gain, other, missing, added, said, ok in scanner.scan(line, least, slack, tries):
+                        for a, z, name, gain, other, missing, added, said, ok in scanner.scan(words_of(line), least):
                             out.append((doc_id, n, a, z, name, gain, other, missing, added, said, ok))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
