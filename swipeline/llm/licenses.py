@@ -50,15 +50,31 @@ TEMPLATES = {
     "All-rights-reserved": ["All rights reserved."],
 }
 #: A block is a candidate if it has one of these words; each template has one.
-TRIGGER = r"(?i)licen[sc]e|copyright|permission|permitted|public domain|all rights reserved|software"
+TRIGGER = r"(?i)licen[sc]e|copyright|permission|permitted|public\W+domain|all\W+rights\W+reserved|software"
+#: What is compared of a text: from the first to the last letter or digit of what stands between white space.
+WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
+#: Words that mark a comment when a line begins with them.
+MARKS = frozenset(("dnl", "rem"))
 #: Words that templates share with any English prose: a place is looked at for the other words of a template.
 COMMON = frozenset("a above all an and any are as at be by can for from has have in is it its may no nor not of on or permit provided shall that the their this to under use was will with without you your".split())
 SCHEMA = "doc_id long, block long, start_word long, end_word long, license string, reduction double, runner_up string, missing_words long, added_words long, differences array<string>, confirmed boolean"
 
 
 def words_of(text: str) -> list[str]:
-    """Words for comparison: lower case, without punctuation at their ends."""
-    return [w for w in (x.strip(".,;:()\"'").lower() for x in text.split()) if w]
+    """Words for comparison: lower case, without punctuation and comment marks at their ends."""
+    return WORD.findall(text.lower())
+
+
+def placed_words(text: str) -> tuple[list[str], list[int], list[int]]:
+    """(words, the line of each, its place in the line) of a text; words that mark a line as a comment are left out."""
+    words, lines, places = [], [], []
+    for n, line in enumerate(text.split("\n")):
+        own = words_of(line)
+        skip = 1 if own and own[0] in MARKS else 0
+        words += own[skip:]
+        lines += [n] * (len(own) - skip)
+        places += range(skip, len(own))
+    return words, lines, places
 
 
 class Scanner:
@@ -208,16 +224,17 @@ class Scanner:
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.2, slack: float = 0.1, level: int = 19) -> DataFrame:
-    """One row for each notice that a line of ``docs`` seems to hold, with what its wording differs in.
+    """One row for each notice that a text of ``docs`` seems to hold, on one line or over several, with what its wording differs in.
 
-    Lines with a trigger word are candidates. Every form is searched in them word by word, and confirmed where words missing and
-    added are at most ``slack`` of its own, in prose as on a line of its own; of overlapping places the one with fewest differences, then the longest form
-    counts. In what is left, places with two rarer words of a form as close together as in it, up to 1.5 times as long as the form, are compressed alone
-    and with the template as a zstandard raw dictionary, and are unconfirmed notices if it saves at least ``least`` of the size. ``reduction`` is
-    what it saves of the place, ``runner_up`` the other license that saves most. ``block`` is the line, start_word and end_word the
-    place in its words; ``differences`` says what the template has (-) and the text has (+).
+    Texts with a trigger word are candidates. Every form is searched in them word by word, over line breaks and comment marks, and
+    confirmed where words missing and added are at most ``slack`` of its own, in prose as on a line of its own; of overlapping places the
+    one with fewest differences, then the longest form counts. In what is left, places with two rarer words of a form as close together as
+    in it, up to 1.5 times as long as the form, are compressed alone and with the template as a zstandard raw dictionary, and are
+    unconfirmed notices if it saves at least ``least`` of the size. ``reduction`` is what it saves of the place, ``runner_up`` the other
+    license that saves most. ``block`` is the line where the notice begins, start_word its place in the words of that line, and end_word
+    that and the notice's words, which may go on over the next lines; ``differences`` says what the template has (-) and the text has (+).
 
-    Null and empty texts and lines without a trigger give no rows; repeated rows give repeated results; a null doc_id is carried.
+    Null and empty texts and those without a trigger give no rows; repeated rows give repeated results; a null doc_id is carried.
     """
     templates = templates or TEMPLATES
     trigger = re.compile(TRIGGER)
@@ -229,10 +246,10 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for n, line in enumerate(text.split("\n")):
-                    if trigger.search(line):
-                        for a, z, name, gain, other, missing, added, said, ok in scanner.scan(words_of(line), least):
-                            out.append((doc_id, n, a, z, name, gain, other, missing, added, said, ok))
+                if trigger.search(text):
+                    words, lines, places = placed_words(text)
+                    for a, z, *rest in scanner.scan(words, least):
+                        out.append((doc_id, lines[a], places[a], places[a] + z - a, *rest))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 

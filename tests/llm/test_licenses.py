@@ -1,9 +1,11 @@
 """License notices inside prose, over several lines, and next to many others."""
 
+import textwrap
+
 import llm_brute as brute
 import pytest
 
-from swipeline.llm.licenses import license_scan
+from swipeline.llm.licenses import license_scan, words_of
 
 PROSE = (
     "it is not for you or for any of us to say that this is the way to use it and that is as it may be in the end as you are "
@@ -25,3 +27,23 @@ def test_changed_short_notice_in_a_paragraph(spark):
     """Too different to confirm, but still a row."""
     out = license_scan(brute.table(spark, [(1, PROSE + "released under MIT license " + PROSE, "s")])).collect()
     assert [(r.license, r.confirmed, r.missing_words, r.added_words) for r in out] == [("MIT", False, 1, 0)]
+
+
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+LONG = {"MIT": MIT, "GPL-3.0": GPL, "BSD-3-Clause": BSD, "ISC": ISC, "MPL-2.0": MPL, "All-rights-reserved": "All rights reserved."}
+
+
+@pytest.mark.parametrize("mark", ["", "// ", " * ", "# ", "dnl ", "REM ", "<!-- ", "> | "])
+@pytest.mark.parametrize("width", [20, 72])
+def test_wrapped_and_commented_notices(spark, mark, width):
+    lines = {name: textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False) for name, text in LONG.items()}
+    rows = [(k, "\n".join(["first line", "", *(mark + x for x in own), "", "last line"]), name) for k, (name, own) in enumerate(lines.items())]
+    out = license_scan(brute.table(spark, rows)).collect()
+    assert {(r.doc_id, r.license, r.block, r.end_word - r.start_word, r.missing_words, r.added_words) for r in out if r.confirmed} == {
+        (k, name, 2, len(words_of(text)), 0, 0) for k, (name, text) in enumerate(LONG.items())
+    }
+    assert not [r for r in out if not r.confirmed]
