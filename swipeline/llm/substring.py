@@ -80,14 +80,14 @@ def pack_windows(h: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarra
 def unpack_windows(part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, r = struct.unpack_from("<II", part)
     h = np.frombuffer(part, "<u8", n, 8)
-    ids, tags, runs, pos = from_planes(part[8 + 8 * n :], ("<i8", r), ("<u2", r), ("<u4", r), ("<u4", n))
+    ids, tags, runs, pos = from_planes(part[8 + 8 * n :], ("<i8", r), ("<i8", r), ("<u4", r), ("<u4", n))
     return h, np.repeat(ids, runs), np.repeat(tags, runs), pos
 
 
 def pack_spans(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> bytes:
     """Positions to remove, sorted by document, as (id, tag, start, length) of runs of neighbours."""
     new = np.ones(len(pos), bool)
-    new[1:] = (np.diff(ids) != 0) | (np.diff(tags.astype(np.int32)) != 0) | (np.diff(pos.astype(np.int64)) != 1)
+    new[1:] = (np.diff(ids) != 0) | (tags[1:] != tags[:-1]) | (np.diff(pos.astype(np.int64)) != 1)
     first = np.flatnonzero(new)
     runs = np.diff(np.append(first, len(pos))).astype("<u4")
     return struct.pack("<I", len(first)) + planes(ids[first], tags[first], pos[first].astype("<u4"), runs)
@@ -95,7 +95,7 @@ def pack_spans(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> bytes:
 
 def unpack_spans(part: bytes) -> list[np.ndarray]:
     (n,) = struct.unpack_from("<I", part)
-    return from_planes(part[4:], ("<i8", n), ("<u2", n), ("<u4", n), ("<u4", n))
+    return from_planes(part[4:], ("<i8", n), ("<i8", n), ("<u4", n), ("<u4", n))
 
 
 def by_key(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -107,7 +107,7 @@ def by_key(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def home(ids: np.ndarray, tags: np.ndarray, groups: int) -> np.ndarray:
     """The document group of each (id, tag): rows that share a doc_id, or have none, are dealt out by their texts."""
-    return (mixed(ids.view(np.uint64) ^ (tags.astype(np.uint64) << np.uint64(48))) % np.uint64(groups)).astype(np.int64)
+    return (mixed(ids.view(np.uint64) ^ tags.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -116,7 +116,7 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.nd
 
     def flush():
         order = np.argsort(np.array(ids, np.int64), kind="stable")
-        return np.array(ids, np.int64)[order], np.array(tags, np.uint16)[order], [texts[k] for k in order]
+        return np.array(ids, np.int64)[order], np.array(tags, np.int64)[order], [texts[k] for k in order]
 
     for batch in batches:
         for doc_id, tag, text in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), strict=True):
@@ -231,9 +231,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, windows_per_bucket: int =
     ``windows_per_bucket`` windows and a group their words.
 
     Null and empty texts have no words. A null doc_id is above all others. Rows that share a doc_id are no copies of each
-    other; they are told apart by 16 bits of a hash of their texts. An empty table gives no rows.
+    other; they are told apart by a 64-bit hash of their texts. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int").alias("tag"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = 1 + size // (6 * windows_per_bucket)
 
@@ -243,7 +243,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, windows_per_bucket: int =
         for kind, part in zip(table.column("kind").to_pylist(), table.column("part"), strict=True):
             if kind == TO_DOCUMENT:
                 ids, tags, starts, sizes = unpack_spans(part.as_py())
-                cuts = np.flatnonzero((np.diff(ids) != 0) | (np.diff(tags.astype(np.int32)) != 0)) + 1
+                cuts = np.flatnonzero((np.diff(ids) != 0) | (tags[1:] != tags[:-1])) + 1
                 both = np.stack([starts, sizes], axis=1).astype(np.int64)
                 for at in np.split(np.arange(len(ids)), cuts):
                     spans.setdefault((int(ids[at[0]]), int(tags[at[0]])), []).append(both[at])
@@ -251,8 +251,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, windows_per_bucket: int =
             if kind == TEXT:
                 data = part.as_py()
                 (n,) = struct.unpack_from("<I", data)
-                ids, tags, sizes = np.frombuffer(data, "<i8", n, 4), np.frombuffer(data, "<u2", n, 4 + 8 * n), np.frombuffer(data, "<u8", n, 4 + 10 * n)
-                body, at = zstandard.ZstdDecompressor().decompress(data[4 + 18 * n :]), 0
+                ids, tags, sizes = np.frombuffer(data, "<i8", n, 4), np.frombuffer(data, "<i8", n, 4 + 8 * n), np.frombuffer(data, "<u8", n, 4 + 16 * n)
+                body, at = zstandard.ZstdDecompressor().decompress(data[4 + 24 * n :]), 0
                 for doc_id, tag, length in zip(ids.tolist(), tags.tolist(), sizes.tolist(), strict=True):
                     own = spans.get((doc_id, tag))
                     n_words, where, kept = cleaned(body[at : at + length], np.concatenate(own) if own else (), window)

@@ -158,3 +158,13 @@ def test_embedding_edges(spark):
     more = table.unionByName(table.filter("vec_id = 4")).unionByName(table.filter("vec_id = 1").withColumn("vec_id", F.lit(None).cast("long")))
     assert embedding_dedup(more).count() == len(rows) + 2
     assert embedding_dedup(table.filter("false")).count() == 0
+
+
+def test_substring_many_rows_of_one_id(spark):
+    """Thousands of rows without a doc_id, and thousands that share one, keep their own spans."""
+    n, shared = 3000, " ".join(f"shared{k}" for k in range(15))
+    own = {k: [f"own{k}x{j}" for j in range(k % 40)] for k in range(2 * n)}
+    rows = [(0, shared, "s")] + [(None if k < n else 5, " ".join([*own[k], shared, f"end{k}"]) if k % 3 else " ".join([*own[k], f"end{k}"]), "s") for k in own]
+    out = substring_dedup(brute.table(spark, rows).repartition(3)).collect()
+    want = [(0, 15, 0, shared)] + [(i, len(t.split()), 15 * (shared in t), " ".join([*own[k], f"end{k}"])) for k, (i, t, _) in enumerate(rows[1:])]
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out), key=str) == sorted(want, key=str)
