@@ -47,3 +47,11 @@ def test_wrapped_and_commented_notices(spark, mark, width):
         (k, name, 2, len(words_of(text)), 0, 0) for k, (name, text) in enumerate(LONG.items())
     }
     assert not [r for r in out if not r.confirmed]
+
+
+def test_every_form_is_compared(spark):
+    """A form that seven others outrank by the bytes that they save is confirmed all the same."""
+    near = {f"near{k}": [" ".join(f"alpha{j} beta{j}" for j in range(30)) + f" license tail{k}"] for k in range(7)}
+    forms = near | {"exact": ["alpha3 beta3 license"]}
+    text = " ".join(f"alpha{j} beta{j}" for j in range(0, 30, 2)) + " alpha3 beta3 license"
+    assert [r.license for r in license_scan(brute.table(spark, [(1, text, "s")]), forms).collect() if r.confirmed] == ["exact"]
