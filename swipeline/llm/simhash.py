@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from swipeline.llm.common import components, cut
 DISTANCE = 2
 #: The low bit of each of 32 segments of two bits.
 EVEN = 0x5555555555555555
+#: What is added to the fingerprint of a class without a doc_id.
+NAMELESS = Decimal(1 << 64)
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -125,8 +128,11 @@ def simhash_dedup(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     prints = cut(add_fingerprint(docs, words))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(links(classes.filter("rep is not null")))
-    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # A class without a doc_id links under its fingerprint, above all doc_ids.
+    nodes = classes.select("fp", F.coalesce(F.col("rep").cast("decimal(20,0)"), (F.col("fp").cast("decimal(20,0)") + F.lit(NAMELESS)).cast("decimal(20,0)")).alias("rep"))
+    roots = components(links(nodes))
+    least = F.coalesce("component", "rep")
+    named = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.when(least < F.lit(Decimal(1 << 63)), least.cast("long")).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from swipeline.llm import queries
+from swipeline.llm import queries, simhash
 from swipeline.llm.common import components
 from swipeline.llm.exact_dedup import exact_dedup
 from swipeline.llm.hnsw import embedding_dedup
@@ -168,3 +168,12 @@ def test_substring_many_rows_of_one_id(spark):
     out = substring_dedup(brute.table(spark, rows).repartition(3)).collect()
     want = [(0, 15, 0, shared)] + [(i, len(t.split()), 15 * (shared in t), " ".join([*own[k], f"end{k}"])) for k, (i, t, _) in enumerate(rows[1:])]
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out), key=str) == sorted(want, key=str)
+
+
+def test_simhash_linked_through_a_row_without_id(spark, monkeypatch):
+    """Fingerprints of rows without a doc_id link like any other, take a name from their component and give none."""
+    prints = [(7, 0), (None, 3), (9, 15), (None, 1 << 40 | 1 << 41 | 1 << 42), (None, 1 << 40 | 1 << 41), (8, -(1 << 63) | 0xFFFFFF)]
+    monkeypatch.setattr(simhash, "add_fingerprint", lambda docs, words: spark.createDataFrame(prints, "doc_id long, fp long"))
+    out = {(r.doc_id, r.fp): r.component_id for r in simhash_dedup(None).collect()}
+    far = prints[3:5]
+    assert out == {prints[0]: 7, prints[1]: 7, prints[2]: 7, far[0]: 7, far[1]: 7, prints[5]: 8}
