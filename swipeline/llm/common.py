@@ -15,13 +15,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of its own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session without it gets a folder of its own."""
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="swipeline-"))
-        base = sc.getCheckpointDir()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="swipeline-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -37,8 +39,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z lower-cased, every other character as it is."""
-    return F.translate(text, UPPER, LOWER)
+    """A-Z lower-cased, every other character as it is; ASCII texts take the fast way."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -74,12 +76,25 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, out: st
     )
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, parts: int = 100) -> DataFrame:
+    """``rows`` with what ``classes`` says of their ``keys``; rows without a class are left out, keys are never null.
+
+    ``classes`` has each key once and, in ``size``, how many of the rows have it. Those with more than a ``parts``-th of all rows
+    are fewer than ``parts``, so they are broadcast and their rows stay where they are; the others are joined by shuffle, where no
+    key holds more than that share. Both tables are read twice: give them cut or cheap.
+    """
+    least = (classes.agg(F.sum(size)).first()[0] or 0) / parts
+    hot = F.broadcast(classes.filter(F.col(size) > least))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(classes.filter(F.col(size) <= least), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that can be reached, for every node with an edge to another.
 
     Alternating stars: each node hooks its larger neighbours, then all its neighbours, to the smallest one, until the
-    edges are stars. Minima are combined before the shuffle, so a node with very many edges is no single
-    task's work; nothing is collected but a count and a checksum. Edges with a null end are ignored.
+    edges are stars and a round changes nothing, however many rounds that takes. Minima are combined before the shuffle, so a node with
+    very many edges is no single task's work; nothing is collected but a count and a checksum. Edges with a null end are ignored.
     """
 
     def tidy(df: DataFrame) -> DataFrame:
@@ -90,9 +105,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     now = tidy(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()))
     seen = state(now)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

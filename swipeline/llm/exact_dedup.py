@@ -2,64 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from swipeline.llm.common import cut, lower_ascii, row_key
+from swipeline.llm.common import cut, join_classes, lower_ascii
 
 
-def radix_classes(docs: DataFrame, first: int = 64, growth: int = 4, widest: int = 65536) -> DataFrame:
-    """(doc_id, row_key, keep_id, group_size) of the rows whose text another row has too.
+def digit(text: Column, at: int, width: int) -> Column:
+    return lower_ascii(F.substring(text, at + 1, width))
 
-    Rows start as one group. A round splits every group by its texts' next characters (their UTF-8 bytes, A-Z
-    lower-cased): ``first`` of them, then ``growth`` times as many, ``widest`` at most. Groups of one leave; a
-    group whose texts end within the digit is a class of equal texts, known without a digest of any text. Only
-    the digits of rows that are still in a group are shuffled, so unique texts move ``first`` characters.
-    Groups are counted with map-side combination and joined back, where adaptive execution splits a hot group.
-    """
-    done, active, at, width = [], None, 0, first
-    while True:
-        digit = lower_ascii(F.substring(F.coalesce("text", F.lit("")), at + 1, width))
-        rows = docs.select("doc_id", row_key().alias("row_key"), digit.alias("digit"))
-        if active is not None:
-            live = active.filter("not ended").select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "gid").distinct()
-            rows = rows.join(live, rows.doc_id.eqNullSafe(live.d) & (rows.row_key == live.k)).select("doc_id", "row_key", "digit", "gid")
-        keys = [] if active is None else ["gid"]
-        groups = (
-            rows.groupBy(*keys, "digit")
-            .agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"), F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "row_key")).alias("new_gid"))
-            .filter("group_size > 1")
-        )
-        active = cut(
-            rows.join(groups, [*keys, "digit"]).select("doc_id", "row_key", F.col("new_gid").alias("gid"), (F.char_length("digit") < width).alias("ended"), "keep_id", "group_size")
-        )
-        done.append(active.filter("ended"))
-        if active.filter("not ended").isEmpty():
-            break
-        at, width = at + width, min(width * growth, widest)
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
-    return found.select("doc_id", "row_key", "keep_id", "group_size").distinct()
+
+def grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups of two or more ``rows`` (row, doc_id and ``keys``): their size, the row that stays, and a number. Combined before the shuffle."""
+    best = F.max(F.struct("doc_id", "row")).alias("best")
+    return cut(rows.groupBy(*keys).agg(F.count("*").alias("n"), best, F.min("row").alias("number")).filter("n > 1"))
 
 
-def exact_dedup(docs: DataFrame, *columns) -> DataFrame:
-    """``columns`` of every row (all by default) with keep_id, group_size and kept.
+def exact_dedup(docs: DataFrame, *columns, first: int = 64, growth: int = 4) -> DataFrame:
+    """``columns`` of every row (all by default) with keep_id, group_size and kept, which replace columns of these names.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty. Of equal texts the
     row with the largest doc_id stays (a null doc_id is below all). Of repeated rows, with the same doc_id and equal texts,
-    each counts in group_size and one stays. Texts may be of any length; an empty table gives no rows.
+    each counts in group_size and one stays. Texts may be of any length; other columns may have any names; an empty table gives no rows.
+
+    Rows start as one group. A round splits every group by its texts' next characters (their UTF-8 bytes, A-Z lower-cased): ``first``
+    of them, then ``growth`` times as many each time, so the longest text sets the rounds by its logarithm. Groups of one leave; a group whose
+    texts end within the digit is a class of equal texts, known without a digest of any text.
+
+    The table is read twice: for the first digit's groups, and to number all rows and set aside the texts of those that are in a group. Later
+    rounds go on with these rows alone and shuffle a row's number and digit, never whole texts. Groups are counted with
+    map-side combination; the few that hold much of the data are joined back by broadcast, see ``join_classes``.
     """
-    classes = radix_classes(docs).select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_n"))
-    rows = docs.select(*(columns or docs.columns), F.col("doc_id").alias("_id"), row_key().alias("_key"))
-    out = [c for c in rows.columns if c not in ("_id", "_key", "keep_id", "group_size", "kept")]
-    turn = F.row_number().over(Window.partitionBy("_id", "_keep").orderBy("_key"))
-    alone = F.col("_n").isNull()
-    marked = rows.select(*out, "_id", "_key").join(classes, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    return marked.withColumn("_turn", turn).select(
-        *out,
-        F.when(alone, F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
-        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_turn") == 1))).alias("kept"),
+    text, names = F.coalesce("text", F.lit("")), [f"_{k}" for k in range(len(docs.select(*(columns or docs.columns)).columns))]
+    heads = docs.select(F.lit(0).alias("row"), "doc_id", digit(text, 0, first).alias("digit"))
+    groups = grouped(heads, ["digit"])
+    chosen = docs.select(*(columns or docs.columns), F.col("doc_id"), text.alias("text")).toDF(*names, "doc_id", "text")
+    chosen = chosen.withColumn("digit", digit(F.col("text"), 0, first))
+    placed = chosen.join(groups.select("digit", F.lit(True).alias("shared")), "digit", "left")
+    base = cut(placed.select(*names, F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.col("shared"), F.col("text")).alias("text")))
+    rows, keys, at, width, done = base.filter("text IS NOT NULL").select("row", "doc_id", digit(F.col("text"), 0, first).alias("digit")), ["digit"], 0, first, []
+    while True:
+        rows = cut(rows)
+        groups = grouped(rows, keys)
+        found = cut(join_classes(rows, groups, keys, "n").select("row", "doc_id", "number", "best", "n", (F.char_length("digit") < width).alias("ended")))
+        done.append(found.filter("ended").select("row", "best", "n"))
+        live = found.filter("NOT ended").select("row", F.col("number").alias("part"))
+        if live.isEmpty():
+            break
+        at, width = at + width, width * growth
+        texts = base.filter("text IS NOT NULL").select("row", "doc_id", digit(F.col("text"), at, width).alias("digit"))
+        rows, keys = texts.join(live, "row"), ["part", "digit"]
+    classes = done[0]
+    for more in done[1:]:
+        classes = classes.unionByName(more)
+    marked = base.drop("text").join(classes, "row", "left")
+    marked = marked.select(
+        *names,
+        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("kept"),
     )
+    given = docs.select(*(columns or docs.columns)).columns
+    out = [F.col(n).alias(c) for n, c in zip(names, given, strict=True) if c not in ("keep_id", "group_size", "kept")]
+    return marked.select(*out, "keep_id", "group_size", "kept")

@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", orders: tuple[
     """
     rows, n = training_sample(docs, labels, label, fit_rows)
     if not min(n):
-        return (n[1] + 0.5) / (sum(n) + 1)
+        return (n[1] + 0.5) / (sum(n) + 2)
     counts = presence_counts(rows, orders, bits)
     share = (counts + smoothing) / (counts + smoothing).sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", orders: tuple[
     sample = rows.filter(keep).mapInArrow(sparse, "found binary, y int").collect()
     y = np.array([r["y"] for r in sample])
     if len(set(y.tolist())) < 2:
-        return (n[1] + 0.5) / (sum(n) + 1)
+        return (n[1] + 0.5) / (sum(n) + 2)
     x = np.zeros((len(sample), len(order)), np.float32)
     for k, r in enumerate(sample):
         at = np.frombuffer(r["found"], "<i2")
@@ -139,8 +139,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     """(columns of ``docs``, held_out, score, predicted) of every row; see ``fit`` for the options.
 
     The fit never sees the fold whose crc32 of doc_id leaves 0; doc_id, source, lang and labels are no inputs of a score.
-    Empty and null texts get the score of a text without features. With no labelled rows of one class every
-    score is the smoothed share of class 1. Columns of docs named like the new ones are replaced; an empty table gives no rows.
+    Empty and null texts get the score of a text without features; texts of any length are read whole. With no labelled rows of one class every
+    score is the smoothed share of class 1, which is below a half without any labels. Columns of docs named like the new ones are replaced; an empty table gives no rows.
     """
     out = score(docs.drop("held_out", "score", "predicted"), fit(docs, labels, **options))
     return out.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= threshold).cast("int")})

@@ -81,6 +81,35 @@ def test_simhash_edges(spark):
     assert simhash_dedup(brute.table(spark, [])).count() == keep_one(brute.table(spark, [])).count() == 0
 
 
+def test_simhash_shared_ids_and_repeats(spark):
+    """Rows of one doc_id are judged by their own texts; of repeated rows, and of a group without any doc_id, one stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (7, c, "s"), (7, c, "s"), (None, c, "s"), (None, "alone here", "s"), (None, "alone here", "s")]
+    docs = brute.table(spark, rows)
+    assert sorted((str(r.doc_id), r.text) for r in keep_one(docs).collect()) == sorted([("3", a), ("5", b), ("7", c), ("None", "alone here")])
+    out = sorted((str(r.doc_id), str(r.component_id)) for r in simhash_dedup(docs).collect())
+    assert out == sorted([("3", "3"), ("5", "3"), ("5", "5"), ("7", "7"), ("7", "7"), ("None", "7"), ("None", "None"), ("None", "None")])
+
+
+@pytest.mark.parametrize("coarse", [1, 100])
+def test_simhash_finer_grids(spark, coarse):
+    draw = random.Random(coarse)
+    base = [draw.getrandbits(64) for _ in range(40)]
+    prints = sorted({b ^ sum(1 << k for k in draw.sample(range(64), draw.randint(0, 3))) for b in base for _ in range(10)})
+    signed = [(p - (1 << 64) if p >> 63 else p, k) for k, p in enumerate(prints)]
+    got = {r.node: r.component for r in components(links(spark.createDataFrame(signed, "fp long, rep long"), 3, coarse)).collect()}
+    assert {k: got.get(k, k) for k in range(len(prints))} == near(dict(enumerate(prints)))
+
+
+def test_exact_very_long(spark):
+    """Two equal texts of 10 MB, one that differs in the last character, and unique rows without a doc_id."""
+    text = "abcdefghij" * 1_000_000
+    rows = [(1, text, "s"), (2, text.upper(), "s"), (3, text[:-1] + "x", "s")] + [(None, f"unique {k}", "s") for k in range(50)]
+    out = exact_dedup(brute.table(spark, rows), "doc_id", F.length("text").alias("n")).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.n) for r in out if r.doc_id) == [(1, 2, 2, False, 10**7), (2, 2, 2, True, 10**7), (3, 3, 1, True, 10**7)]
+    assert sum(r.kept and r.group_size == 1 for r in out if r.doc_id is None) == 50
+
+
 def test_components_path(spark):
     n = 70
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(100, 101), (None, 5), (7, 7)], "a long, b long")
@@ -173,7 +202,7 @@ def test_substring_many_rows_of_one_id(spark):
 def test_simhash_linked_through_a_row_without_id(spark, monkeypatch):
     """Fingerprints of rows without a doc_id link like any other, take a name from their component and give none."""
     prints = [(7, 0), (None, 3), (9, 15), (None, 1 << 40 | 1 << 41 | 1 << 42), (None, 1 << 40 | 1 << 41), (8, -(1 << 63) | 0xFFFFFF)]
-    monkeypatch.setattr(simhash, "add_fingerprint", lambda docs, words: spark.createDataFrame(prints, "doc_id long, fp long"))
-    out = {(r.doc_id, r.fp): r.component_id for r in simhash_dedup(None).collect()}
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, words: text.cast("long"))
+    out = {(r.doc_id, r.fp): r.component_id for r in simhash_dedup(spark.createDataFrame(prints, "doc_id long, text long")).collect()}
     far = prints[3:5]
     assert out == {prints[0]: 7, prints[1]: 7, prints[2]: 7, far[0]: 7, far[1]: 7, prints[5]: 8}

@@ -215,6 +215,31 @@ def test_pipeline(spark, exact_ids):
     assert whole == Counter(i for p in pieces for i in struct.unpack(f"<{p['length']}I", p["ids"]))
 
 
+def test_pipeline_shared_ids_and_clashing_columns(spark, tmp_path, exact_ids):
+    """All stages on rows that share or lack ids, with columns named like the operators' own: each stage keeps what it should, values unchanged."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (None, c, None), (9, None, "s"), (9, "", "s"), (5, b.upper(), "s")]
+    more = {"score": 0.25, "held_out": True, "predicted": 7, "kept": False, "keep_id": 77, "group_size": 99, "_id": 5, "_taken": 3}
+    docs = brute.table(spark, rows)
+    docs = docs.withColumns({k: F.lit(v) for k, v in more.items()})
+    spark.read.parquet(f"{brute.SF}/labels.parquet").filter("false").write.parquet(str(tmp_path / "labels.parquet"))
+    out, kept = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns
+        path = str(tmp_path / f"stage{len(kept)}")
+        out.write.parquet(path)
+        out = spark.read.parquet(path)
+        kept.append(out.collect())
+        assert all(r[k] == v for r in kept[-1] for k, v in (brute.CLASHING | more).items())
+    assert len(kept[0]) == 7
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept[1]) == [(0, len(c)), (5, len(a)), (5, len(b)), (9, 0)]
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept[2]) == [(0, len(c)), (5, len(a)), (5, len(b)), (9, 0)]
+    assert {r.doc_id for r in kept[3]} == {5, None} and sum(len(r.text.split()) for r in kept[3]) == 270
+    pieces = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).collect()
+    assert sum(p["length"] for p in pieces) == sum(len(exact_ids(r.text)) for r in kept[3])
+
+
 def test_pipeline_empty(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{brute.SF}/{t}.parquet").filter("false").write.parquet(str(tmp_path / f"{t}.parquet"))
