@@ -16,24 +16,56 @@ from swipeline.llm.toxicity import toxicity
 ORACLE_SQL = None
 
 
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used`` as they are and all others in one, so that no name of theirs meets a name of an operator."""
+    return docs.select(*(c for c in used if c in docs.columns), F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c not in used)).alias("_aside"))
+
+
+def restored(found: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    return found.select(*(F.col(c) if c in used else F.col("_aside").getField(c).alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    """Without the documents that the toxicity model rejects, columns as given.
+
+    Each row is judged by its own whole text, so rows that share a doc_id, have none or are repeated go or stay one by one; null and empty
+    texts have the score of a text without features. Columns named like the model's are left alone. No documents or no labels give the rows given.
+    """
+    used = ("doc_id", "text")
+    scored = toxicity(aside(docs, *used), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return restored(scored.filter("predicted = 0"), docs, *used)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup(docs).filter("kept").select(*docs.columns)
+    """One row of each group of texts that are equal but for the case of A-Z, the largest doc_id's, columns as given.
+
+    Null texts are empty ones, so one row without words of them stays; of repeated rows one stays; a null doc_id is below all. Texts may
+    be of any length. An empty table gives no rows.
+    """
+    every = dict(zip(docs.columns, (F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)), strict=True))
+    return exact_dedup(docs, *every.values()).filter("kept").select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of near duplicates, the smallest doc_id's (a null one for want of another), columns as given.
+
+    Rows of one doc_id are judged by their own texts. Texts without words are copies of each other. An empty table gives no rows.
+    """
     return keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_documents(docs)
+    """The mix: documents as often as their source's budget takes them, the last one of a source cut, columns as given.
+
+    Documents without words, null texts too, are not in it; a null source is a source; a null doc_id is a value like others. Repeated rows are taken
+    row by row. An empty table gives no rows.
+    """
+    used = ("doc_id", "text", "source", "n_chars")
+    return restored(mix_documents(aside(docs, *used)), docs, *used)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens; a null text is an empty one. Rows of one doc_id are packed row by row. An empty table gives no rows."""
     return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
