@@ -136,9 +136,10 @@ def links(classes: DataFrame, crowd: int = 64, coarse: int = 1 << 20) -> DataFra
 
 
 def named_classes(prints: DataFrame) -> DataFrame:
-    """(fp, n, component) of each fingerprint of ``prints`` (fp, doc_id): how many rows have it, and a number for its component.
+    """(fp, n, root, component) of each fingerprint of ``prints`` (fp, doc_id): how many rows have it, and two numbers for its component.
 
-    The number is the smallest doc_id that can be reached, or, if no row that can be reached has one, above all doc_ids.
+    ``root`` is the component's own; ``component`` is the smallest doc_id that can be reached, which two components may share, or
+    above all doc_ids if no row that can be reached has one.
     """
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     wide = lambda c: F.col(c).cast("decimal(20,0)")
@@ -146,7 +147,7 @@ def named_classes(prints: DataFrame) -> DataFrame:
     roots = components(links(nodes.select("fp", "rep")))
     joined = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("component", "rep").alias("root"))
     names = joined.groupBy("root").agg(F.coalesce(F.min(wide("least")), F.first("root")).cast("decimal(20,0)").alias("component"))
-    return joined.join(names, "root").select("fp", "n", "component")
+    return joined.join(names, "root").select("fp", "n", "root", "component")
 
 
 def simhash_dedup(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -173,7 +174,7 @@ def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
     rows = cut(docs.toDF(*names).withColumns({"row": F.monotonically_increasing_id(), "fp": fingerprint(text, words)}))
     prints = rows.select(doc_id.cast("long").alias("doc_id"), "row", "fp")
-    placed = cut(join_classes(prints, cut(named_classes(prints)), ["fp"], "n").select("component", "row", F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row").alias("rank")))
-    groups = cut(placed.groupBy("component").agg(F.min("rank").alias("best"), F.count("*").alias("n")).filter("n > 1"))
-    gone = join_classes(placed, groups, ["component"], "n").filter("row <> best.row").select("row")
+    placed = cut(join_classes(prints, cut(named_classes(prints)), ["fp"], "n").select("root", "row", F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row").alias("rank")))
+    groups = cut(placed.groupBy("root").agg(F.min("rank").alias("best"), F.count("*").alias("n")).filter("n > 1"))
+    gone = join_classes(placed, groups, ["root"], "n").filter("row <> best.row").select("row")
     return rows.join(gone, "row", "left_anti").select(*names).toDF(*docs.columns)
