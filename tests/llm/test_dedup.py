@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from swipeline.llm import queries, simhash
 from swipeline.llm.common import components
 from swipeline.llm.exact_dedup import exact_dedup
-from swipeline.llm.hnsw import embedding_dedup
+from swipeline.llm.hnsw import Shard, embedding_dedup, unit
 from swipeline.llm.simhash import keep_one, links, simhash_dedup
 from swipeline.llm.substring import substring_dedup
 
@@ -145,7 +145,7 @@ def cosine_links(rows, least=0.98):
     unit = {}
     for i, v, label in rows:
         if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            v = np.array(v, np.float32).astype(np.float64)
+            v = np.array(v, np.float64) / max(map(abs, v))
             unit[i] = v / np.linalg.norm(v), label
     ids = sorted(unit)
     return [(a, b) for k, a in enumerate(ids) for b in ids[:k] if unit[a][1] == unit[b][1] and len(unit[a][0]) == len(unit[b][0]) and unit[a][0] @ unit[b][0] >= least]
@@ -158,7 +158,9 @@ def check_vectors(rows, out):
     for a, b in edges:
         n[a] += 1
         n[b] += 1
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out.collect()}
+    rows = out.collect()
+    assert all(r.audit_recall is None or r.audit_recall >= 0.9 for r in rows)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rows}
     assert got == {i: (n[i], roots[i], roots[i] == i) for i in n}
 
 
@@ -189,6 +191,50 @@ def test_embedding_edges(spark):
     assert embedding_dedup(table.filter("false")).count() == 0
 
 
+def test_embedding_repeated_rows_and_shared_ids(spark):
+    v, w, z = [1.0, 2.0, 3.0], [1.0, 2.0, 3.001], [-3.0, 1.0, 0.5]
+    rows = [(1, v), (1, v), (2, w), (2, z), (4, z), (5, [2.0, 4.0, 6.0]), (6, [9.0, -9.0, 1.0]), (6, [9.0, -9.0, 1.0])]
+    table = spark.createDataFrame([(i, x, 0) for i, x in rows], "vec_id long, embedding array<double>, label int")
+    out = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup(table).collect())
+    # id 2 has two vectors: one near 1 and 5, one equal to that of 4
+    assert out == [(1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (2, 2, 1, False), (4, 1, 1, False), (5, 2, 1, False), (6, 0, 6, True), (6, 0, 6, True)]
+
+
+def test_embedding_huge_and_tiny_doubles(spark):
+    v = [1.0, -2.0, 0.5]
+    rows = [(k, [x * s for x in v], 0) for k, s in enumerate([1e200, 3e-300, 1.0, 1e-310])] + [(9, [1e200, 1e200, 1e200], 0)]
+    check_vectors(rows, embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")))
+
+
+def test_embedding_dense_group(spark):
+    """5,000 different vectors all within reach of each other, among others: exact links, counted and not listed."""
+    draw = np.random.default_rng(11)
+    centre = draw.normal(size=16)
+    rows = [(k, (centre + draw.normal(size=16) * 0.02).tolist() if k % 6 else draw.normal(size=16).tolist(), 0) for k in range(6000)]
+    out = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    v = np.array([x for _, x, _ in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = ((v @ v.T) >= 0.98).sum(axis=1) - 1
+    assert {r.vec_id: r.n_links for r in out} == dict(enumerate(want.tolist())) and want.max() > 4000
+    assert {r.component_id for r in out if r.vec_id % 6} == {1}
+
+
+def test_embedding_search_recall(spark):
+    """Against brute force where the search is not exact by its size: many vectors in few dimensions, small beams."""
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(6000, 12))
+    v = unit(np.concatenate([x, x[:3000] + draw.normal(size=(3000, 12)) * 0.05]))
+    shard = Shard(v, np.arange(len(v)), np.ones(len(v), int), 0.98)
+    shard.prepare()
+    true = set(zip(*(k.tolist() for k in shard.every(v)), strict=True))
+    got = set(zip(*(k.tolist() for k in shard.linked(v, shard.candidates(v, 32, 512))), strict=True))
+    assert got <= true and len(got) >= 0.99 * len(true) and len(true) > 12000
+    width, wanted, found = shard.beam_for(v, np.arange(len(v)), 2, 512, 200, 0.98)
+    assert width >= 2 and found >= 0.98 * wanted
+    # an audit that no beam passes leads to exact answers
+    assert shard.beam_for(v, np.arange(len(v)), 2, 2, 200, 1.01)[0] == 0
+
+
 def test_substring_many_rows_of_one_id(spark):
     """Thousands of rows without a doc_id, and thousands that share one, keep their own spans."""
     n, shared = 3000, " ".join(f"shared{k}" for k in range(15))
