@@ -38,8 +38,14 @@ def exact_dedup(docs: DataFrame, *columns, first: int = 64, growth: int = 4) ->
     groups = grouped(heads, ["digit"])
     chosen = docs.select(*(columns or docs.columns), F.col("doc_id"), text.alias("text")).toDF(*names, "doc_id", "text")
     chosen = chosen.withColumn("digit", digit(F.col("text"), 0, first))
-    placed = chosen.join(groups.select("digit", F.lit(True).alias("shared")), "digit", "left")
-    base = cut(placed.select(*names, F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.col("shared"), F.col("text")).alias("text")))
+    # Rows of the few digits that hold much of the data are known by broadcast and dealt evenly, under a key longer than any digit.
+    common = groups.filter(F.col("n") > (groups.agg(F.sum("n")).first()[0] or 0) / 100).select("digit", F.lit(True).alias("common"))
+    chosen = chosen.join(F.broadcast(common), "digit", "left")
+    own = F.lpad(F.monotonically_increasing_id().cast("string"), first + 1, "#")
+    chosen = chosen.withColumn("key", F.when(F.col("common"), own).otherwise(F.col("digit"))).drop("digit")
+    placed = chosen.join(groups.select(F.col("digit").alias("key"), F.lit(True).alias("shared")), "key", "left")
+    shared = F.coalesce("common", "shared", F.lit(False))
+    base = cut(placed.select(*names, F.monotonically_increasing_id().alias("row"), "doc_id", F.when(shared, F.col("text")).alias("text")))
     rows, keys, at, width, done = base.filter("text IS NOT NULL").select("row", "doc_id", digit(F.col("text"), 0, first).alias("digit")), ["digit"], 0, first, []
     while True:
         rows = cut(rows)
