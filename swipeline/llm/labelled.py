@@ -17,8 +17,8 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int) -> tuple[DataFrame, list[int]]:
     """((text, y) of labelled rows outside the held-out fold, [labelled rows of class 0, of class 1]).
 
-    At most about ``fit_rows`` / 2 rows of each class, chosen by a hash of the doc_id. What is broadcast is this sample's labels,
-    bounded by ``fit_rows`` whatever the input's size; the documents are read once and never shuffled. Null
+    At most about ``fit_rows`` / 2 rows of each class, chosen by a hash of the doc_id; of rows that share one a single text is taken. What is broadcast is this sample's labels,
+    bounded by ``fit_rows`` whatever the input's size; the documents are read once and only the sample is shuffled. Null
     labels don't count; of several labels of a document the largest holds.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -27,8 +27,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, fit_rows: in
     share = [min(1.0, fit_rows / 2 / max(1, k)) for k in n]
     chance = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.filter(chance < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).select(F.col("doc_id").alias("_id"), "y")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.coalesce("text", F.lit("")).alias("text"), "y")
-    return cut(rows), n
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")
+    return cut(rows.groupBy("doc_id", "y").agg(one).select("one.text", "y")), n
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import zstandard
@@ -14,17 +14,16 @@ from swipeline.llm.labelled import held_out, logistic, training_sample
 
 @dataclass
 class Model:
-    """Two dictionaries, and a logistic curve from compressed sizes to the chance of class 1.
+    """Two dictionaries, and a logistic curve from the normalised difference of compressed sizes to the chance of class 1.
 
-    ``centre``, ``slope`` and ``bias`` calibrate; without dictionaries the bias alone gives every score.
+    ``slope`` and ``bias`` calibrate; without dictionaries the bias alone gives every score.
     """
 
     good: bytes = b""
     bad: bytes = b""
-    block: int = 1024
+    block: int = 512
     level: int = 3
-    centre: np.ndarray = field(default_factory=lambda: np.zeros(6))
-    slope: np.ndarray = field(default_factory=lambda: np.zeros(6))
+    slope: float = 0.0
     bias: float = 0.0
 
     def __post_init__(self):
@@ -33,8 +32,8 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"made": None}
 
-    def sizes(self, text: str) -> np.ndarray:
-        """The sizes' normalised difference, (bad - good) / (bad + good), alone and times the log of the length; each size over the length; the length.
+    def difference(self, text: str) -> float:
+        """(bad - good) / bytes of the text, of its sizes compressed with either dictionary; 0 for no text.
 
         A text is compressed in blocks of ``block`` bytes, so all of it meets the dictionaries and not only its beginning.
         """
@@ -44,52 +43,62 @@ class Model:
                 words = zstandard.ZstdCompressionDict(raw)
                 words.precompute_compress(level=self.level)
                 self.made.append(zstandard.ZstdCompressor(level=self.level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False))
-        data = text.encode("utf-8", "replace")
-        good, bad = (sum(len(c.compress(data[k : k + self.block])) for k in range(0, len(data), self.block)) for c in self.made)
-        n = max(1, len(data))
-        d = (bad - good) / max(1, bad + good)
-        return np.array([d, d * np.log1p(n), good / n, bad / n, n**-0.5, np.log1p(n)])
+        parts = blocks_of(text, self.block)
+        good, bad = (sum(len(c.compress(x)) for x in parts) for c in self.made)
+        return (bad - good) / max(1, sum(map(len, parts)))
 
     def score(self, text: str) -> float:
-        z = (self.sizes(text) - self.centre) @ self.slope + self.bias if self.good else self.bias
+        z = self.difference(text) * self.slope + self.bias if self.good else self.bias
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def build(texts: list[str], size: int, block: int) -> bytes:
-    """A zstandard dictionary trained on the blocks of ``texts``, or their plain text where they are too few to train on."""
-    data = [t.encode("utf-8", "replace") for t in texts]
-    samples = [x[k : k + block] for x in data for k in range(0, len(x), block)]
+def blocks_of(text: str, block: int) -> list[bytes]:
+    data = text.encode("utf-8", "replace")
+    return [data[k : k + block] for k in range(0, len(data), block)]
+
+
+def build(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary trained on ``samples``, or their plain text where they are too few to train on."""
     try:
         return zstandard.train_dictionary(min(size, max(256, sum(map(len, samples)) // 8)), samples).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[:size]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", dictionary: int = 112 * 1024, dictionary_rows: int = 4000, fit_rows: int = 8000, block: int = 1024, level: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", dictionary: int = 48 * 1024, dictionary_blocks: int = 8000, fit_rows: int = 8000, sample: int = 1024, block: int = 512, level: int = 3) -> Model:
     """A model fitted on at most about ``fit_rows`` labelled rows, half of each class.
 
-    A hash of the text parts the sample: up to ``dictionary_rows`` texts make the dictionaries, the others the curve,
-    weighted to the labels' true shares. The driver gets these texts, bounded by ``fit_rows``. With one class missing, every score is the smoothed share.
+    A hash of the text parts the sample: one half makes the dictionaries, the other the curve, weighted to the labels' true
+    shares. The driver gets ``dictionary_blocks`` pieces of ``sample`` bytes a class at most, chosen by hash among those of all the half's whole texts, and a number
+    a row of the other half. With one class missing, every score is the smoothed share.
     """
     rows, n = training_sample(docs, labels, label, fit_rows)
     model = Model(block=block, level=level, bias=float(np.log((n[1] + 0.5) / (n[0] + 0.5))))
     part = F.pmod(F.xxhash64("text", F.lit("part")), F.lit(1000)) < 500
-    used = rows.filter(part).orderBy(F.xxhash64("text"), "text").limit(dictionary_rows).collect()
-    texts = [[r["text"] for r in used if r["y"] == y and r["text"]] for y in (0, 1)]
-    if not min(n) or not min(map(len, texts)):
+
+    @F.pandas_udf("array<binary>")
+    def cut_up(text):
+        return text.map(lambda t: blocks_of(t, sample))
+
+    samples = []
+    for y in (0, 1):
+        found = rows.filter(part & (F.col("y") == y)).select(F.explode(cut_up("text")).alias("b")).orderBy(F.xxhash64("b"), "b").limit(dictionary_blocks).collect()
+        samples.append([bytes(r["b"]) for r in found])
+    if not min(n) or not min(map(len, samples)):
         return model
-    model.bad, model.good = (build(t, dictionary, block) for t in texts)
+    model.bad, model.good = (build(x, dictionary) for x in samples)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("double")
     def measured(text):
-        return text.map(model.sizes)
+        return text.map(model.difference)
 
     seen = rows.filter(~part).select(measured("text").alias("x"), "y").collect() or rows.select(measured("text").alias("x"), "y").collect()
-    y, x = np.array([r["y"] for r in seen]), np.array([r["x"] for r in seen])
+    y, x = np.array([r["y"] for r in seen]), np.array([[r["x"]] for r in seen])
     weight = np.where(y == 1, n[1] / max(1, (y == 1).sum()), n[0] / max(1, (y == 0).sum()))
-    model.centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    slope, model.bias = logistic((x - model.centre) / scale, y, weight, 1e-5, 3000)
-    model.slope = slope / scale
+    centre, scale = float(x.mean()), float(x.std()) + 1e-9
+    slope, bias = logistic((x - centre) / scale, y, weight, 1e-5, 3000)
+    model.slope = float(slope[0]) / scale
+    model.bias = bias - centre * model.slope
     return model
 
 
@@ -97,7 +106,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **option
     """(columns of ``docs``, held_out, score, predicted) of every row; see ``fit`` for the options.
 
     The fit never sees the fold whose crc32 of doc_id leaves 0; doc_id, source, lang and labels are no inputs of a score.
-    Null texts count as empty. Columns of docs named like the new ones are replaced; an empty table gives no rows.
+    Null texts count as empty, and empty ones have a difference of 0; texts of any length are read whole. Columns of docs named like the new ones are
+    replaced, others carried; repeated rows have equal scores; an empty table gives no rows.
     """
     model = fit(docs, labels, **options)
 

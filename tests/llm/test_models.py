@@ -5,9 +5,13 @@ import zlib
 import llm_brute as brute
 import numpy as np
 import pytest
+import zstandard
 
 from swipeline.llm import queries
+from swipeline.llm.labelled import training_sample
+from swipeline.llm.quality import fit as fit_quality
 from swipeline.llm.quality import quality
+from swipeline.llm.toxicity import fit as fit_toxicity
 from swipeline.llm.toxicity import ngram_buckets, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -63,6 +67,48 @@ def test_one_class_or_no_labels(spark, classify):
         assert len(scores) == 1 and 0 < scores.pop() <= 0.5
 
 
+def test_quality_score_is_the_difference(spark):
+    """Against a plain version of the sizes and the curve, on 60 rows: two compressors, the text in blocks, one number."""
+    docs, labels = labelled(spark)
+    model = fit_quality(docs, labels)
+    packers = [zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(raw), write_checksum=False, write_content_size=False, write_dict_id=False) for raw in (model.good, model.bad)]
+    for r in quality(docs, labels).collect():
+        data = r.text.encode()
+        good, bad = (sum(len(p.compress(data[k : k + model.block])) for k in range(0, len(data), model.block)) for p in packers)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-((bad - good) / len(data) * model.slope + model.bias))), abs=1e-9)
+    assert model.slope > 0 and model.difference("") == 0
+
+
+def test_toxicity_fit_against_plain_counts(spark):
+    """The log-count ratios of 60 rows, counted anew in plain Python, and a score that adds up the gains of the n-grams found."""
+    docs, labels = labelled(spark)
+    model = fit_toxicity(docs, labels, orders=(3,), bits=14)
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    counts = np.zeros((2, 1 << 14))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, c in y.items():
+        padded = f" {texts[i].lower()} "
+        own = set(ngram_buckets(texts[i], (3,), 14).tolist())
+        assert 0 < len(own) <= len({padded[k : k + 3] for k in range(len(padded) - 2)})
+        for b in own:
+            counts[c, b] += 1
+    share = (counts + 1) / (counts + 1).sum(axis=1, keepdims=True)
+    used = np.flatnonzero(model.feature >= 0)
+    assert np.allclose(model.ratio[model.feature[used]], np.log(share[1] / share[0])[used], atol=1e-5)
+    for i, text in texts.items():
+        found = {model.feature[b] for b in ngram_buckets(text, (3,), 14).tolist()} - {-1}
+        z = sum(float(model.gain[f]) for f in found) + model.bias
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-6)
+
+
+def test_repeated_documents_count_once(spark):
+    """A document that is there very often is one row of the sample."""
+    docs, labels = labelled(spark)
+    many = docs.unionByName(docs.filter("doc_id = 1").crossJoin(spark.range(300)).select(*docs.columns))
+    sample, n = training_sample(many, labels, "quality", 8000)
+    assert sample.count() == sum(n) == labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").count() - sum(zlib.crc32(str(k).encode()) % 5 == 0 for k in range(60))
+
+
 def test_reruns_agree(spark):
     docs, labels = labelled(spark)
     first, second = (sorted((r.doc_id, r.score) for r in toxicity(docs, labels).collect()) for _ in range(2))
