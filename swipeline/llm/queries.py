@@ -62,20 +62,23 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches over all documents: all inserted, those labelled toxic deleted, those of low quality revised.
 
-    A revision counts a text again without its runs of symbols; counts are joined with the labels, so no text is shuffled.
-    The last batch is committed twice, which changes nothing.
+    A revision counts a text again without its runs of symbols, in the same pass over the texts; counts are joined with the labels, so no text is
+    shuffled. The last two batches are committed twice and the history is compacted, which changes nothing.
     """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rollup = TokenRollup(spark, scratch(spark, "token-rollup"))
-    inserts = document_counts(docs).withColumn("op", F.lit("insert"))
+    symbols = "[!*$%&#|]+"
+    counted = cut(document_counts(docs, revised=F.when(F.col("text").rlike(symbols), F.regexp_replace("text", symbols, ""))))
+    inserts = counted.withColumn("op", F.lit("insert"))
     toxic = labels.filter("toxic = 1").select("doc_id").distinct()
     deletes = toxic.withColumn("op", F.lit("delete"))
     poor = labels.filter("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
-    clean = F.regexp_replace("text", r"[!*$%&#|]+", "")
-    revised = cut(document_counts(docs.withColumn("text", clean)).join(poor, "doc_id", "left_semi").withColumn("op", F.lit("revise")))
+    revised = counted.join(poor, "doc_id", "left_semi").withColumns({"tokens": F.col("revised"), "op": F.lit("revise")})
     for number, changes in enumerate((inserts, deletes, revised)):
         rollup.commit(number, changes)
-    rollup.commit(2, revised)
+    for number, changes in ((2, revised), (1, deletes)):
+        rollup.commit(number, changes)
+    rollup.compact()
     return rollup.totals()
 
 

@@ -2,75 +2,127 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swipeline.llm.common import cut
 from swipeline.llm.tokens import encoder
 
 KEYS = ["source", "lang", "tokenizer"]
-DELTAS = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, batch long"
+DELTAS = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
+SUMS = "source string, lang string, tokenizer string, docs long, tokens long"
+MANIFEST = "version long, batch long, folder string, mark string, compacted boolean"
 
 
-def document_counts(docs: DataFrame, vocabulary: str | None = None, tokenizer: str = "byte_bpe_50k/1") -> DataFrame:
-    """(doc_id, source, lang, tokenizer, tokens) of every row of ``docs``: how many tokens the whole text has, a null text none."""
+def document_counts(docs: DataFrame, vocabulary: str | None = None, tokenizer: str = "byte_bpe_50k/1", revised: Column | None = None) -> DataFrame:
+    """(doc_id, source, lang, tokens, revised, tokenizer) of every row of ``docs``: how many tokens the whole text has, a null text none.
+
+    ``revised`` is another wording of the text, null where it is the same; its count is in the column revised, the text's own where it is null.
+    Both are counted in one pass. Texts of any length are read whole; a null source or lang is a value; other columns play no part; an empty table gives no rows.
+    """
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
             counts = [len(encode(t.as_py() or "")) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array(counts, pa.int64())], ["doc_id", "source", "lang", "tokens"])
+            again = [n if not t.is_valid else len(encode(t.as_py())) for t, n in zip(batch.column("again"), counts, strict=True)]
+            keys = [batch.column(c) for c in ("doc_id", "source", "lang")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(counts, pa.int64()), pa.array(again, pa.int64())], ["doc_id", "source", "lang", "tokens", "revised"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
-    return rows.mapInArrow(run, "doc_id long, source string, lang string, tokens long").withColumn("tokenizer", F.lit(tokenizer))
+    again = F.lit(None).cast("string") if revised is None else revised
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text", again.alias("again"))
+    return rows.mapInArrow(run, "doc_id long, source string, lang string, tokens long, revised long").withColumn("tokenizer", F.lit(tokenizer))
 
 
-class TokenRollup:
-    """Totals by source, language and tokenizer version, kept as signed deltas in a folder.
+def added(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
+
 
-    ``path``/batch=N holds what batch N changes: for each document and key the change in documents and in tokens. The
-    totals are the deltas' sums, so batches add up in any order and a total never needs the texts again. Committing a
-    batch number again replaces that folder alone: its deltas are worked out against the other batches, so a retry or
-    a replay leaves the same totals. Nothing is updated in place; a lost executor's tasks are run again.
+class TokenRollup:
+    """Totals by source, language and tokenizer version, kept up to date by signed deltas in a folder.
+
+    Each batch has a folder of its own with what it changes: ``deltas`` by document and key, and ``sums`` of these by key. The totals are the
+    sums of the batches' sums, so they need neither texts nor documents. A commit writes new folders and last of all a new manifest, which
+    says the folders that count; one that fails half-way leaves the totals as they were, and nothing is ever overwritten. Batches have rising
+    numbers. Committing a batch again changes nothing if its changes are the same; the last one may be given again with other
+    changes, which replace it; an earlier one with other changes, or a new number below the last, is refused, as later batches build on it.
+    ``compact`` adds all batches up into one folder, so a commit's reading does not grow with the number of batches. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def deltas(self, before: int | None = None) -> DataFrame:
+    def entries(self) -> list:
+        """The rows of the newest manifest, by batch."""
         try:
-            rows = self.spark.read.schema(DELTAS).option("basePath", self.path).parquet(self.path)
+            rows = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest/*")
+            newest = rows.filter(F.col("version") == rows.agg(F.max("version")).first()[0]).orderBy("batch").collect()
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            rows = self.spark.createDataFrame([], DELTAS)
-        return rows if before is None else rows.filter(F.col("batch") < before)
+            return []
+        if len({r["batch"] for r in newest}) < len(newest):
+            raise RuntimeError("two writers have committed at once")
+        return newest
+
+    def publish(self, version: int, entries: list[tuple]) -> None:
+        rows = self.spark.createDataFrame([(version, *e) for e in entries], MANIFEST)
+        rows.coalesce(1).write.json(f"{self.path}/manifest/{version}-{uuid.uuid4().hex}")
+
+    def read(self, part: str, schema: str, entries: list) -> DataFrame:
+        paths = sorted({f"{self.path}/{e['folder']}/{part}" for e in entries})
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def write(self, deltas: DataFrame) -> str:
+        folder = uuid.uuid4().hex
+        deltas.write.parquet(f"{self.path}/{folder}/deltas")
+        added(self.spark.read.schema(DELTAS).parquet(f"{self.path}/{folder}/deltas"), *KEYS).write.parquet(f"{self.path}/{folder}/sums")
+        return folder
 
     def commit(self, batch: int, changes: DataFrame) -> None:
         """Adds the deltas of ``changes``: doc_id and op, and for inserts and revisions source, lang, tokenizer and tokens.
 
         insert adds a document's count (its rows are added up; repeated rows are repeated documents); delete takes away all
-        that earlier batches say of a document; revise does both. Only numbers below ``batch`` count as earlier. A delete or revision
-        of an unknown document takes nothing away. Null keys are keys of their own; rows with a null doc_id or op are inserts if they
-        say so and otherwise change nothing. Sums by document come before sums by key, so a hot source is combined before the shuffle.
+        that earlier batches say of a document; revise does both. A delete or revision of an unknown document takes nothing
+        away. Null keys are keys of their own; rows with a null doc_id or op are inserts if they
+        say so and otherwise change nothing; other columns play no part. Sums by document come before sums by key, so a hot source is combined before the shuffle.
         """
         names = set(changes.columns)
-        given = changes.select(
-            F.col("doc_id").cast("long").alias("doc_id"), "op", *((F.col(c) if c in names else F.lit(None)).cast("string").alias(c) for c in KEYS),
-            (F.col("tokens") if "tokens" in names else F.lit(0)).cast("long").alias("tokens"),
+        given = cut(
+            changes.select(
+                F.col("doc_id").cast("long").alias("doc_id"), "op", *((F.col(c) if c in names else F.lit(None)).cast("string").alias(c) for c in KEYS),
+                (F.col("tokens") if "tokens" in names else F.lit(0)).cast("long").alias("tokens"),
+            )
         )
+        mark = ":".join(map(str, given.agg(F.count("*"), *(F.sum(F.xxhash64(*given.columns, F.lit(k)).cast("decimal(38,0)")) for k in (0, 1))).first()))
+        entries = self.entries()
+        if any(e["batch"] == batch and e["mark"] == mark for e in entries):
+            return
+        if any(e["batch"] > batch or (e["batch"] == batch and e["compacted"]) for e in entries):
+            raise ValueError(f"batch {batch} has other changes than before, or is new, and later ones or a compaction build on what it was")
+        before = [e for e in entries if e["batch"] < batch]
         plus = given.filter(F.col("op").isin("insert", "revise")).groupBy("doc_id", *KEYS).agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
         gone = given.filter(F.col("op").isin("delete", "revise")).select("doc_id").distinct()
-        known = self.deltas(batch).groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        minus = known.join(gone, "doc_id", "left_semi").select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
-        out = plus.unionByName(minus).groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
-        out.write.mode("overwrite").parquet(f"{self.path}/batch={int(batch)}")
+        known = added(self.read("deltas", DELTAS, before).join(gone, "doc_id", "left_semi"), "doc_id", *KEYS)
+        minus = known.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
+        folder = self.write(added(plus.unionByName(minus), "doc_id", *KEYS))
+        kept = [(e["batch"], e["folder"], e["mark"], e["compacted"]) for e in before]
+        self.publish(max((e["version"] for e in entries), default=0) + 1, [*kept, (batch, folder, mark, False)])
+
+    def compact(self) -> None:
+        """Adds all batches' deltas up in one folder. Their numbers and marks stay known, so a replay of any still changes nothing."""
+        entries = self.entries()
+        if len({e["folder"] for e in entries}) > 1:
+            folder = self.write(added(self.read("deltas", DELTAS, entries), "doc_id", *KEYS))
+            self.publish(entries[0]["version"] + 1, [(e["batch"], folder, e["mark"], True) for e in entries])
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) of the keys that have documents."""
-        return self.deltas().groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
+        return added(self.read("sums", SUMS, self.entries()), *KEYS)

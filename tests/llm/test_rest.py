@@ -1,5 +1,6 @@
 """Packing, mixing, license scans, token counts, the pipeline, and the SQL of this subpackage."""
 
+import random
 import struct
 import zlib
 from collections import Counter
@@ -174,6 +175,59 @@ def test_token_rollup(spark, tmp_path, exact_ids):
     assert totals() == +want
     rollup.commit(2, changes.filter("false"))
     assert totals() == +want
+    with pytest.raises(ValueError, match="batch 1"):
+        rollup.commit(1, changes.filter("doc_id = 7"))
+    rollup.compact()
+    rollup.commit(1, changes)
+    assert totals() == +want
+    with pytest.raises(ValueError, match="batch 2"):
+        rollup.commit(2, changes)
+    rollup.commit(3, spark.createDataFrame([(50, "delete")], "doc_id long, op string"))
+    assert totals() == +want - Counter({(None, None, None, "docs"): 1, (None, None, None, "tokens"): 3})
+
+
+def test_token_rollup_replays_against_plain_totals(spark, tmp_path, monkeypatch):
+    """Random batches, the last one given again with other counts, an older one with others refused, and commits that fail half-way."""
+    draw, rollup, log = random.Random(4), TokenRollup(spark, str(tmp_path / "r")), []
+
+    def batch():
+        return [(draw.randrange(12), draw.choice(["insert", "delete", "revise"]), draw.choice("ab"), draw.choice(["en", None]), "v", draw.randrange(100)) for _ in range(8)]
+
+    def plain():
+        held = {}
+        for rows in log:
+            gone = {r[0] for r in rows if r[1] != "insert"}
+            held = {i: x for i, x in held.items() if i not in gone}
+            for i, op, source, lang, version, n in rows:
+                if op != "delete":
+                    held.setdefault(i, []).append((source, lang, version, n))
+        want = Counter()
+        for own in held.values():
+            for source, lang, version, n in own:
+                want[source, lang, version, "docs"] += 1
+                want[source, lang, version, "tokens"] += n
+        return +want
+
+    def totals():
+        return +Counter({(r.source, r.lang, r.tokenizer, c): r[c] for r in rollup.totals().collect() for c in ("docs", "tokens")})
+
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, op string, source string, lang string, tokenizer string, tokens long")
+    for k in range(3):
+        for rows in (batch(), batch()):
+            log[k:] = [rows]
+            rollup.commit(k, table(rows))
+            rollup.commit(k, table(rows[::-1]))
+            assert totals() == plain()
+    with pytest.raises(ValueError):
+        rollup.commit(0, table(batch()))
+    with monkeypatch.context() as m:
+        m.setattr(TokenRollup, "publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            rollup.commit(3, table(batch()))
+    assert totals() == plain()
+    log.append(batch())
+    rollup.commit(3, table(log[3]))
+    assert totals() == plain()
 
 
 def test_token_query(spark, exact_ids):
