@@ -8,10 +8,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from swipeline.functions.values import AMOUNT_LABELS, AMOUNT_STEPS, INDUSTRIES
+from swipeline.functions.values import AMOUNT_LABELS, AMOUNT_STEPS, INDUSTRIES, YEAR_SECONDS
 
 #: Seconds of ten mean years, the horizon of the log-spaced time bins.
-HORIZON = int(10 * 31556951.999999996)
+HORIZON = int(10 * YEAR_SECONDS)
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def clip(c: Column, low: int, high: int) -> Column:
@@ -55,7 +60,7 @@ def zip3(code: Column, width: int | None = None) -> Column:
 
 
 def state_clean(state: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(F.upper(state)), F.lit("")), F.lit("XX"))
+    return F.coalesce(F.nullif(strip(F.upper(state)), F.lit("")), F.lit("XX"))
 
 
 def txn_time(year: Column, month: Column, day: Column, time: Column) -> Column:
@@ -64,7 +69,7 @@ def txn_time(year: Column, month: Column, day: Column, time: Column) -> Column:
 
 
 def fraud_flag(text: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(text)).isin("yes", "1"), F.lit(False)).cast("int")
+    return F.coalesce(F.lower(strip(text)).isin("yes", "1"), F.lit(False)).cast("int")
 
 
 def industry(code: Column, miss: str = "GENERAL", names: list[tuple[int, int, str]] = INDUSTRIES) -> Column:

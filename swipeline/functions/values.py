@@ -24,4 +24,7 @@ STATES = (
 # Left-closed bounds of the amount bins, in dollars, and the labels of the right-closed buckets of charts.
 AMOUNT_STEPS = [10, 50, 100, 500, 1000, 5000]
 AMOUNT_LABELS = ["<$10", "$10-50", "$50-100", "$100-500", "$500-1k", "$1k-5k", ">$5k"]
+# Fixed value: the seconds of a mean year.
+YEAR_SECONDS = 31556951.999999996
+# Special tokens, in the order of their ids.
 SPECIALS = ["<pad>", "<bos>", "<eos>", "<sep>", "<unk>"]

@@ -11,9 +11,9 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from swipeline.functions import clean
+from swipeline.operators.ranges import dense_row_id, sums_before
 
 
 def raw_features(raw: DataFrame) -> DataFrame:
@@ -28,25 +28,19 @@ def ordinal_encode(df: DataFrame, train: DataFrame, columns: list[str]) -> DataF
     """
     for c in columns:
         values = train.select(F.col(c).alias("_v")).filter("_v IS NOT NULL").distinct()
-        places = values.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).cast("int").alias("_i"))
+        places = dense_row_id(values, ["_v"], "_i").select("_v", F.col("_i").cast("int").alias("_i"))
         df = df.join(places, df[c] == places["_v"], "left").withColumn(c, F.coalesce("_i", F.lit(-1))).drop("_v", "_i")
     return df
 
 
-def dense_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """Numbers from 0 in the order of ``order``: a range shuffle, the sizes of the ranges, and a count within each."""
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.withColumn("_in", inside).join(offsets, "_part").withColumn(name, F.col("_first") + F.col("_in")).drop("_part", "_in", "_first")
+def key_mark(df: DataFrame, on: str) -> tuple:
+    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(on).cast("decimal(38,0)"))).first())
 
 
 def align(left: DataFrame, right: DataFrame, on: str = "row_id") -> DataFrame:
-    """Rows of the two tables side by side by explicit id; raises if either lacks an id of the other."""
-    for a, b in ((left, right), (right, left)):
-        if not a.join(b, on, "left_anti").isEmpty():
-            raise ValueError("row ids differ")
+    """Rows of the two tables side by side by explicit id, in one join; raises if the ids differ, by their number and the sum of their hashes."""
+    if key_mark(left, on) != key_mark(right, on):
+        raise ValueError("row ids differ")
     return left.join(right, on)
 
 
@@ -78,11 +72,10 @@ def pool(df: DataFrame, how: str, states: str = "states", mask: str = "mask", ke
         at = F.greatest(F.aggregate(mask, F.lit(0), lambda a, x: a + x), F.lit(1))
         return df.select(key, F.element_at(states, at).alias("embedding"))
     if how == "mean":
-        dims = df.select(key, F.posexplode(F.arrays_zip(F.col(states).alias("s"), F.col(mask).alias("m"))).alias("at", "z"))
-        dims = dims.select(key, F.col("z.m").alias("m"), F.posexplode("z.s").alias("dim", "x"))
-        mean = F.sum(F.col("x") * F.col("m")) / F.greatest(F.sum("m"), F.lit(1))
-        per = dims.groupBy(key, "dim").agg(mean.alias("x")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("d"))
-        return per.select(key, F.col("d.x").alias("embedding"))
+        kept = F.zip_with(states, mask, lambda x, m: F.when(m > 0, x))
+        total = F.aggregate(F.filter(kept, lambda x: x.isNotNull()), F.transform(F.element_at(states, 1), lambda x: x * 0), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+        n = F.greatest(F.aggregate(mask, F.lit(0), lambda a, x: a + x), F.lit(1))
+        return df.select(key, F.transform(total, lambda x: x / n).alias("embedding"))
     raise ValueError(f"unknown pooling {how}")
 
 
@@ -114,10 +107,7 @@ def embed(df: DataFrame, dim: int = 64, pooling: str = "mean", pad: int = 0, ids
 def score_steps(df: DataFrame, score: str, label: str, descending: bool) -> DataFrame:
     """A row for each distinct score, with its positives and rows and those before it."""
     per = df.groupBy(F.col(score).alias("s")).agg(F.sum(label).cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    w = Window.orderBy(F.desc("s") if descending else F.asc("s"))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0.0)
-    return per.select("s", "pos", "n", F.coalesce(F.sum("pos").over(before), zero).alias("pos_before"), F.coalesce(F.sum("n").over(before), zero).alias("n_before"))
+    return sums_before(per, ["s"], descending, pos_before="pos", n_before="n")
 
 
 def auroc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:

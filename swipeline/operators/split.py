@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from swipeline.operators.ranges import dense_row_id
+
 
 def cutoffs(df: DataFrame, date: str = "date", shares: tuple[float, float] = (0.8, 0.9)) -> DataFrame:
     """One row (train_end, val_end): the first dates by which these shares of the rows have come. The window runs over a row a day."""
@@ -25,13 +29,34 @@ def rank_key(seed: str, row_id: str = "row_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string")))
 
 
-def take(df: DataFrame, quotas: dict, by: str | None, seed: str, row_id: str = "row_id") -> DataFrame:
-    """The ``quotas[value]`` rows of each value of ``by`` with the least hash of seed and row_id: a top-k for each, no sort of all rows."""
-    parts = [(df if by is None else df.filter(F.col(by) == v)).orderBy(rank_key(seed, row_id), row_id).limit(int(n)) for v, n in sorted(quotas.items())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def shuffle(df: DataFrame, seed: str = "42", row_id: str = "row_id") -> DataFrame:
+    """The rows in an order that looks random and is the same wherever it is drawn: by a hash of seed and row_id."""
+    return df.orderBy(rank_key(seed, row_id), row_id)
+
+
+def take(df: DataFrame, quotas: dict, sizes: dict, by: str | None, seed: str, row_id: str = "row_id") -> DataFrame:
+    """The ``quotas[value]`` rows of each value of ``by`` with the least hash of seed and row_id, of ``sizes[value]``.
+
+    One scan keeps the rows whose hash is below a share a little above the quota's, and only these are range-shuffled and numbered. Should a
+    share turn out too small by chance, it is doubled.
+    """
+    value, spare = F.lit(0) if by is None else F.col(by), 1.0
+    key = rank_key(seed, row_id)
+    share = F.conv(F.substring(key, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    while True:
+        limit = {v: min(1.0, spare * (n + 6 * n**0.5 + 20) / max(1, sizes.get(v, 0))) for v, n in quotas.items()}
+        near = reduce(lambda c, v: c.when(value == v, share < limit[v]), limit, F.when(F.lit(False), False)).otherwise(False)
+        ranked = df.withColumns({"_value": value, "_key": key}).filter(near)
+        have = {r["_value"]: r["count"] for r in ranked.groupBy("_value").count().collect()}
+        if all(have.get(v, 0) >= min(n, sizes.get(v, 0)) for v, n in quotas.items()):
+            break
+        spare *= 2
+    firsts, at = {}, 0
+    for v in sorted(have):
+        firsts[v], at = at, at + have[v]
+    numbered = dense_row_id(ranked, ["_value", "_key", row_id], "_place")
+    chosen = reduce(lambda c, v: c.when(F.col("_value") == v, F.col("_place") < firsts[v] + int(quotas[v])), firsts, F.when(F.lit(False), False)).otherwise(False)
+    return numbered.filter(chosen).select(*df.columns)
 
 
 def class_counts(df: DataFrame, by: str) -> dict:
@@ -42,7 +67,7 @@ def capped_class_sample(df: DataFrame, total: int, label: str = "is_fraud", shar
     """``total`` rows, of them class 1 up to ``share``, without replacement."""
     n = class_counts(df, label)
     ones = min(n.get(1, 0), int(share * total))
-    return take(df, {0: min(n.get(0, 0), total - ones), 1: ones}, label, seed)
+    return take(df, {0: min(n.get(0, 0), total - ones), 1: ones}, n, label, seed)
 
 
 def stratified_sample(df: DataFrame, total: int, label: str = "is_fraud", seed: str = "42") -> DataFrame:
@@ -55,8 +80,8 @@ def stratified_sample(df: DataFrame, total: int, label: str = "is_fraud", seed:
     quotas = {v: int(x) for v, x in exact.items()}
     for v in sorted(exact, key=lambda v: (quotas[v] - exact[v], v))[: total - sum(quotas.values())]:
         quotas[v] += 1
-    return take(df, quotas, label, seed)
+    return take(df, quotas, n, label, seed)
 
 
 def uniform_sample(df: DataFrame, total: int, seed: str = "42", row_id: str = "row_id") -> DataFrame:
-    return take(df, {0: total}, None, seed, row_id)
+    return take(df, {0: total}, {0: df.count()}, None, seed, row_id)

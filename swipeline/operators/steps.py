@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swipeline.functions import clean
+from swipeline.operators.ranges import dense_row_id
 
 
 @dataclass
@@ -49,8 +51,7 @@ class FixedInt(Step):
         return clean.clip(F.coalesce(F.col(self.column), F.lit(self.low)), self.low, self.high).cast("int")
 
     def label(self, number: Column) -> Column:
-        text = number.cast("string")
-        return F.lpad(text, self.width, "0") if self.width else text
+        return F.format_string(f"%0{self.width}d", number) if self.width else number.cast("string")
 
     def token(self) -> Column:
         return F.concat(F.lit(f"{self.prefix}_"), self.label(self.clipped()))
@@ -86,7 +87,8 @@ class HashBucket(Step):
 class Mapping(Step):
     """A value's label; ``labels`` None takes values as their own labels. Misses and nulls get ``default``.
 
-    With ``learned`` the values are the distinct ones of the table it is fitted on, sorted as strings.
+    With ``learned`` the values are the distinct ones of the table it is fitted on, sorted as strings, ``most`` at most; fitted without a table, every
+    value passes through as its own label, though only the default has a number.
     """
 
     prefix: str = ""
@@ -94,11 +96,14 @@ class Mapping(Step):
     labels: dict[str, str] | None = None
     default: str = "UNK"
     learned: bool = False
+    most: int = 100_000
 
     def label(self) -> Column:
         text = F.col(self.column).cast("string")
         if self.labels is None:
-            return F.when(text.isin(self.values), text).otherwise(self.default) if self.values else F.lit(self.default)
+            if not self.values:
+                return F.coalesce(text, F.lit(self.default)) if self.learned else F.lit(self.default)
+            return F.when(text.isin(self.values), text).otherwise(self.default)
         table = F.create_map(*(F.lit(x) for pair in self.labels.items() for x in pair))
         return F.coalesce(F.try_element_at(table, text), F.lit(self.default))
 
@@ -110,15 +115,19 @@ class Mapping(Step):
         return F.concat(F.lit(f"{self.prefix}_"), self.label())
 
     def index(self) -> Column:
-        return (F.array_position(F.array(*map(F.lit, self.all_labels())), self.label()) - 1).cast("int")
+        names = self.all_labels()
+        place = F.array_position(F.array(*map(F.lit, names)), self.label())
+        return F.when(place > 0, place - 1).otherwise(names.index(self.default)).cast("int")
 
     def vocab(self) -> list[str]:
         return [f"{self.prefix}_{x}" for x in self.all_labels()]
 
     def fit(self, df: DataFrame) -> Mapping:
         if self.learned:
-            found = df.select(F.col(self.column).cast("string").alias("v")).filter("v IS NOT NULL").distinct().orderBy("v").collect()
-            self.values = [r["v"] for r in found]
+            found = df.select(F.col(self.column).cast("string").alias("v")).filter("v IS NOT NULL").distinct().limit(self.most + 1).collect()
+            if len(found) > self.most:
+                raise ValueError(f"{self.column} has more than {self.most} values; use hash buckets")
+            self.values = sorted(r["v"] for r in found)
         return self
 
 
@@ -148,7 +157,10 @@ class Ranges(Step):
 
 @dataclass
 class LearnedBins(Step):
-    """Ordinal bins with edges learned from a table: exact quantiles, equal widths, or midpoints of 1-D k-means centres."""
+    """Ordinal bins with edges learned from a table: exact quantiles, equal widths, or midpoints of 1-D k-means centres.
+
+    Quantiles interpolate between two rows of the sorted column, which a range shuffle numbers; no task holds more than its range.
+    """
 
     prefix: str = ""
     bins: int = 10
@@ -159,7 +171,10 @@ class LearnedBins(Step):
         x = df.select(F.col(self.column).cast("double").alias("x")).filter("x IS NOT NULL")
         inner = [k / self.bins for k in range(1, self.bins)]
         if self.strategy == "quantile":
-            self.edges = list(x.agg(F.percentile("x", F.array(*map(F.lit, inner)))).first()[0] or [])
+            places = [(x.count() - 1) * p for p in inner]
+            wanted = sorted({f(p) for p in places for f in (math.floor, math.ceil) if p >= 0})
+            at = {r["row_id"]: r["x"] for r in dense_row_id(x, ["x"]).filter(F.col("row_id").isin(wanted)).collect()} if wanted else {}
+            self.edges = [at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in places] if at else []
         elif self.strategy == "uniform":
             low, high = x.agg(F.min("x"), F.max("x")).first()
             self.edges = [] if low is None else [low + (high - low) * k for k in inner]

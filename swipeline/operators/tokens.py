@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swipeline.functions import clean
 from swipeline.functions.values import CHIPS, INDUSTRIES, KNOWN_MCCS, SPECIALS, STATES
-from swipeline.operators.steps import FixedInt, HashBucket, Mapping, Ranges, Step, TimeDelta
-from swipeline.sources.io import normalize_names, require
+from swipeline.operators.steps import FixedInt, HashBucket, LearnedBins, Mapping, Ranges, Step, TimeDelta
+from swipeline.sources.io import normalize_names, read_corpus, require
 
 NEEDED = ["user", "card", "year", "month", "day", "time", "amount", "use_chip", "merchant_name", "merchant_state", "zip", "mcc"]
 
 
-def preprocess(raw: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Typed features of raw transactions: one projection, and one window for the time since the account's last transaction."""
+def preprocess(raw: DataFrame, row_id: str = "row_id", lenient: bool = False, zip_width: int | None = None) -> DataFrame:
+    """Typed features of raw transactions: one projection, and one window for the time since the account's last transaction.
+
+    ``lenient`` makes amounts that are no numbers null instead of raising; ``zip_width`` restores leading zeros of ZIP codes before they are cut.
+    """
     df = require(normalize_names(raw), NEEDED)
     c = F.col
     time = c("time_full") if "time_full" in df.columns else clean.txn_time(c("year"), c("month"), c("day"), c("time"))
     mcc = F.coalesce(c("mcc"), F.lit(-1)).cast("int")
+    amount = clean.dollars(c("amount"), lenient)
     typed = df.select(
-        c(row_id).alias("row_id"), c("user"), clean.clip(c("card"), 0, 9).cast("int").alias("card"), time.alias("time_full"), clean.dollars(c("amount")).alias("amount"),
-        clean.amount_bin(clean.dollars(c("amount"))).alias("amt_val"), clean.merchant_clean(c("merchant_name")).alias("merch_hash"),
+        c(row_id).alias("row_id"), c("user"), clean.clip(c("card"), 0, 9).cast("int").alias("card"), time.alias("time_full"), amount.alias("amount"),
+        clean.amount_bin(amount).alias("amt_val"), clean.merchant_clean(c("merchant_name")).alias("merch_hash"),
         mcc.alias("mcc_int"), mcc.cast("string").alias("mcc_str"), F.hour(time).alias("hour"), F.weekday(time).alias("dow"), F.month(time).alias("month"),
-        F.upper("use_chip").alias("chip_upper"), clean.zip3(c("zip")).alias("zip3"), clean.state_clean(c("merchant_state")).alias("state_clean"),
+        F.upper("use_chip").alias("chip_upper"), clean.zip3(c("zip"), zip_width).alias("zip3"), clean.state_clean(c("merchant_state")).alias("state_clean"),
         clean.clip(c("user"), 0, 2999).cast("int").alias("cust"), *([clean.fraud_flag(c("is_fraud?")).alias("is_fraud")] if "is_fraud?" in df.columns else []),
     )
     return typed.withColumn("time_delta_s", time_delta())
@@ -40,9 +47,11 @@ def time_delta() -> Column:
     return F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0)).cast("long")
 
 
-def default_steps(buckets: int = 2000, time_bins: int = 0) -> list[Step]:
+def default_steps(buckets: int = 2000, time_bins: int = 0, amount_strategy: str = "fixed", amount_bins: int = 10) -> list[Step]:
+    """The twelve steps; amounts have fixed bins, or ``amount_bins`` learned ones by 'quantile', 'uniform' or 'kmeans'."""
+    fixed = amount_strategy == "fixed"
     steps = [
-        FixedInt("amt_val", "amt_val", "AMT", 0, 6), HashBucket("merch_hash", "merch_hash", "MERCH", buckets), Ranges("mcc_int", "mcc_int", "CAT", INDUSTRIES),
+        FixedInt("amt_val", "amt_val", "AMT", 0, 6) if fixed else LearnedBins("amt_val", "amount", "AMT", amount_bins, amount_strategy), HashBucket("merch_hash", "merch_hash", "MERCH", buckets), Ranges("mcc_int", "mcc_int", "CAT", INDUSTRIES),
         Mapping("mcc_str", "mcc_str", "MCC", sorted(map(str, KNOWN_MCCS)), None, "-1"), FixedInt("hour", "hour", "HOUR", 0, 23, 2), FixedInt("dow", "dow", "DOW", 0, 6),
         FixedInt("month", "month", "MONTH", 1, 12, 2), FixedInt("card", "card", "CARD", 0, 9), Mapping("chip_upper", "chip_upper", "CHIP", [], CHIPS, "UNK"),
         FixedInt("zip3", "zip3", "ZIP3", 0, 999, 3), Mapping("state_clean", "state_clean", "STATE", sorted(STATES), None, "XX"), FixedInt("cust", "cust", "CUST", 0, 2999),
@@ -62,6 +71,20 @@ class TokenPipeline:
         if len({s.name for s in self.steps}) < len(self.steps):
             raise ValueError("two steps have one name")
 
+    def add_step(self, step: Step, *columns: str) -> TokenPipeline:
+        """Adds a step at the end. With several ``columns`` it is one step for each, under the name of all and its own, with a vocabulary of its own."""
+        key = "_".join(columns)
+        new = [replace(step, name=key if len(columns) == 1 else f"{key}.{c}", column=c) for c in columns] or [step]
+        names = [s.name for s in (*self.steps, *new)]
+        if len(set(names)) < len(names):
+            raise ValueError("two steps have one name")
+        self.steps, self.fitted = [*self.steps, *new], False
+        return self
+
+    def vocab_size(self) -> int:
+        """How many different tokens there are."""
+        return len({r[0] for r in self.vocab_rows()})
+
     def fit(self, df: DataFrame | None = None) -> TokenPipeline:
         for s in self.steps:
             if df is not None:
@@ -114,11 +137,28 @@ class TokenPipeline:
         return lines.select("user", "card", "chunk_id", "n_txn", F.concat(F.lit("<bos> "), body, F.lit(" <eos>")).alias("text"))
 
 
-def encode_text(df: DataFrame, vocab: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key, input_ids) by a join with the vocabulary, unknown words as 4, in their order."""
-    words = df.select(*key, F.posexplode(F.split(F.trim(text), r"\s+")).alias("pos", "token"))
-    found = words.join(F.broadcast(vocab.select("token", "id")), "token", "left")
-    return found.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(4)).alias("id")))), lambda x: x["id"]).alias("input_ids"))
+def encode_text(df: DataFrame, vocab: DataFrame, key: list[str], text: str = "text", length: int | None = None, most: int = 1_000_000) -> DataFrame:
+    """(key, input_ids) of white-space separated words, unknown ones as 4; with ``length`` cut and padded to it.
+
+    The vocabulary, of ``most`` tokens at most, goes to the tasks as a table, so no word is shuffled.
+    """
+    rows = vocab.select("token", "id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the vocabulary has more than {most} tokens")
+    ids = {r["token"]: r["id"] for r in rows}
+
+    @F.pandas_udf("array<int>")
+    def look_up(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [ids.get(w, 4) for w in t.split()] if t is not None else [])
+
+    found = df.select(*key, look_up(F.col(text)).alias("input_ids"))
+    return found if length is None else found.withColumn("input_ids", F.slice(F.concat("input_ids", F.array_repeat(F.lit(0), length)), 1, length))
+
+
+def load_corpus(spark: SparkSession, path: str, vocab: DataFrame, length: int, compatible: bool = False) -> DataFrame:
+    """(input_ids, attention_mask, labels) of each line of a corpus: encoded, cut and padded to ``length``."""
+    rows = clm_examples(encode_text(read_corpus(spark, path), vocab, [], length=length), length, compatible)
+    return rows.withColumn("attention_mask", F.transform("input_ids", lambda x: (x != 0).cast("int"))).select("input_ids", "attention_mask", "labels")
 
 
 def decode(df: DataFrame, pipeline: TokenPipeline, key: str, ids: str = "input_ids") -> DataFrame:

@@ -12,6 +12,7 @@ from swipeline.functions.values import INDUSTRIES
 from swipeline.operators import features as fe
 from swipeline.operators import split as sp
 from swipeline.operators import tokens as tk
+from swipeline.operators.ranges import dense_row_id
 from swipeline.operators.steps import LearnedBins, Mapping, TimeDelta
 from swipeline.plans import oracle as o
 from swipeline.sources import fixtures
@@ -61,7 +62,7 @@ add("scan_parquet", table("orders"), "SELECT * FROM orders")
 add("scan_pruned", lambda s, d: table("orders")(s, d).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders")
 add("feature_select", on_txn(lambda t: t.select("row_id", "User", "Card", "MCC", "Zip")), 'SELECT row_id, "User", "Card", "MCC", "Zip" FROM txn', o.TXN)
 add("preview", on_txn(lambda t: t.orderBy("row_id").limit(5)), "SELECT * FROM txn ORDER BY row_id LIMIT 5", o.TXN)
-add("row_id", lambda s, d: fe.dense_row_id(table("events")(s, d).select("ts", "event_id"), ["ts", "event_id"]), "SELECT ts, event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_id FROM events")
+add("row_id", lambda s, d: dense_row_id(table("events")(s, d).select("ts", "event_id"), ["ts", "event_id"]), "SELECT ts, event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_id FROM events")
 add("normalize_columns", on_txn(lambda t: normalize_names(t).select("row_id", "use_chip", "merchant_name", "is_fraud?")), 'SELECT row_id, "Use Chip" AS use_chip, "Merchant Name" AS merchant_name, "Is Fraud?" AS "is_fraud?" FROM txn', o.TXN)
 add("clean_amount", on_txn(lambda t: t.select("row_id", clean.dollars(C("Amount")).alias("amount"))), f"SELECT row_id, {o.AMOUNT} AS amount FROM txn", o.TXN)
 add("target_flag", on_txn(lambda t: t.select("row_id", clean.fraud_flag(C("Is Fraud?")).alias("target"))), "SELECT row_id, (lower(trim(\"Is Fraud?\")) IN ('yes', '1'))::INT AS target FROM txn", o.TXN)
@@ -98,7 +99,7 @@ add("encode_ids", on_typed(lambda t: t.select("row_id", fitted().ids().alias("id
 for name, length, special in (("encode_padded", 16, True), ("encode_short", 8, True), ("encode_nospecial", 16, False)):
     whole = "list_concat([1], ids, [2])" if special else "ids"
     add(name, on_typed(lambda t, n=length, x=special: fitted().encode(t, n, x)), f"SELECT row_id, list_concat({whole}, list_transform(range({length}), lambda x: 0))[1:{length}] AS input_ids FROM ids", o.TXN, o.CLEAN, o.IDS)
-add("attention_mask", on_typed(lambda t: fitted().encode(t, 16).select("row_id", fe.attention_mask(C("input_ids")).alias("mask"))), "SELECT row_id, list_concat(list_transform(range(14), lambda x: 1), [0, 0]) AS mask FROM ids", o.TXN, o.CLEAN, o.IDS)
+add("attention_mask", on_typed(lambda t: fitted().encode(t, 16).select("row_id", fe.attention_mask(F.transform("input_ids", lambda x: F.when(x % 3 == 0, 0).otherwise(x))).alias("mask"))), "SELECT row_id, list_transform(list_concat([1], ids, [2], [0, 0]), lambda x: (x % 3 <> 0)::INT) AS mask FROM ids", o.TXN, o.CLEAN, o.IDS)
 add("clm_examples", on_typed(lambda t: tk.clm_examples(fitted().encode(t, 16), 20)), "SELECT row_id, list_concat([1], ids, [2], list_transform(range(6), lambda x: 0)) AS input_ids, list_concat([1], ids, [2], list_transform(range(6), lambda x: -100)) AS labels FROM ids", o.TXN, o.CLEAN, o.IDS)
 add("decode", lambda s, d: tk.decode(fitted().encode(typed(s, d), 16), fitted(), "row_id"), f"SELECT row_id, '<bos> ' || concat_ws(' ', {', '.join(o.PARTS)}) || ' <eos>' AS text FROM tok", *TOKENS)
 add("encode_text", lambda s, d: tk.encode_text(typed(s, d).select("row_id", F.concat(fitted().text(), F.lit(" ?")).alias("text")), fitted().vocab_table(s), ["row_id"]), "SELECT row_id, list_append(ids, 4) AS input_ids FROM ids", o.TXN, o.CLEAN, o.IDS)
@@ -108,6 +109,7 @@ add("seq_position", on_typed(lambda t: t.select("row_id", (F.row_number().over(t
 add("chunk_id", on_typed(lambda t: t.select("row_id", F.floor((F.row_number().over(tk.account_order()) - 1) / 4).cast("int").alias("chunk_id"))), f"SELECT row_id, (pos // 4)::INT AS chunk_id FROM ({POSITION} pos FROM clean)", o.TXN, o.CLEAN)
 SEQ = (*TOKENS, o.LINE, o.CORPUS)
 add("corpus_lines", on_typed(lambda t: fitted().corpus(t, 4)), "SELECT * FROM corpus", *SEQ)
+add("corpus_lines_full", on_typed(lambda t: fitted().corpus(t, 315)), "SELECT * FROM corpus", *TOKENS, o.LINE, o.CORPUS.replace("pos // 4", "pos // 315"))
 add("corpus_count", on_typed(lambda t: fitted().corpus(t, 4).agg(F.count("*").alias("lines"))), "SELECT count(*) AS lines FROM corpus", *SEQ)
 add("corpus_stats", on_typed(lambda t: fitted().corpus(t, 4).select("user", "card", "chunk_id", (F.size(F.split("text", "<sep>")) - 1).alias("seps"), F.size(F.split("text", " ")).alias("words"))), "SELECT \"user\", card, chunk_id, len(string_split(text, '<sep>')) - 1 AS seps, len(string_split(text, ' ')) AS words FROM corpus", *SEQ)
 add("context_capacity", lambda s, d: s.range(1).select(F.lit(tk.context_capacity(4096, len(tk.default_steps()))).alias("rows"), F.lit(tk.context_capacity(4096, 40)).alias("rows_general")), "SELECT 315 AS rows, 99 AS rows_general")
@@ -197,6 +199,9 @@ def histogram(s: SparkSession, d: str) -> DataFrame:
 add("user_histogram", histogram, "SELECT least(floor((n - low) / ((high - low) / 50)), 49)::INT AS bin, count(*) AS users FROM per, (SELECT min(n) AS low, max(n) AS high FROM per) GROUP BY 1", o.TXN, PER_USER)
 add("mcc_fraud_topn", on_txn(lambda t: t.groupBy("MCC").agg(F.count("*").alias("n"), (100 * F.sum(clean.fraud_flag(C("Is Fraud?"))) / F.count("*")).alias("rate")).filter("n >= 2 AND MCC IS NOT NULL").orderBy(F.desc("rate"), "MCC").limit(15)), "SELECT \"MCC\", count(*) AS n, 100.0::DOUBLE * count(*) FILTER (\"Is Fraud?\" = 'Yes') / count(*) AS rate FROM txn WHERE \"MCC\" IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 ORDER BY rate DESC, \"MCC\" LIMIT 15", o.TXN)
 
+MANY = "n >= 500 AND MCC IS NOT NULL"
+add("mcc_fraud_many", on_txn(lambda t: t.groupBy("MCC").agg(F.count("*").alias("n"), (100 * F.sum(clean.fraud_flag(C("Is Fraud?"))) / F.count("*")).alias("rate")).filter(MANY).orderBy(F.desc("rate"), "MCC").limit(15)), "SELECT \"MCC\", count(*) AS n, 100.0::DOUBLE * count(*) FILTER (\"Is Fraud?\" = 'Yes') / count(*) AS rate FROM txn WHERE \"MCC\" IS NOT NULL GROUP BY 1 HAVING count(*) >= 500 ORDER BY rate DESC, \"MCC\" LIMIT 15", o.TXN)
+
 
 def topn_other(s: SparkSession, d: str) -> DataFrame:
     """The top list has three rows by construction, so it is broadcast."""
@@ -216,6 +221,7 @@ add("stratified_sample", lambda s, d: sp.stratified_sample(fixtures.txn_events(s
   SELECT q1 + CASE WHEN left_over > 0 AND (f1 > f0) THEN 1 ELSE 0 END AS q1, q0 + CASE WHEN left_over > 0 AND (f0 >= f1) THEN 1 ELSE 0 END AS q0 FROM (
     SELECT 300 * ones // total AS q1, 300 * zeros // total AS q0, 300 * ones % total AS f1, 300 * zeros % total AS f0, 300 - 300 * ones // total - 300 * zeros // total AS left_over FROM n))
   WHERE r <= CASE WHEN is_fraud = 1 THEN q1 ELSE q0 END""", o.EVENTS, COUNTS)
+add("shuffled", lambda s, d: sp.shuffle(fixtures.txn_events(s, d)).limit(100).select("row_id"), "SELECT row_id FROM ev ORDER BY md5('42|' || row_id::VARCHAR), row_id LIMIT 100", o.EVENTS)
 add("uniform_sample", lambda s, d: sp.uniform_sample(fixtures.txn_events(s, d), 500).select("row_id"), "SELECT row_id FROM ev ORDER BY md5('42|' || row_id::VARCHAR), row_id LIMIT 500", o.EVENTS)
 
 # Features, embeddings, models and metrics
@@ -237,14 +243,14 @@ add("embedding_dim_variance", lambda s, d: vectors(s, d).select(F.posexplode("em
 
 
 def states(s: SparkSession, d: str) -> DataFrame:
-    """A vector of three dimensions at each of 16 positions, of which 14 are real."""
-    ids = fitted().encode(typed(s, d), 16)
+    """A vector of three dimensions at each of 16 positions, of which 12 are real."""
+    ids = fitted().encode(typed(s, d), 16, False)
     vector = F.transform("input_ids", lambda x: F.array(x.cast("double"), (x % 7).cast("double"), (x % 11).cast("double")))
     return ids.select("row_id", vector.alias("states"), fe.attention_mask(C("input_ids")).alias("mask"))
 
 
-add("pool_last", lambda s, d: fe.pool(states(s, d), "last"), "SELECT row_id, [2.0::DOUBLE, 2, 2] AS embedding FROM ids", o.TXN, o.CLEAN, o.IDS)
-add("pool_mean", lambda s, d: fe.pool(states(s, d), "mean"), "SELECT row_id, [list_sum(a) / 14.0::DOUBLE, list_sum(list_transform(a, lambda x: x % 7)) / 14.0::DOUBLE, list_sum(list_transform(a, lambda x: x % 11)) / 14.0::DOUBLE] AS embedding FROM (SELECT row_id, list_concat([1], ids, [2]) AS a FROM ids)", o.TXN, o.CLEAN, o.IDS)
+add("pool_last", lambda s, d: fe.pool(states(s, d), "last"), "SELECT row_id, [ids[12]::DOUBLE, ids[12] % 7, ids[12] % 11] AS embedding FROM ids", o.TXN, o.CLEAN, o.IDS)
+add("pool_mean", lambda s, d: fe.pool(states(s, d), "mean"), "SELECT row_id, [list_sum(ids) / 12.0::DOUBLE, list_sum(list_transform(ids, lambda x: x % 7)) / 12.0::DOUBLE, list_sum(list_transform(ids, lambda x: x % 11)) / 12.0::DOUBLE] AS embedding FROM ids", o.TXN, o.CLEAN, o.IDS)
 SCORED = "scored AS (SELECT n_chars AS score, toxic AS label FROM documents JOIN labels USING (doc_id))"
 scored = lambda s, d: table("documents")(s, d).join(table("labels")(s, d), "doc_id").select(C("n_chars").alias("score"), C("toxic").alias("label"))
 PER = "per AS (SELECT score, sum(label)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM scored GROUP BY 1)"

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from swipeline.functions.clean import strip
 
 TXN_RAW = (
     "`User` long, `Card` long, `Year` int, `Month` int, `Day` int, `Time` string, `Amount` string, `Use Chip` string, `Merchant Name` string, "
@@ -13,8 +18,13 @@ TXN_RAW = (
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str = TXN_RAW) -> DataFrame:
-    """A CSV file with a header; names are taken from ``schema`` and their white space does not matter."""
-    return spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", True).csv(path)
+    """A CSV file with a header, its columns found by name in any order; white space around names does not matter, others are left out.
+
+    Columns are read as text and cast to ``schema``; a missing one raises.
+    """
+    want = StructType.fromDDL(schema)
+    rows = require(strip_names(spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).csv(path)), want.names)
+    return rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in want))
 
 
 def strip_names(df: DataFrame) -> DataFrame:
@@ -47,6 +57,13 @@ def exists(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
     return True
 
 
+def once(spark: SparkSession, path: str, make: Callable[[], DataFrame], fmt: str = "parquet") -> DataFrame:
+    """The table at ``path``; it is made and written only if it is not there, so samples and other results are drawn once and used again."""
+    if not exists(spark, path, fmt):
+        make().write.format(fmt).save(path)
+    return spark.read.format(fmt).load(path)
+
+
 def write_splits(df: DataFrame, path: str, split: str | Column = "split") -> None:
     df.write.mode("overwrite").partitionBy(split).parquet(path)
 
@@ -56,8 +73,8 @@ def write_corpus(corpus: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Lines, stripped, without blank ones."""
-    return spark.read.text(path).select(F.trim("value").alias("text")).filter(F.length("text") > 0)
+    """Lines, without white space of any kind around them, and without blank ones."""
+    return spark.read.text(path).select(strip(F.col("value")).alias("text")).filter(F.length("text") > 0)
 
 
 def write_embeddings(df: DataFrame, path: str) -> None:

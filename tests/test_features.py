@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from swipeline.operators import features as fe
 from swipeline.operators import split as sp
+from swipeline.operators.ranges import dense_row_id
 from swipeline.operators import tokens as tk
 from swipeline.streaming.sequences import stream_sequences
 
@@ -28,7 +29,7 @@ def test_samples(spark):
 
 def test_row_ids_alignment_and_pooling(spark):
     df = spark.createDataFrame([(x,) for x in (5, 3, 9, 1)], "x int")
-    assert sorted((r["x"], r["row_id"]) for r in fe.dense_row_id(df, ["x"]).collect()) == [(1, 0), (3, 1), (5, 2), (9, 3)]
+    assert sorted((r["x"], r["row_id"]) for r in dense_row_id(df, ["x"]).collect()) == [(1, 0), (3, 1), (5, 2), (9, 3)]
     with pytest.raises(ValueError):
         fe.align(spark.createDataFrame([(1,)], "row_id int"), spark.createDataFrame([(2,)], "row_id int"))
     states = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0])], "row_id int, states array<array<double>>, mask array<int>")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from swipeline.functions import clean
 from swipeline.functions.values import KNOWN_MCCS
 from swipeline.operators import tokens as tk
-from swipeline.operators.steps import LearnedBins, Mapping, TimeDelta, from_state
+from swipeline.operators.steps import FixedInt, LearnedBins, Mapping, TimeDelta, from_state
 from swipeline.sources import io
 
 BASE = {
@@ -105,3 +105,72 @@ def test_files(spark, tmp_path):
     assert io.read_embeddings(spark, str(tmp_path / "e"), 2, 1).count() == 1
     with pytest.raises(ValueError):
         io.read_embeddings(spark, str(tmp_path / "e"), 3)
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(" Card,User ,Time,Year,Month,Day,Amount,Use Chip,Merchant Name,Merchant City,Merchant State,Zip,MCC,Is Fraud?,More\n1,7,04:05,2020,2,3,$6.00,Chip Transaction,9,Y,CA,1.0,5411,No,x\n")
+    row = io.scan_csv(spark, str(tmp_path / "t.csv")).first()
+    assert (row["User"], row["Card"], row["Time"], row["MCC"]) == (7, 1, "04:05", 5411) and len(row) == 14
+    (tmp_path / "u.csv").write_text("User,Card\n1,2\n")
+    with pytest.raises(ValueError, match="missing columns"):
+        io.scan_csv(spark, str(tmp_path / "u.csv"))
+
+
+def test_corpus_lines_lose_all_white_space(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("a b\t\n\t\n \t c\u00a0\n\n")
+    assert [r.text for r in io.read_corpus(spark, str(tmp_path / "c.txt")).collect()] == ["a b", "c"]
+    states = spark.createDataFrame([("\tca\n",), ("\t",)], "s string")
+    assert [r[0] for r in states.select(clean.state_clean(F.col("s"))).collect()] == ["CA", "XX"]
+
+
+def test_wide_and_negative_numbers(spark):
+    step = FixedInt("x", "x", "N", -5, 150, 2)
+    rows = spark.createDataFrame([(150,), (-5,), (7,), (999,)], "x int")
+    got = [r["t"] for r in rows.select(step.token().alias("t")).collect()]
+    assert got == ["N_150", "N_-5", "N_07", "N_150"] and set(got) <= set(step.vocab())
+
+
+def test_learned_mapping_without_data_and_with_too_many(spark):
+    df = spark.createDataFrame([("b",), (None,)], "s string")
+    step = Mapping("s", "s", "S", learned=True)
+    assert [tuple(r) for r in df.select(step.token(), step.index()).collect()] == [("S_b", 0), ("S_UNK", 0)] and step.vocab() == ["S_UNK"]
+    with pytest.raises(ValueError, match="more than 3"):
+        Mapping("id", "id", "S", learned=True, most=3).fit(spark.range(9))
+
+
+def test_steps_added_and_learned_amounts(spark):
+    df = tk.preprocess(frame(spark, *({"Amount": f"${k}.00"} for k in range(20))))
+    pipeline = tk.TokenPipeline(tk.default_steps(amount_strategy="quantile", amount_bins=4)).add_step(FixedInt("", "", "X", 0, 9), "hour", "dow").fit(df)
+    assert [s.name for s in pipeline.steps[-2:]] == ["hour_dow.hour", "hour_dow.dow"] and pipeline.offsets["hour_dow.dow"] == pipeline.offsets["hour_dow.hour"] + 10
+    assert pipeline.vocab_size() == len(pipeline.vocab_rows()) - 10  # the two columns' tokens read alike
+    assert sorted(r[0] for r in pipeline.transform(df).select("amt_val").collect()) == sorted(f"AMT_{k // 5}" for k in range(20))
+    with pytest.raises(ValueError):
+        pipeline.add_step(FixedInt("", "", "X", 0, 9), "hour", "dow")
+
+
+def test_options_of_preprocess(spark):
+    df = frame(spark, {"Amount": "no number", "Zip": "501.0"})
+    row = tk.preprocess(df, lenient=True, zip_width=5).first()
+    assert row["amount"] is None and row["amt_val"] == 0 and row["zip3"] == 5
+
+
+def test_load_corpus_and_text_lengths(spark, tmp_path):
+    pipeline = tk.TokenPipeline().fit()
+    vocab = pipeline.vocab_table(spark)
+    (tmp_path / "c.txt").write_text("<bos> AMT_1 what <eos>\n\n  AMT_0  \n")
+    rows = sorted(tuple(map(list, r)) for r in tk.load_corpus(spark, str(tmp_path / "c.txt"), vocab, 3).collect())
+    assert rows == [[[1, 6, 4], [1, 1, 1], [1, 6, 4]], [[5, 0, 0], [1, 0, 0], [5, -100, -100]]] or rows == [([1, 6, 4], [1, 1, 1], [1, 6, 4]), ([5, 0, 0], [1, 0, 0], [5, -100, -100])]
+    text = spark.createDataFrame([(1, "<bos> AMT_1"), (2, None)], "k int, text string")
+    assert [r.input_ids for r in tk.encode_text(text, vocab, ["k"], length=4).orderBy("k").collect()] == [[1, 6, 0, 0], [0, 0, 0, 0]]
+
+
+def test_splits_and_results_written_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "train"), (2, "test"), (3, "train")], "row_id int, split string")
+    io.write_splits(df, str(tmp_path / "s"))
+    assert sorted(r.row_id for r in spark.read.parquet(str(tmp_path / "s" / "split=train")).collect()) == [1, 3]
+    made = []
+    for _ in range(2):
+        out = io.once(spark, str(tmp_path / "o"), lambda: made.append(1) or df)
+        assert out.count() == 3
+    assert made == [1]
+    assert io.first_of(df, ["rowid", "row_id"]) == "row_id" and io.strip_names(df.toDF(" a ", "b")).columns == ["a", "b"]
