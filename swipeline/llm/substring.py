@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -11,10 +12,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD_BASE, WINDOW_BASE, MIX = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+WINDOW_BASE, MIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-BYTE = np.array([(b + 1) * 0x2545F4914F6CDD1D % (1 << 64) for b in range(256)], np.uint64)
+#: The largest primes below 2**53 and 2**52: a byte's digit times a power fits in 64 bits, and so does a sum of LONG of them.
+PRIMES = [np.uint64(2**53 - 111), np.uint64(2**52 - 47)]
+LONG = 64
+POWERS = [np.array([pow(base, k, int(p)) for k in range(LONG)], np.uint64) for base, p in zip((0x1B873593CC9E2D, 0x85EBCA6BC2B2A), PRIMES, strict=True)]
 NO_ID = np.iinfo(np.int64).max
 SCHEMA = "key long, kind int, part binary"
 ROWS = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("part", pa.binary())])
@@ -33,25 +37,41 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int = 500_000) -> np.ndarray:
-    """A 64-bit polynomial hash of each word's bytes, so many words at a time."""
-    out = [np.zeros(0, np.uint64)]
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int = 100_000) -> np.ndarray:
+    """(2, words): two independent numbers of each word, its bytes as digits modulo two primes, so many words at a time; a long word's are of its BLAKE2 digest."""
+    out = [np.zeros((2, 0), np.uint64)]
     for k in range(0, len(starts), words):
         a, sizes = starts[k : k + words], ends[k : k + words] - starts[k : k + words]
+        far = np.flatnonzero(sizes > LONG)
+        sizes = np.where(sizes > LONG, 1, sizes)
         firsts = np.cumsum(sizes) - sizes
         inside = np.arange(sizes.sum()) - np.repeat(firsts, sizes)
-        powers = np.cumprod(np.full(int(sizes.max()), WORD_BASE))
-        out.append(np.add.reduceat(BYTE[data[np.repeat(a, sizes) + inside]] * powers[inside], firsts))
-    return mixed(np.concatenate(out))
+        digits = data[np.repeat(a, sizes) + inside].astype(np.uint64) + np.uint64(1)
+        found = np.stack([np.add.reduceat(digits * power[inside] % prime, firsts) for power, prime in zip(POWERS, PRIMES, strict=True)])
+        for j in far:
+            found[:, j] = np.frombuffer(hashlib.blake2b(data[a[j] : ends[k + j]].tobytes(), digest_size=16).digest(), "<u8")
+        out.append(found)
+    return mixed(np.concatenate(out, axis=1))
+
+
+def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The Rabin-Karp hash of each run of ``window`` words, whose numbers are digits in a fixed base, in 64 bits, and 16 bits of another one over the words' second numbers."""
+    n = max(0, words.shape[1] - window + 1)
+    h, c = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for k in range(window):
+        h = h * WINDOW_BASE + words[0, k : k + n]
+        c = c * MIX + words[1, k : k + n]
+    return mixed(h), (mixed(c) >> np.uint64(48)).astype(np.uint16)
 
 
-def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
-    """The Rabin-Karp hash of each run of ``window`` words: words are digits of a number in a fixed base, modulo 2**64."""
-    n = max(0, len(words) - window + 1)
-    h = np.zeros(n, np.uint64)
-    for k in range(window):
-        h = h * WINDOW_BASE + words[k : k + n]
-    return mixed(h)
+def alike(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order in which windows with equal hash and check stand together, in their own order; where each such group begins)."""
+    order = np.argsort(h, kind="stable")
+    if ((np.diff(h[order]) == 0) & (np.diff(c[order]) != 0)).any():
+        order = np.lexsort((c, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)
+    return order, np.flatnonzero(new)
 
 
 def planes(*columns: np.ndarray) -> bytes:
@@ -70,18 +90,18 @@ def from_planes(data: bytes, *columns: tuple[str, int]) -> list[np.ndarray]:
     return out
 
 
-def pack_windows(h: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> bytes:
+def pack_windows(h: np.ndarray, c: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> bytes:
     """Windows in the order of their documents: the hashes as they are, the rest as runs of a document."""
     first = np.flatnonzero(np.diff(row, prepend=-1))
     runs = np.diff(np.append(first, len(row))).astype("<u4")
-    return struct.pack("<II", len(h), len(runs)) + h.tobytes() + planes(ids[row[first]], tags[row[first]], runs, pos.astype("<u4"))
+    return struct.pack("<II", len(h), len(runs)) + h.tobytes() + c.astype("<u2").tobytes() + planes(ids[row[first]], tags[row[first]], runs, pos.astype("<u4"))
 
 
-def unpack_windows(part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack_windows(part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, r = struct.unpack_from("<II", part)
-    h = np.frombuffer(part, "<u8", n, 8)
-    ids, tags, runs, pos = from_planes(part[8 + 8 * n :], ("<i8", r), ("<i8", r), ("<u4", r), ("<u4", n))
-    return h, np.repeat(ids, runs), np.repeat(tags, runs), pos
+    h, c = np.frombuffer(part, "<u8", n, 8), np.frombuffer(part, "<u2", n, 8 + 8 * n)
+    ids, tags, runs, pos = from_planes(part[8 + 10 * n :], ("<i8", r), ("<i8", r), ("<u4", r), ("<u4", n))
+    return h, c, np.repeat(ids, runs), np.repeat(tags, runs), pos
 
 
 def pack_spans(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> bytes:
@@ -147,27 +167,27 @@ def removals(docs: DataFrame, window: int, buckets: int, groups: int, chunk: int
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tags, texts in chunks(batches, chunk):
-            parts, owner, place = [], [], []
+            parts, checks, owner, place = [], [], [], []
             for k, text in enumerate(texts):
                 data = np.frombuffer(text, np.uint8)
-                h = window_hashes(word_hashes(data, *word_spans(data)), window) if len(data) else ()
+                h, c = window_hashes(word_hashes(data, *word_spans(data)), window) if len(data) else ((), ())
                 if len(h):
                     parts.append(h)
+                    checks.append(c)
                     owner.append(np.full(len(h), k))
                     place.append(np.arange(len(h)))
             if not parts:
                 continue
-            h, row, pos = map(np.concatenate, (parts, owner, place))
-            del parts, owner, place
-            order = np.argsort(h, kind="stable")
-            first = np.flatnonzero(np.diff(h[order], prepend=~h[order[0]]))
+            h, c, row, pos = map(np.concatenate, (parts, checks, owner, place))
+            del parts, checks, owner, place
+            order, first = alike(h, c)
             least = np.repeat(ids[row[order[first]]], np.diff(np.append(first, len(h))))
             later = ids[row[order]] > least
             found, gone, kept = [], np.sort(order[later]), np.sort(order[~later])
             bucket = (h[kept] % np.uint64(buckets)).astype(np.int64)
             for key, at in by_key(bucket):
                 w = kept[at]
-                found.append((key, TO_BUCKET, pack_windows(h[w], row[w], pos[w], ids, tags)))
+                found.append((key, TO_BUCKET, pack_windows(h[w], c[w], row[w], pos[w], ids, tags)))
             for key, at in by_key(home(ids[row[gone]], tags[row[gone]], groups)):
                 w = gone[at]
                 found.append((key, TO_DOCUMENT, pack_spans(ids[row[w]], tags[row[w]], pos[w])))
@@ -177,16 +197,15 @@ def removals(docs: DataFrame, window: int, buckets: int, groups: int, chunk: int
     def judge(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py() == TO_DOCUMENT:
             return table
-        h, ids, tags, pos = map(np.concatenate, zip(*(unpack_windows(x.as_py()) for x in table.column("part")), strict=True))
-        order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.diff(h[order], prepend=~h[order[0]]))
+        h, c, ids, tags, pos = map(np.concatenate, zip(*(unpack_windows(x.as_py()) for x in table.column("part")), strict=True))
+        order, first = alike(h, c)
         least = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(h))))
         gone = order[ids[order] > least]
         gone = gone[np.lexsort((pos[gone], tags[gone], ids[gone]))]
         found = [(key, TO_DOCUMENT, pack_spans(ids[gone[at]], tags[gone[at]], pos[gone[at]])) for key, at in by_key(home(ids[gone], tags[gone], groups))]
         return pa.Table.from_batches([rows(found)] if found else [], ROWS)
 
-    return docs.mapInArrow(scan, SCHEMA).groupBy("kind", "key").applyInArrow(judge, SCHEMA)
+    return docs.mapInArrow(scan, SCHEMA).repartition(2 * buckets, "key").groupBy("kind", "key").applyInArrow(judge, SCHEMA)
 
 
 def grouped_texts(docs: DataFrame, groups: int, chunk: int) -> DataFrame:
@@ -226,12 +245,13 @@ def substring_dedup(docs: DataFrame, window: int = 13, windows_per_bucket: int =
 
     Removes each word that a window of ``window`` consecutive words covers whose words also start in a document with a smaller
     doc_id; all windows are judged on the input. Words are runs of anything but ASCII white space, unchanged; ``spans``
-    are the maximal intervals of removed words and ``kept_text`` the others, joined by one space. Windows are equal when their 64-bit
-    Rabin-Karp hashes are. Buckets and document groups grow in number with the text, not in size: a bucket holds about
-    ``windows_per_bucket`` windows and a group their words.
+    are the maximal intervals of removed words and ``kept_text`` the others, joined by one space. Windows count as equal when their 64-bit
+    Rabin-Karp hashes and 16 bits of a second, independent one are: n different windows have some n * n / 2**81 pairs that only seem equal. Buckets and document groups grow in
+    number with the text, and the shuffles' partitions with them, not in size: a bucket holds about ``windows_per_bucket`` windows and a group their words.
+    A text of any length is read whole, by one task.
 
     Null and empty texts have no words. A null doc_id is above all others. Rows that share a doc_id are no copies of each
-    other; they are told apart by a 64-bit hash of their texts. An empty table gives no rows.
+    other; they are told apart by a 64-bit hash of their texts. Columns of other names play no part. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -264,4 +284,4 @@ def substring_dedup(docs: DataFrame, window: int = 13, windows_per_bucket: int =
         return pa.table({name: pa.array(list(c), k) for name, c, k in zip(names, columns, kinds, strict=True)})
 
     found = removals(docs, window, groups, groups, chunk).unionByName(grouped_texts(docs, groups, chunk))
-    return found.groupBy("key").applyInArrow(finish, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
+    return found.repartition(2 * groups, "key").groupBy("key").applyInArrow(finish, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")

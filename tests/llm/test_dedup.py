@@ -13,7 +13,7 @@ from swipeline.llm.common import components
 from swipeline.llm.exact_dedup import exact_dedup
 from swipeline.llm.hnsw import Shard, embedding_dedup, unit
 from swipeline.llm.simhash import keep_one, links, simhash_dedup
-from swipeline.llm.substring import substring_dedup
+from swipeline.llm.substring import alike, substring_dedup
 
 
 @pytest.fixture(scope="module")
@@ -141,6 +141,22 @@ def test_substring_edges(spark):
     assert substring_dedup(brute.table(spark, [])).count() == 0
 
 
+def test_substring_look_alike_words(spark):
+    """Words that collide in any polynomial modulo a power of two, and long ones that differ at the end, are different words."""
+    thue = "a"
+    for _ in range(10):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rows = [(k, " ".join(["w"] * 6 + [x] + ["v"] * 6), "s") for k, x in enumerate([thue, other, "z" * 500 + "1", "z" * 500 + "2", thue, thue[:60], other[:60]])]
+    assert {r.doc_id: r.n_removed for r in substring_dedup(brute.table(spark, rows)).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 13, 5: 0, 6: 0}
+
+
+def test_windows_of_one_hash_and_two_checks():
+    h, c = np.array([7, 5, 7, 7, 5], np.uint64), np.array([1, 3, 2, 1, 3], np.uint16)
+    order, first = alike(h, c)
+    assert [p.tolist() for p in np.split(order, first[1:])] == [[1, 4], [0, 3], [2]]
+
+
 def cosine_links(rows, least=0.98):
     unit = {}
     for i, v, label in rows:
