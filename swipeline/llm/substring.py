@@ -55,13 +55,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: i
 
 
 def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The Rabin-Karp hash of each run of ``window`` words, whose numbers are digits in a fixed base, in 64 bits, and 16 bits of another one over the words' second numbers."""
+    """The Rabin-Karp hash of each run of ``window`` words, whose numbers are digits in a fixed base, in 64 bits, and 8 bits of another one over the words' second numbers."""
     n = max(0, words.shape[1] - window + 1)
     h, c = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for k in range(window):
         h = h * WINDOW_BASE + words[0, k : k + n]
         c = c * MIX + words[1, k : k + n]
-    return mixed(h), (mixed(c) >> np.uint64(48)).astype(np.uint16)
+    return mixed(h), (mixed(c) >> np.uint64(56)).astype(np.uint8)
 
 
 def alike(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +94,13 @@ def pack_windows(h: np.ndarray, c: np.ndarray, row: np.ndarray, pos: np.ndarray,
     """Windows in the order of their documents: the hashes as they are, the rest as runs of a document."""
     first = np.flatnonzero(np.diff(row, prepend=-1))
     runs = np.diff(np.append(first, len(row))).astype("<u4")
-    return struct.pack("<II", len(h), len(runs)) + h.tobytes() + c.astype("<u2").tobytes() + planes(ids[row[first]], tags[row[first]], runs, pos.astype("<u4"))
+    return struct.pack("<II", len(h), len(runs)) + h.tobytes() + c.tobytes() + planes(ids[row[first]], tags[row[first]], runs, pos.astype("<u4"))
 
 
 def unpack_windows(part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, r = struct.unpack_from("<II", part)
-    h, c = np.frombuffer(part, "<u8", n, 8), np.frombuffer(part, "<u2", n, 8 + 8 * n)
-    ids, tags, runs, pos = from_planes(part[8 + 10 * n :], ("<i8", r), ("<i8", r), ("<u4", r), ("<u4", n))
+    h, c = np.frombuffer(part, "<u8", n, 8), np.frombuffer(part, np.uint8, n, 8 + 8 * n)
+    ids, tags, runs, pos = from_planes(part[8 + 9 * n :], ("<i8", r), ("<i8", r), ("<u4", r), ("<u4", n))
     return h, c, np.repeat(ids, runs), np.repeat(tags, runs), pos
 
 
@@ -246,7 +246,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, windows_per_bucket: int =
     Removes each word that a window of ``window`` consecutive words covers whose words also start in a document with a smaller
     doc_id; all windows are judged on the input. Words are runs of anything but ASCII white space, unchanged; ``spans``
     are the maximal intervals of removed words and ``kept_text`` the others, joined by one space. Windows count as equal when their 64-bit
-    Rabin-Karp hashes and 16 bits of a second, independent one are: n different windows have some n * n / 2**81 pairs that only seem equal. Buckets and document groups grow in
+    Rabin-Karp hashes and 8 bits of a second, independent one are: n different windows have some n * n / 2**73 pairs that only seem equal. Buckets and document groups grow in
     number with the text, and the shuffles' partitions with them, not in size: a bucket holds about ``windows_per_bucket`` windows and a group their words.
     A text of any length is read whole, by one task.
 

@@ -152,7 +152,7 @@ def test_substring_look_alike_words(spark):
 
 
 def test_windows_of_one_hash_and_two_checks():
-    h, c = np.array([7, 5, 7, 7, 5], np.uint64), np.array([1, 3, 2, 1, 3], np.uint16)
+    h, c = np.array([7, 5, 7, 7, 5], np.uint64), np.array([1, 3, 2, 1, 3], np.uint8)
     order, first = alike(h, c)
     assert [p.tolist() for p in np.split(order, first[1:])] == [[1, 4], [0, 3], [2]]
 
