@@ -234,7 +234,8 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     license that saves most. ``block`` is the line where the notice begins, start_word its place in the words of that line, and end_word
     that and the notice's words, which may go on over the next lines; ``differences`` says what the template has (-) and the text has (+).
 
-    Null and empty texts and those without a trigger give no rows; repeated rows give repeated results; a null doc_id is carried.
+    Null and empty texts and those without a trigger give no rows, nor does an empty table; repeated rows give repeated results; a null doc_id is carried. Texts
+    of any length are read whole, in time in proportion to their length. Columns of other names play no part.
     """
     templates = templates or TEMPLATES
     trigger = re.compile(TRIGGER)

@@ -37,7 +37,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     holds much of the data lies in many ranges. With distributed prefix sums of sizes each source is taken whole
     as often as its budget (the target, rounded) allows, and the rest from its start, cut within the last
     document, so that a source's taken words are its budget exactly. Ties go by doc_id, then size, so reruns agree.
-    Null texts and empty ones have size 0 and nothing taken; a null source is a source; an empty table gives no rows.
+    Null texts and empty ones have size 0 and nothing taken; texts of any length are counted whole; a null source is a source; columns of ``docs`` other than
+    ``carry`` play no part; an empty table gives no rows.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
     sized = cut(sized.withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))))

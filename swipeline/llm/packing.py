@@ -127,7 +127,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 2048, end
     is in exactly one piece: ``start`` is where it begins in its document, ``ids`` its ids as little-endian
     unsigned 32-bit numbers, ``offset`` its place in its sequence. Every task packs the documents it
     reads, online and with no shuffle, and numbers its sequences in a range of its own; its last rest is cut into
-    sequences whose lengths are powers of two. A null doc_id, repeated rows and empty texts are documents like others; an empty table gives no rows.
+    sequences whose lengths are powers of two. A null doc_id, repeated rows and empty texts are documents like others, and a
+    text of any length is cut into whole windows; columns of other names play no part; an empty table gives no rows.
     """
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
 
