@@ -23,6 +23,7 @@ TEMPLATES = {
         "This project is licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -32,16 +33,32 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "BSD-3-Clause": [
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "CC0-1.0": ["Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -106,10 +123,12 @@ class Scanner:
             # the longest step between rarer words, the words before the first and after the last, how many make a look
             self.shape.append((max([y - x for x, y in zip(own, own[1:], strict=False)], default=1) + 3, own[0], n - 1 - own[-1], min(2, len({words[k] for k in own}))))
 
-    def gain(self, words: list[str], form: int) -> float:
-        """The share of the compressed size that the template saves."""
+    def saving(self, words: list[str], form: int) -> tuple[int, float]:
+        """The bytes of the compressed size that the template saves, and their share of it."""
         data = " ".join(words).encode()
-        return 1 - len(self.given[form].compress(data)) / len(self.plain.compress(data))
+        alone = len(self.plain.compress(data))
+        saved = alone - len(self.given[form].compress(data))
+        return saved, saved / alone
 
     def runner_up(self, words: list[str], name: str) -> str | None:
         """The other license whose template saves most."""
@@ -160,18 +179,26 @@ class Scanner:
                 i, j = i + 1, j + 1
         return said, missing, added
 
-    def sure(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """(first, end, form) of all places that hold a form with as few edits as confirm it, those with fewest and then the longest first."""
-        seen, found = set(), []
+    def near(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(first, end, form) of candidate blocks around the places where a piece of a form stands."""
+        seen = set()
         for k, w in enumerate(words):
             for f, at, piece, anchor in self.pieces.get(w, ()):
-                if words[max(0, k - anchor) : k - anchor + len(piece)] == piece and (f, k - anchor - at) not in seen:
-                    seen.add((f, k - anchor - at))
-                    lo = max(0, k - anchor - at - self.edits[f])
-                    hit = self.align(words[lo : k - anchor - at + len(self.forms[f][1]) + self.edits[f]], f)
-                    if hit:
-                        found.append((hit[0], -len(self.forms[f][1]), lo + hit[1], lo + hit[2], f))
-        return [(a, z, f) for _, _, a, z, f in sorted(set(found))]
+                start = k - anchor - at
+                if words[max(0, k - anchor) : k - anchor + len(piece)] == piece and (f, start) not in seen:
+                    seen.add((f, start))
+                    yield max(0, start - self.edits[f]), min(len(words), start + len(self.forms[f][1]) + self.edits[f]), f
+
+    def confirmed(self, words: list[str], least: float) -> list[tuple[int, int, int]]:
+        """(first, end, form) of the winners, those that save most bytes first: candidate blocks are compressed with the template, those of
+        which it saves ``least`` are aligned with it word by word, and what the wording confirms is compressed again without its neighbours."""
+        found = set()
+        for lo, hi, f in self.near(words):
+            hit = self.align(words[lo:hi], f) if self.saving(words[lo:hi], f)[1] >= least else None
+            if hit:
+                cost, a, z = hit[0], lo + hit[1], lo + hit[2]
+                found.add((-self.saving(words[a:z], f)[0], cost, -len(self.forms[f][1]), a, z, f))
+        return [(a, z, f) for *_, a, z, f in sorted(found)]
 
     def looks(self, words: list[str], taken: bytearray) -> Iterator[tuple[int, int, int]]:
         """(first, end, form) of places for a form that is not confirmed: where its rarer words stand as close as in itself, of 1.5 times its
@@ -204,34 +231,35 @@ class Scanner:
                     i = j + 1
 
     def scan(self, words: list[str], least: float) -> Iterator[tuple]:
-        """The rows of a block: what is confirmed, then of the rest what a template saves ``least`` of, both without overlaps."""
+        """The rows of a text: winners that the wording confirms, then of the rest what a template saves ``least`` of, both without overlaps."""
         taken = bytearray(len(words))
-        for a, z, f in self.sure(words):
+        for a, z, f in self.confirmed(words, least):
             if not any(taken[a:z]):
                 taken[a:z] = b"\1" * (z - a)
-                yield self.row(words, a, z, f, self.gain(words[a:z], f), a, z, self.compare(words[a:z], f), True)
-        found = [(-g, -(z - a), a, z, f) for a, z, f in self.looks(words, taken) if z - a > 1 and (g := self.gain(words[a:z], f)) >= least]
-        for g, _, a, z, f in sorted(found):
+                yield self.row(words, a, z, f, a, z, self.compare(words[a:z], f), True)
+        ranked = sorted((-saved, a, z, f) for a, z, f in self.looks(words, taken) if z - a > 1 for saved, share in [self.saving(words[a:z], f)] if share >= least)
+        for _, a, z, f in ranked:
             if not any(taken[a:z]):
                 taken[a:z] = b"\1" * (z - a)
                 x, y, *rest = self.match(words[a:z], f)
-                yield self.row(words, a, z, f, -g, a + x, a + y, rest, False)
+                yield self.row(words, a, z, f, a + x, a + y, rest, False)
 
-    def row(self, words: list[str], a: int, z: int, form: int, gain: float, first: int, end: int, rest: tuple, ok: bool) -> tuple:
+    def row(self, words: list[str], a: int, z: int, form: int, first: int, end: int, rest: tuple, ok: bool) -> tuple:
         name, (said, missing, added) = self.forms[form][0], rest
         other = self.runner_up(words[a:z], name)
-        return first, end, name, float(gain), None if other is None else self.forms[other][0], missing, added, said, ok
+        return first, end, name, self.saving(words[a:z], form)[1], None if other is None else self.forms[other][0], missing, added, said, ok
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.2, slack: float = 0.1, level: int = 19) -> DataFrame:
     """One row for each notice that a text of ``docs`` seems to hold, on one line or over several, with what its wording differs in.
 
-    Texts with a trigger word are candidates. Every form is searched in them word by word, over line breaks and comment marks, and
-    confirmed where words missing and added are at most ``slack`` of its own, in prose as on a line of its own; of overlapping places the
-    one with fewest differences, then the longest form counts. In what is left, places with two rarer words of a form as close together as
-    in it, up to 1.5 times as long as the form, are compressed alone and with the template as a zstandard raw dictionary, and are
-    unconfirmed notices if it saves at least ``least`` of the size. ``reduction`` is what it saves of the place, ``runner_up`` the other
-    license that saves most. ``block`` is the line where the notice begins, start_word its place in the words of that line, and end_word
+    Texts with a trigger word are candidates, over line breaks and comment marks, in prose as on a line of its own. Each block around a piece
+    of a form is compressed alone and with the template as a zstandard raw dictionary; where that saves at least ``least`` of the size, the
+    wording is compared, and confirms the notice if words missing and added are at most ``slack`` of the form's own. Winners are ranked by
+    the bytes saved of their own words, then fewest differences, then the longest form; of overlapping ones the first counts. In what is
+    left, blocks with two rarer words of a form as close together as in it, up to 1.5 times as long as the form, are compressed and ranked
+    in the same way, and are unconfirmed notices. ``reduction`` is the share that the template saves, ``runner_up`` the other license that
+    saves most. ``block`` is the line where the notice begins, start_word its place in the words of that line, and end_word
     that and the notice's words, which may go on over the next lines; ``differences`` says what the template has (-) and the text has (+).
 
     Null and empty texts and those without a trigger give no rows, nor does an empty table; repeated rows give repeated results; a null doc_id is carried. Texts

@@ -1,11 +1,12 @@
 """License notices inside prose, over several lines, and next to many others."""
 
+import random
 import textwrap
 
 import llm_brute as brute
 import pytest
 
-from swipeline.llm.licenses import license_scan, words_of
+from swipeline.llm.licenses import TEMPLATES, license_scan, words_of
 
 PROSE = (
     "it is not for you or for any of us to say that this is the way to use it and that is as it may be in the end as you are "
@@ -55,3 +56,58 @@ def test_every_form_is_compared(spark):
     forms = near | {"exact": ["alpha3 beta3 license"]}
     text = " ".join(f"alpha{j} beta{j}" for j in range(0, 30, 2)) + " alpha3 beta3 license"
     assert [r.license for r in license_scan(brute.table(spark, [(1, text, "s")]), forms).collect() if r.confirmed] == ["exact"]
+
+
+def indel(want, words):
+    """Words missing and added between two lists, by the longest common subsequence."""
+    row = [0] * (len(words) + 1)
+    for w in want:
+        last, row = row, [0]
+        for j, x in enumerate(words):
+            row.append(last[j] + 1 if w == x else max(last[j + 1], row[j]))
+    return len(want) + len(words) - 2 * row[-1]
+
+
+def cheapest_ends(want, words):
+    """For each end of a stretch of ``words``, the fewest words missing and added of the best stretch that ends there."""
+    row = [0] * (len(words) + 1)
+    for w in want:
+        last, row = row, [row[0] + 1]
+        for j, x in enumerate(words):
+            row.append(min(last[j] if w == x else last[j + 1] + 1, last[j + 1] + 1, row[j] + 1))
+    return row
+
+
+def test_against_brute_force(spark):
+    """Every place that a form is within its slack of has a confirmed row, and every confirmed row is such a place, of its license."""
+    forms = [(name, words_of(form)) for name, own in TEMPLATES.items() for form in own]
+    draw = random.Random(7)
+    prose = "the software of license and copyright public terms you permission any free notice this in version".split()
+    rows, planted = [], {}
+    for k in range(2 * len(forms)):
+        name, own = forms[k % len(forms)]
+        words = list(own)
+        for _ in range(0 if k < len(forms) else draw.randint(0, 2 + len(own) // 9)):
+            at = draw.randrange(len(words))
+            words[at : at + 1] = draw.choice(([], [words[at], "foreign"], ["changed"]))
+            words = words or ["changed"]
+        before, after = ([draw.choice(prose) for _ in range(draw.randint(0, 12))] for _ in range(2))
+        rows.append((k, " ".join([*before, *words, *after]), "s"))
+        if k < len(forms):
+            planted[k] = (name, len(before), len(before) + len(words))
+    found = {}
+    for r in license_scan(brute.table(spark, rows)).filter("confirmed").collect():
+        found.setdefault(r.doc_id, []).append(r)
+    for k, text, _ in rows:
+        words = text.split()
+        own = found.get(k, [])
+        for r in own:
+            costs = [(indel(form, words[r.start_word : r.end_word]), len(form)) for name, form in forms if name == r.license]
+            assert any(c == r.missing_words + r.added_words <= int(0.1 * n + 1e-9) for c, n in costs), (text, r)
+        for name, form in forms:
+            most = int(0.1 * len(form) + 1e-9)
+            for end, cost in enumerate(cheapest_ends(form, words)):
+                if cost <= most:
+                    assert any(r.start_word < end and r.end_word > end - (len(form) - most) for r in own), (name, end, text)
+    for k, (name, start, end) in planted.items():
+        assert [r.license for r in found[k] if r.start_word == start and r.end_word == end and not r.missing_words + r.added_words] == [name], (k, name, found[k])
