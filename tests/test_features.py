@@ -1,5 +1,6 @@
 """Samples, features, metrics and the streaming variant."""
 
+import os
 import datetime as dt
 
 import pytest
@@ -57,3 +58,32 @@ def test_stream_equals_batch(spark, tmp_path):
     pos = F.row_number().over(tk.account_order()) - 1
     want = df.select("row_id", tk.time_delta().alias("d"), pos.alias("p"), F.floor(pos / 4).alias("c")).collect()
     assert got == {r["row_id"]: (r["d"], r["p"], r["c"]) for r in want}
+
+
+def streamed(spark, tmp_path, batches, name, **options):
+    """The rows that ``stream_sequences`` gives when each of ``batches`` of (user, card, row_id, seconds) is a micro-batch of its own."""
+    schema = "user long, card int, row_id long, time_full timestamp"
+    for k, rows in enumerate(batches):
+        folder = tmp_path / name / f"d{k}"
+        spark.createDataFrame(rows, "user long, card int, row_id long, t long").selectExpr("user", "card", "row_id", "timestamp_seconds(t) AS time_full").coalesce(1).write.parquet(str(folder))
+        for f in folder.glob("*.parquet"):
+            os.utime(f, (1_000_000 + k, 1_000_000 + k))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name / "d*"))
+    query = stream_sequences(source, 2, **options).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"{name}_c")).start()
+    query.awaitTermination(120)
+    return {r.row_id: (r.time_delta_s, r.seq_position, r.chunk_id, r.late) for r in spark.table(name).collect()}
+
+
+def test_stream_over_batches(spark, tmp_path):
+    """State goes on from batch to batch; a row that comes too late changes nothing."""
+    batches = [[(1, 0, 0, 100), (2, 0, 1, 50)], [(1, 0, 2, 160), (1, 0, 3, 170)], [(1, 0, 4, 110), (1, 0, 5, 170), (2, 0, 6, 200)]]
+    assert streamed(spark, tmp_path, batches, "kept") == {
+        0: (0, 0, 0, False), 1: (0, 0, 0, False), 2: (60, 1, 0, False), 3: (10, 2, 1, False), 4: (None, None, None, True), 5: (0, 3, 1, False), 6: (150, 1, 0, False),
+    }
+
+
+def test_stream_expires(spark, tmp_path):
+    """An account unseen for longer than expire_s behind the watermark starts again, one seen since goes on."""
+    batches = [[(1, 0, 0, 1000), (2, 0, 1, 1000)], [(2, 0, 2, 5000)], [(2, 0, 3, 5010)], [(1, 0, 4, 5020), (2, 0, 5, 5020)]]
+    got = streamed(spark, tmp_path, batches, "expired", delay="10 seconds", expire_s=600)
+    assert got == {0: (0, 0, 0, False), 1: (0, 0, 0, False), 2: (4000, 1, 0, False), 3: (10, 2, 1, False), 4: (0, 0, 0, False), 5: (10, 3, 1, False)}
