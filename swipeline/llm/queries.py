@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swipeline.llm.best_fit import best_fit_pack
+from swipeline.llm.codes import product_codes
 from swipeline.llm.common import cut, lower_ascii, scratch
 from swipeline.llm.exact_dedup import exact_dedup
 from swipeline.llm.hnsw import embedding_dedup
@@ -16,6 +18,7 @@ from swipeline.llm.simhash import simhash_dedup
 from swipeline.llm.substring import substring_dedup
 from swipeline.llm.token_counts import document_counts, TokenRollup
 from swipeline.llm.toxicity import toxicity
+from swipeline.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,9 +89,50 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_embedding_dedup, op4_mixing, op5_toxicity, op6_substring, op7_quality, op8_exact_dedup, op9_token_counts, op10_simhash)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = best_fit_pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Product codes by plain distances to all entries, a few common table expressions a round."""
+    assigned = """near_{r} AS MATERIALIZED (
+          SELECT vec_id, p, min(d * {entries} + e) AS best FROM (
+            SELECT vec_id, p, e, sum((x - c) * (x - c)) AS d FROM items JOIN book_{r} USING (p, pos) GROUP BY ALL)
+          GROUP BY ALL)"""
+    moved = """book_{n} AS MATERIALIZED (
+          SELECT p, e, pos, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM book_{r} LEFT JOIN (
+            SELECT p, best % {entries} AS e, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM near_{r} JOIN items USING (vec_id, p) GROUP BY ALL) USING (p, e, pos))"""
+    steps = ",\n        ".join(x.format(r=r, n=r + 1, entries=entries) for r in range(rounds) for x in (assigned, moved))
+    return f"""
+        WITH items AS MATERIALIZED (
+          SELECT vec_id, k // w AS p, k % w AS pos, CAST(floor({scale} * CAST(embedding[k + 1] AS DOUBLE)) AS BIGINT) AS x FROM (
+            SELECT vec_id, embedding, len(embedding) // {parts} AS w, unnest(range(len(embedding))) AS k FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+        book_0 AS MATERIALIZED (
+          SELECT p, e, pos, x AS c FROM items JOIN (
+            SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT DISTINCT vec_id FROM items ORDER BY vec_id LIMIT {entries})) USING (vec_id)),
+        {steps},
+        {assigned.format(r=rounds, entries=entries)},
+        coded AS (
+          SELECT vec_id, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM near_{rounds} GROUP BY 1)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, pos)) FROM book_{rounds}) AS codebooks_sha256
+        FROM coded JOIN embeddings USING (vec_id)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_embedding_dedup, op4_mixing, op5_toxicity, op6_substring, op7_quality, op8_exact_dedup, op9_token_counts, op10_simhash, op11_whitening, op12_vector_codes, op13_best_fit)}
 
 ORACLE_SQL = {
+    "op12_vector_codes": codes_sql(),
     "op4_mixing": r"""
         WITH sized AS (
           SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
