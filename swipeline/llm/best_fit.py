@@ -66,7 +66,7 @@ def places(patterns: list[Pattern], window: int) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def best_fit_pack(docs: DataFrame, vocabulary: str | None = None, window: int = 4096, end_id: int = 1, nodes: int = 2000) -> DataFrame:
+def best_fit_pack(docs: DataFrame, vocabulary: str | None = None, window: int = 4096, end_id: int = 1, nodes: int = 1000) -> DataFrame:
     """Pieces of all ``docs`` in few sequences of at most ``window`` ids: (doc_id, piece, start, length, ids, sequence_id, offset).
 
     A document's ids are those of its text (null: none) in the word-end ``vocabulary`` and then ``end_id``; ``ids`` are little-endian unsigned

@@ -65,7 +65,8 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
 
 
 def undominated(counts: dict[int, int], gap: int, most_waste: int, most: int) -> list[tuple[int, tuple]]:
-    """(waste, filling) of up to ``most`` undominated fillings of ``gap``, least waste first, and long items before short ones.
+    """(waste, filling) of up to ``most`` undominated fillings of ``gap``, least waste first, and long items before short ones. Eight times as many are
+    looked at; if all of these are dominated, the first of them counts.
 
     A filling is dominated if an item that it leaves out could take the place of some that it holds, fits, and is no shorter than they are
     together: what it frees fits wherever that item would have gone.
@@ -103,37 +104,43 @@ def undominated(counts: dict[int, int], gap: int, most_waste: int, most: int) ->
                         yield ((x, copies), *tail)
 
     found: list[tuple[int, tuple]] = []
+    spare: list[tuple[int, tuple]] = []
+    tried = 0
     for waste in range(min(most_waste, gap) + 1):
-        if reach[0] >> gap - waste & 1:
-            tried = 0
-            for filling in exact(0, gap - waste):
-                tried += 1
-                if not dominated(filling, counts, there, waste):
-                    found.append((waste, filling))
-                if len(found) >= most or tried >= 8 * most:
-                    break
-        if len(found) >= most:
-            break
+        if not reach[0] >> gap - waste & 1:
+            continue
+        for filling in exact(0, gap - waste):
+            tried += 1
+            (spare if dominated(filling, counts, there, waste) else found).append((waste, filling))
+            if len(found) >= most or tried >= 8 * most:
+                return found or spare[:1]
     return found
 
 
 def dominated(filling: tuple, counts: dict[int, int], there: int, slack: int) -> bool:
     """``there`` has a bit for each length of which items are left."""
-    items = [x for x, copies in filling for _ in range(copies)]
-    if len(items) > 12:  # too many part sums; treating it as undominated only costs time
-        return False
-    spare = there
+    one = many = 0  # bits of the sums of one item, and of two or more
     for x, copies in filling:
         if counts[x] <= copies:
-            spare &= ~(1 << x)
-    sums: dict[int, int] = {0: 0}  # the sum of some of the items: how many they are at most
-    for x in items:
-        for s, n in list(sums.items()):
-            sums[s + x] = max(sums.get(s + x, 0), n + 1)
-    return any(n and spare >> s & (2 << slack) - 1 & (-1 if n > 1 else -2) for s, n in sums.items())
+            there &= ~(1 << x)
+        for _ in range(copies):
+            many |= (many | one) << x
+            one |= 1 << x
+    longer = spread(one << 1, slack - 1) if slack else 0
+    return bool((spread(many, slack) | longer) & there)
+
+
+def spread(bits: int, by: int) -> int:
+    """The bits, and each of the ``by`` places above any of them."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        bits |= bits << step
+        done += step
+    return bits
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000, branch: int = 6) -> tuple[list[Pattern], int]:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, branch: int = 6) -> tuple[list[Pattern], int]:
     """(patterns, lower bound): every item of ``counts`` {length: items} in bins of ``capacity``, in as few as the search finds.
 
     The incumbent is best fit by falling length. If it does not meet the lower bound, bins are completed one way at a time: the longest item
