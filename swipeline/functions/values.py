@@ -17,10 +17,11 @@ INDUSTRIES = [
 # Chip texts, upper case, and their labels.
 CHIPS = {"SWIPE TRANSACTION": "SWIPE", "CHIP TRANSACTION": "CHIP", "ONLINE TRANSACTION": "ONLINE"}
 # States and territories with a token.
-STATES = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT "
-    "VA WA WV WI WY DC PR VI GU AS MP XX ONLINE"
-).split()
+STATES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD",
+    "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC",
+    "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC", "PR", "VI", "GU", "AS", "MP", "XX", "ONLINE",
+]
 # Left-closed bounds of the amount bins, in dollars, and the labels of the right-closed buckets of charts.
 AMOUNT_STEPS = [10, 50, 100, 500, 1000, 5000]
 AMOUNT_LABELS = ["<$10", "$10-50", "$50-100", "$100-500", "$500-1k", "$1k-5k", ">$5k"]

@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swipeline.functions import clean
+from swipeline.operators.boosting import Boosting, boost
 from swipeline.operators.ranges import dense_row_id, sums_before
 
 
@@ -33,13 +33,16 @@ def ordinal_encode(df: DataFrame, train: DataFrame, columns: list[str]) -> DataF
     return df
 
 
-def key_mark(df: DataFrame, on: str) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(on).cast("decimal(38,0)"))).first())
-
-
 def align(left: DataFrame, right: DataFrame, on: str = "row_id") -> DataFrame:
-    """Rows of the two tables side by side by explicit id, in one join; raises if the ids differ, by their number and the sum of their hashes."""
-    if key_mark(left, on) != key_mark(right, on):
+    """Rows of the two tables side by side by explicit id, in one join. Raises if an id is null or repeated, or if the ids of the two differ, by their number and the sum of their hashes."""
+    marks = [F.count("*"), F.sum(F.xxhash64(on).cast("decimal(38,0)")), F.count_if(F.col(on).isNull())]
+    *one, distinct = left.agg(*marks, F.count_distinct(on)).first()
+    other = list(right.agg(*marks).first())
+    if one[2] or other[2]:
+        raise ValueError(f"{one[2]} and {other[2]} rows have no {on}")
+    if distinct != one[0]:
+        raise ValueError(f"{one[0] - distinct} rows repeat a {on}")
+    if one != other:
         raise ValueError("row ids differ")
     return left.join(right, on)
 
@@ -56,52 +59,15 @@ def pca(df: DataFrame, k: int, fit_on: DataFrame | None = None, column: str = "e
 
 # The tuned parameters of the models on raw features, on embeddings and on both.
 GBT_SETS = {
-    "raw": {"trees": 400, "depth": 8, "rate": 0.0023, "features": 0.95, "least_rows": 12, "rows": 0.673},
-    "embedding": {"trees": 435, "depth": 12, "rate": 0.03774, "features": 0.587, "least_rows": 3, "rows": 0.569},
-    "combined": {"trees": 512, "depth": 12, "rate": 0.00305, "features": 0.768, "least_rows": 26, "rows": 0.65},
+    "raw": Boosting(trees=400, depth=8, rate=0.0023, columns=0.95, least_weight=12, rows=0.673, l1=0.01, l2=0.001, gamma=0.0, patience=20),
+    "embedding": Boosting(trees=435, depth=12, rate=0.03774, columns=0.587, least_weight=2.61, rows=0.569, l1=0.01364, l2=9.7e-05, gamma=1.7, patience=20),
+    "combined": Boosting(trees=512, depth=12, rate=0.00305, columns=0.768, least_weight=25.85, rows=0.65, l1=0.01, l2=0.0001, gamma=4.8, patience=20),
 }
 
 
-def gbt_scores(train: DataFrame, rows: DataFrame, columns: list[str], label: str, validation: str | None = None, trees: int = 20, depth: int = 4, rate: float = 0.1, features: float = 1.0, least_rows: int = 1, rows_share: float = 1.0, patience: int = 20) -> DataFrame:
-    """(row_id, label, score) by boosted trees on number columns.
-
-    With a boolean ``validation`` column its rows are not fitted on: trees are kept up to the first that gives the best area under the curve
-    on them, with the search over after ``patience`` trees without a better one. ``features`` and ``rows_share`` are the shares of columns
-    of each split and of rows of each tree, ``least_rows`` the fewest rows of a leaf. ``rows`` of null values are scored too.
-    """
-    assemble = VectorAssembler(inputCols=columns, outputCol="_f", handleInvalid="keep")
-    gbt = GBTClassifier(featuresCol="_f", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, featureSubsetStrategy="all" if features == 1 else str(features), minInstancesPerNode=least_rows, subsamplingRate=rows_share, seed=42)
-    if validation is None:
-        scored = gbt.fit(assemble.transform(train)).transform(assemble.transform(rows))
-        return scored.select("row_id", label, vector_to_array("probability")[1].alias("score"))
-    ready = assemble.transform(train)
-    model = gbt.fit(ready.filter(~F.col(validation)))
-    held = margins(model, ready.filter(validation), label).persist()
-    best = best_prefix(held, label, len(model.treeWeights), patience)
-    held.unpersist()
-    return margins(model, assemble.transform(rows), label, "row_id").select("row_id", label, (1 / (1 + F.exp(-2 * F.col("_m")[best - 1]))).alias("score"))
-
-
-def margins(model: GBTClassificationModel, rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep, _m) of rows: the model's margin after each of its trees."""
-    rows = rows.select(*keep, "_f")
-    for k, tree in enumerate(model.trees):
-        rows = tree.setPredictionCol(f"_t{k}").setFeaturesCol("_f").transform(rows)
-    parts = F.array(*(F.col(f"_t{k}") * w for k, w in enumerate(model.treeWeights)))
-    start = F.array().cast("array<double>")
-    return rows.select(*keep, F.aggregate(parts, start, lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(a, F.when(F.size(a) > 0, -1)), F.lit(0.0)) + x))).alias("_m"))
-
-
-def best_prefix(held: DataFrame, label: str, trees: int, patience: int) -> int:
-    """How many trees give the best area under the curve; all of them where it has no value, as with labels of one kind."""
-    best, at = -1.0, trees
-    for k in range(1, trees + 1):
-        area = auroc(held.select(F.col("_m")[k - 1].alias("s"), label), "s", label).first()[0]
-        if area is not None and area > best:
-            best, at = area, k
-        elif area is None or k - at >= patience:
-            break
-    return at
+def gbt_scores(train: DataFrame, rows: DataFrame, columns: list[str], label: str, how: Boosting, validation: str | None = None) -> DataFrame:
+    """(row_id, label, score) of ``rows`` by trees boosted on ``train`` (see ``boost``); rows of null values are scored too."""
+    return boost(train, columns, label, how, validation).score(rows, "row_id", label)
 
 
 def attention_mask(ids: Column, pad: int = 0) -> Column:
@@ -147,22 +113,23 @@ def embed(df: DataFrame, dim: int = 64, pooling: str = "mean", pad: int = 0, ids
 
 
 def score_steps(df: DataFrame, score: str, label: str, descending: bool) -> DataFrame:
-    """A row for each distinct score, with its positives and rows and those before it."""
-    per = df.groupBy(F.col(score).alias("s")).agg(F.sum(label).cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
+    """A row for each distinct score, with its positives and rows and those before it. Rows without a score or a label are left out."""
+    rated = df.select(F.col(score).alias("s"), F.col(label).alias("y")).filter("s IS NOT NULL AND y IS NOT NULL")
+    per = rated.groupBy("s").agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
     return sums_before(per, ["s"], descending, pos_before="pos", n_before="n")
 
 
 def auroc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """One row: the chance that a positive scores above a negative, ties by half; null without rows of both kinds."""
+    """One row: the chance that a positive scores above a negative, ties by half; null without rows of both kinds. Rows without a score or a label are left out; NaN is the highest score."""
     s = score_steps(df, score, label, False)
     neg, neg_before = F.col("n") - F.col("pos"), F.col("n_before") - F.col("pos_before")
     return s.agg(F.try_divide(F.sum(F.col("pos") * (neg_before + neg / 2)), F.sum("pos") * F.sum(neg)).alias("auroc"))
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """One row: the step sum of precision over gains in recall, from high scores to low."""
+    """One row: the step sum of precision over gains in recall, from high scores to low; null without positives. Rows without a score or a label are left out."""
     s = score_steps(df, score, label, True)
-    return s.agg((F.sum(F.col("pos") * (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))) / F.sum("pos")).alias("avg_precision"))
+    return s.agg(F.try_divide(F.sum(F.col("pos") * (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))), F.sum("pos")).alias("avg_precision"))
 
 
 def lift(results: list[tuple[str, float, float]]) -> list[dict]:

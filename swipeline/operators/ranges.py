@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from swipeline.operators.kept import kept
+
 
 def sums_before(df: DataFrame, order: list[str], descending: bool = False, **sums: str) -> DataFrame:
     """Adds, for each name=column of ``sums``, the column's sum over the rows before, by ``order``.
 
-    Rows are range-shuffled and kept, as the ranges must not change between the two passes over them: one adds up each range, a row a range, and one
-    counts within it.
+    Rows are range-shuffled and kept in the shared folder, as the ranges must not change between the two passes over them: one adds up each range,
+    a row a range, and one counts within it.
     """
     by = [F.desc(c) if descending else F.asc(c) for c in order]
-    dealt = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).persist()
+    dealt = kept(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_{name}") for name, c in sums.items()))
     firsts = totals.select("_part", *(F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in sums))

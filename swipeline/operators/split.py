@@ -45,40 +45,45 @@ def take(df: DataFrame, quotas: dict, sizes: dict, by: str | None, seed: str, ro
     share = F.conv(F.substring(key, 1, 12), 16, 10).cast("double") / float(1 << 48)
     while True:
         limit = {v: min(1.0, spare * (n + 6 * n**0.5 + 20) / max(1, sizes.get(v, 0))) for v, n in quotas.items()}
-        near = reduce(lambda c, v: c.when(value == v, share < limit[v]), limit, F.when(F.lit(False), False)).otherwise(False)
+        near = reduce(lambda c, v: c.when(value.eqNullSafe(F.lit(v)), share < limit[v]), limit, F.when(F.lit(False), False)).otherwise(False)
         ranked = df.withColumns({"_value": value, "_key": key}).filter(near)
         have = {r["_value"]: r["count"] for r in ranked.groupBy("_value").count().collect()}
         if all(have.get(v, 0) >= min(n, sizes.get(v, 0)) for v, n in quotas.items()):
             break
         spare *= 2
     firsts, at = {}, 0
-    for v in sorted(have):
+    for v in sorted(have, key=class_order):
         firsts[v], at = at, at + have[v]
     numbered = dense_row_id(ranked, ["_value", "_key", row_id], "_place")
-    chosen = reduce(lambda c, v: c.when(F.col("_value") == v, F.col("_place") < firsts[v] + int(quotas[v])), firsts, F.when(F.lit(False), False)).otherwise(False)
+    chosen = reduce(lambda c, v: c.when(F.col("_value").eqNullSafe(F.lit(v)), F.col("_place") < firsts[v] + int(quotas[v])), firsts, F.when(F.lit(False), False)).otherwise(False)
     return numbered.filter(chosen).select(*df.columns)
 
 
+def class_order(value: object) -> tuple:
+    """Nulls first, as in an ascending sort."""
+    return (value is not None, value)
+
+
 def class_counts(df: DataFrame, by: str) -> dict:
     return {r[by]: r["count"] for r in df.groupBy(by).count().collect()}
 
 
 def capped_class_sample(df: DataFrame, total: int, label: str = "is_fraud", share: float = 0.1, seed: str = "42") -> DataFrame:
-    """``total`` rows, of them class 1 up to ``share``, without replacement."""
+    """``total`` rows, of them class 1 up to ``share``, without replacement. Rows of another label than 0 and 1, or of none, are not drawn."""
     n = class_counts(df, label)
     ones = min(n.get(1, 0), int(share * total))
     return take(df, {0: min(n.get(0, 0), total - ones), 1: ones}, n, label, seed)
 
 
 def stratified_sample(df: DataFrame, total: int, label: str = "is_fraud", seed: str = "42") -> DataFrame:
-    """Exactly ``total`` rows with the classes' shares by largest remainder (ties: the smaller class value); everything if there are no more."""
+    """Exactly ``total`` rows with the classes' shares by largest remainder (ties: the smaller class value); everything if there are no more. Rows without a label are a class, the smallest."""
     n = class_counts(df, label)
     size = sum(n.values())
     if total >= size:
         return df
     exact = {v: total * k / size for v, k in n.items()}
     quotas = {v: int(x) for v, x in exact.items()}
-    for v in sorted(exact, key=lambda v: (quotas[v] - exact[v], v))[: total - sum(quotas.values())]:
+    for v in sorted(exact, key=lambda v: (quotas[v] - exact[v], class_order(v)))[: total - sum(quotas.values())]:
         quotas[v] += 1
     return take(df, quotas, n, label, seed)
 

@@ -202,14 +202,22 @@ class LearnedBins(Step):
 
 @dataclass
 class TimeDelta(Step):
+    """The seconds since the account's last transaction, by bins of their logarithm; null counts as 0."""
+
     prefix: str = "TDIF"
     bins: int = 32
 
+    def index_of(self, seconds: Column) -> Column:
+        return clean.time_bin(F.coalesce(seconds, F.lit(0)), self.bins)
+
+    def token_of(self, seconds: Column) -> Column:
+        return F.concat(F.lit(f"{self.prefix}_"), self.index_of(seconds).cast("string"))
+
     def index(self) -> Column:
-        return clean.time_bin(F.coalesce(F.col(self.column), F.lit(0)), self.bins)
+        return self.index_of(F.col(self.column))
 
     def token(self) -> Column:
-        return F.concat(F.lit(f"{self.prefix}_"), self.index().cast("string"))
+        return self.token_of(F.col(self.column))
 
     def vocab(self) -> list[str]:
         return [f"{self.prefix}_{k}" for k in range(self.bins)]

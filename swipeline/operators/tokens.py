@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import functools
 from dataclasses import replace
 
 import pandas as pd
@@ -15,10 +17,12 @@ from swipeline.operators.steps import FixedInt, HashBucket, LearnedBins, Mapping
 from swipeline.sources.io import normalize_names, read_corpus, require
 
 NEEDED = ["user", "card", "year", "month", "day", "time", "amount", "use_chip", "merchant_name", "merchant_state", "zip", "mcc"]
+#: Between the names of a table of tokens.
+APART = "\x00"
 
 
-def preprocess(raw: DataFrame, row_id: str = "row_id", lenient: bool = False, zip_width: int | None = None) -> DataFrame:
-    """Typed features of raw transactions: one projection, and one window for the time since the account's last transaction.
+def preprocess(raw: DataFrame, row_id: str = "row_id", lenient: bool = False, zip_width: int | None = None, gaps: bool = True) -> DataFrame:
+    """Typed features of raw transactions: one projection, and with ``gaps`` one window for the time since the account's last transaction.
 
     ``lenient`` makes amounts that are no numbers null instead of raising; ``zip_width`` restores leading zeros of ZIP codes before they are cut.
     """
@@ -34,7 +38,7 @@ def preprocess(raw: DataFrame, row_id: str = "row_id", lenient: bool = False, zi
         F.upper("use_chip").alias("chip_upper"), clean.zip3(c("zip"), zip_width).alias("zip3"), clean.state_clean(c("merchant_state")).alias("state_clean"),
         clean.clip(c("user"), 0, 2999).cast("int").alias("cust"), *([clean.fraud_flag(c("is_fraud?")).alias("is_fraud")] if "is_fraud?" in df.columns else []),
     )
-    return typed.withColumn("time_delta_s", time_delta())
+    return typed.withColumn("time_delta_s", time_delta()) if gaps else typed
 
 
 def account_order() -> Window:
@@ -50,6 +54,7 @@ def time_delta() -> Column:
 def default_steps(buckets: int = 2000, time_bins: int = 0, amount_strategy: str = "fixed", amount_bins: int = 10) -> list[Step]:
     """The twelve steps; amounts have fixed bins, or ``amount_bins`` learned ones by 'quantile', 'uniform' or 'kmeans'."""
     fixed = amount_strategy == "fixed"
+    # The steps' prefixes, ranges and widths, in the order of their tokens.
     steps = [
         FixedInt("amt_val", "amt_val", "AMT", 0, 6) if fixed else LearnedBins("amt_val", "amount", "AMT", amount_bins, amount_strategy), HashBucket("merch_hash", "merch_hash", "MERCH", buckets), Ranges("mcc_int", "mcc_int", "CAT", INDUSTRIES),
         Mapping("mcc_str", "mcc_str", "MCC", sorted(map(str, KNOWN_MCCS)), None, "-1"), FixedInt("hour", "hour", "HOUR", 0, 23, 2), FixedInt("dow", "dow", "DOW", 0, 6),
@@ -123,6 +128,10 @@ class TokenPipeline:
         return df.select(keep, F.slice(F.concat(ids, F.array_repeat(F.lit(0), length)), 1, length).alias("input_ids"))
 
     def text(self) -> Column:
+        """The row's tokens with a space between. Raises if a token holds white space, as a reader of the text could not tell it from two."""
+        for s in self.steps:
+            if bad := next((t for t in s.vocab() if any(c.isspace() for c in t)), None):
+                raise ValueError(f"token {bad!r} of step {s.name} holds white space; clean the column's values first")
         return F.concat_ws(" ", *(s.token() for s in self.steps))
 
     def corpus(self, df: DataFrame, chunk: int = 315) -> DataFrame:
@@ -162,12 +171,17 @@ def load_corpus(spark: SparkSession, path: str, vocab: DataFrame, length: int, c
 
 
 def decode(df: DataFrame, pipeline: TokenPipeline, key: str, ids: str = "input_ids") -> DataFrame:
-    """(key, text) without padding and unknown ids; of tokens with one id the last counts. The names are one array, indexed by id."""
+    """(key, text) without padding and unknown ids; of tokens with one id the last counts. The names are one array, indexed by id.
+
+    Tokens may hold spaces; the character U+0000 in one raises a ValueError.
+    """
     rows = pipeline.vocab_rows()
     names = [""] * (max(r[1] for r in rows) + 1)
+    if any(APART in token for token, *_ in rows):
+        raise ValueError("a token holds the character U+0000")
     for token, k, _, _ in rows:
         names[k] = token if k else ""
-    at = lambda x: F.try_element_at(F.split(F.lit(" ".join(names)), " "), x + 1)
+    at = lambda x: F.try_element_at(F.split(F.lit(APART.join(names)), APART), x + 1)
     return df.select(key, F.array_join(F.filter(F.transform(ids, at), lambda x: x.isNotNull() & (x != "")), " ").alias("text"))
 
 
@@ -178,6 +192,61 @@ def clm_examples(df: DataFrame, length: int, compatible: bool = False) -> DataFr
     return df.withColumns({"input_ids": ids, "labels": labels})
 
 
-def context_capacity(context: int, tokens_per_row: int) -> int:
+def context_capacity(context: int, tokens_per_row: float) -> int:
     """How many rows fit in a context, a separator after each."""
-    return context // (tokens_per_row + 1)
+    return int(context // (tokens_per_row + 1))
+
+
+def token_usage(df: DataFrame, pipeline: TokenPipeline) -> DataFrame:
+    """(token, id, step, local_id, n): the vocabulary, and how many rows of ``df`` have each token; special tokens are in no row.
+
+    Tokens are counted by step where the rows are; the vocabulary, a table of the driver, is joined with the counts, which are no more.
+    """
+    pipeline.check()
+    pairs = F.explode(F.array(*(F.struct(F.lit(s.name).alias("step"), s.token().alias("token")) for s in pipeline.steps)))
+    counts = df.select(pairs.alias("p")).groupBy("p.step", "p.token").agg(F.count("*").alias("n"))
+    return pipeline.vocab_table(df.sparkSession).join(counts, ["step", "token"], "left").select("token", "id", "step", "local_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def raw_text(raw: DataFrame) -> Column:
+    """A raw transaction's fields as a general tokenizer would get them: amount, merchant, code, date, time, card, way, ZIP, state and user, with commas between."""
+    date = F.concat_ws("-", F.col("year"), F.lpad(F.col("month").cast("string"), 2, "0"), F.lpad(F.col("day").cast("string"), 2, "0"))
+    fields = [*("amount", "merchant_name", "mcc"), date, *("time", "card", "use_chip", "zip", "merchant_state", "user")]
+    return F.concat_ws(", ", *(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in fields))
+
+
+def general_tokens(text: Column, vocabulary: str, pattern: str) -> Column:
+    """How many tokens a byte-level vocabulary of ranks (a .tiktoken file) makes of each text, in Arrow batches; a null has none. The file must lie at that path on every machine."""
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        found = rank_encoder(vocabulary, pattern).encode_ordinary_batch(texts.fillna("").tolist(), num_threads=1)
+        return pd.Series([len(ids) for ids in found], dtype="int32")
+
+    return count(text)
+
+
+@functools.cache
+def rank_encoder(vocabulary: str, pattern: str):
+    import tiktoken
+
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_efficiency(raw: DataFrame, typed: DataFrame, pipeline: TokenPipeline, vocabulary: str, pattern: str, context: int = 4096) -> DataFrame:
+    """One row: tokens of all transactions by the pipeline and by a general vocabulary, the most in one, the ratio, and how many average transactions a context holds with a separator after each.
+
+    The pipeline's tokens are counted in its texts, the general ones in the raw fields' (``raw_text``); no table of no rows has a ratio.
+    """
+    own = typed.agg(F.count("*").alias("transactions"), *(f(F.size(F.split(pipeline.text(), " "))).alias(n) for f, n in ((F.sum, "tokens"), (F.max, "most"))))
+    names = normalize_names(raw)
+    counted = names.select(general_tokens(raw_text(names), vocabulary, pattern).alias("n"))
+    general = counted.agg(F.sum("n").alias("tokens_general"), F.max("n").alias("most_general"))
+    fit = lambda c: F.floor(F.try_divide(F.lit(context), F.try_divide(c, "transactions") + 1))
+    both = own.unionByName(general, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns)).select(
+        "transactions", "tokens", "most", "tokens_general", "most_general", F.try_divide("tokens_general", "tokens").alias("ratio"),
+        fit("tokens").alias("rows_in_context"), fit("tokens_general").alias("rows_in_context_general"),
+    )

@@ -66,6 +66,7 @@ PARTS = {
 PARTS["chip_upper"] = (*PARTS["chip_upper"][:2], f"list_position({CHIP}, {PARTS['chip_upper'][1]}) - 1")
 TOKEN = {k: f"'{p}' || {t}" for k, (p, t, _) in PARTS.items()}
 TOK = "tok AS (SELECT row_id, " + ", ".join(f"{t} AS {k}" for k, t in TOKEN.items()) + " FROM clean)"
+USED = "used AS (SELECT step, token, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS step, {k} AS token FROM tok" for k in PARTS) + ") GROUP BY ALL)"
 IDS = "ids AS (SELECT row_id, [" + ", ".join(f"({OFFSETS[k]} + {i})::INT" for k, (_, _, i) in PARTS.items()) + "] AS ids FROM clean)"
 LINE = "line AS (SELECT c.row_id, c.\"user\", c.card, c.time_full, concat_ws(' ', " + ", ".join(f"t.{k}" for k in PARTS) + ') AS line, row_number() OVER (PARTITION BY c."user", c.card ORDER BY c.time_full, c.row_id) - 1 AS pos FROM clean c JOIN tok t USING (row_id))'
 CORPUS = "corpus AS (SELECT \"user\", card, (pos // 4)::INT AS chunk_id, count(*)::INT AS n_txn, '<bos> ' || string_agg(line, ' <sep> ' ORDER BY pos) || ' <eos>' AS text FROM line GROUP BY ALL)"

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swipeline.functions import clean
-from swipeline.functions.values import INDUSTRIES
+from swipeline.functions.values import INDUSTRIES, SPECIALS
 from swipeline.operators import features as fe
 from swipeline.operators import split as sp
 from swipeline.operators import tokens as tk
+from swipeline.operators.provider import CausalAttention, embed_with
 from swipeline.operators.ranges import dense_row_id
-from swipeline.operators.steps import LearnedBins, Mapping, TimeDelta
+from swipeline.operators.steps import FixedInt, LearnedBins, Mapping, TimeDelta
 from swipeline.plans import oracle as o
 from swipeline.sources import fixtures
 from swipeline.sources.io import normalize_names
@@ -93,8 +94,30 @@ for name, column in (("tok_amount", "amt_val"), ("tok_merchant", "merch_hash"),
     add(name, on_typed(lambda t, c=column: t.select("row_id", next(x for x in tk.default_steps() if x.name == c).token().alias("token"))), f"SELECT row_id, {column} AS token FROM tok", *TOKENS)
 add("token_frame", on_typed(lambda t: fitted().transform(t, "row_id")), "SELECT * FROM tok", *TOKENS)
 add("txn_tokens", on_typed(lambda t: t.select("row_id", fitted().text().alias("text"))), f"SELECT row_id, concat_ws(' ', {', '.join(o.PARTS)}) AS text FROM tok", *TOKENS)
-add("vocab_table", lambda s, d: fitted().vocab_table(s), "SELECT * FROM vocab", o.vocab())
-add("vocab_table_compatible", lambda s, d: tk.TokenPipeline(compatible=True).fit().vocab_table(s), "SELECT * FROM vocab", o.vocab(True))
+for name, compatible in (("vocab_table", False), ("vocab_table_compatible", True)):
+    add(name, on_typed(lambda t, c=compatible: tk.token_usage(t, tk.TokenPipeline(compatible=c).fit())), "SELECT token, id, step, local_id, coalesce(n, 0) AS n FROM vocab LEFT JOIN used USING (step, token)", *TOKENS, o.USED, o.vocab(compatible))
+
+
+def vocab_learned(s: SparkSession, d: str) -> DataFrame:
+    """The vocabulary of steps that learn their values from the transactions: cities, states and amounts by quantile."""
+    t = typed(s, d).join(fixtures.txn(s, d).select("row_id", C("Merchant City").alias("city")), "row_id")
+    t = t.withColumn("city", F.replace("city", F.lit(" "), F.lit("_")))
+    steps = [Mapping("city", "city", "CITY", learned=True), Mapping("state", "state_clean", "STATE", learned=True, default="XX"), FixedInt("hour", "hour", "HOUR", 0, 23, 2)]
+    pipeline = tk.TokenPipeline(steps).fit(t)
+    return tk.token_usage(t, pipeline)
+
+
+def learned_part(name: str, prefix: str, value: str, default: str, first: str) -> str:
+    """Tokens of a learned mapping by falling back on ``default``, in sorted order and the default last unless it is a value."""
+    values = f"SELECT DISTINCT {value} AS v FROM clean JOIN txn USING (row_id) WHERE {value} IS NOT NULL"
+    places = f"SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM ({values}) UNION ALL SELECT '{default}', count(*) FROM ({values}) HAVING count(*) FILTER (v = '{default}') = 0"
+    return f"""{name} AS (SELECT '{prefix}_' || v AS token, ({first} + k)::INT AS id, '{name}' AS step, k::INT AS local_id, coalesce(n, 0) AS n FROM ({places})
+      LEFT JOIN (SELECT coalesce({value}, '{default}') AS v, count(*) AS n FROM clean JOIN txn USING (row_id) GROUP BY 1) USING (v))"""
+
+
+add("vocab_learned", vocab_learned, f"""SELECT * FROM city UNION ALL SELECT * FROM state
+  UNION ALL SELECT 'HOUR_' || lpad(h::VARCHAR, 2, '0'), (5 + (SELECT count(*) FROM city) + (SELECT count(*) FROM state) + h)::INT, 'hour', h::INT, (SELECT count(*) FROM clean WHERE hour = h) FROM range(24) t(h)
+  UNION ALL SELECT unnest({SPECIALS}), unnest(range(5))::INT, 'special', unnest(range(5))::INT, 0""", o.TXN, o.CLEAN, learned_part("city", "CITY", "replace(\"Merchant City\", ' ', '_')", "UNK", "5"), learned_part("state", "STATE", "state_clean", "XX", "5 + (SELECT count(*) FROM city)"))
 add("encode_ids", on_typed(lambda t: t.select("row_id", fitted().ids().alias("ids"))), "SELECT row_id, ids FROM ids", o.TXN, o.CLEAN, o.IDS)
 for name, length, special in (("encode_padded", 16, True), ("encode_short", 8, True), ("encode_nospecial", 16, False)):
     whole = "list_concat([1], ids, [2])" if special else "ids"
@@ -112,7 +135,24 @@ add("corpus_lines", on_typed(lambda t: fitted().corpus(t, 4)), "SELECT * FROM co
 add("corpus_lines_full", on_typed(lambda t: fitted().corpus(t, 315)), "SELECT * FROM corpus", *TOKENS, o.LINE, o.CORPUS.replace("pos // 4", "pos // 315"))
 add("corpus_count", on_typed(lambda t: fitted().corpus(t, 4).agg(F.count("*").alias("lines"))), "SELECT count(*) AS lines FROM corpus", *SEQ)
 add("corpus_stats", on_typed(lambda t: fitted().corpus(t, 4).select("user", "card", "chunk_id", (F.size(F.split("text", "<sep>")) - 1).alias("seps"), F.size(F.split("text", " ")).alias("words"))), "SELECT \"user\", card, chunk_id, len(string_split(text, '<sep>')) - 1 AS seps, len(string_split(text, ' ')) AS words FROM corpus", *SEQ)
-add("context_capacity", lambda s, d: s.range(1).select(F.lit(tk.context_capacity(4096, len(tk.default_steps()))).alias("rows"), F.lit(tk.context_capacity(4096, 40)).alias("rows_general")), "SELECT 315 AS rows, 99 AS rows_general")
+
+
+def capacity(s: SparkSession, d: str) -> DataFrame:
+    """How many transactions a context of 4,096 holds, by the longest and by the average transaction of the table."""
+    n = F.size(F.split(fitted().text(), " "))
+    longest, tokens, rows = typed(s, d).agg(F.max(n), F.sum(n), F.count("*")).first()
+    return s.createDataFrame([(tk.context_capacity(4096, longest), tk.context_capacity(4096, tokens / rows), tokens)], "rows int, rows_average int, tokens long")
+
+
+def efficiency(s: SparkSession, d: str) -> DataFrame:
+    """The preset against a public byte-level vocabulary on the raw fields of the same transactions."""
+    import public_tokenizers
+
+    return tk.token_efficiency(fixtures.txn(s, d), typed(s, d), fitted(), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+add("context_capacity", capacity, f"SELECT (4096 // (max(n) + 1))::INT AS rows, floor(4096 / (sum(n) / count(*) + 1))::INT AS rows_average, sum(n)::BIGINT AS tokens FROM (SELECT len(string_split(concat_ws(' ', {', '.join(o.PARTS)}), ' ')) AS n FROM tok)", *TOKENS)
+add("token_efficiency", efficiency)
 
 
 def events_time(s: SparkSession, d: str) -> DataFrame:
@@ -261,6 +301,7 @@ add("viz_frame", on_txn(lambda t: t.select("row_id", clean.industry(C("MCC"), "U
 add("pca_project", lambda s, d: fe.pca(vectors(s, d), 8)[0].select("row_id", "pca"))
 add("embed_txn", on_typed(lambda t: fe.embed(fitted().encode(t, 128))))
 add("embed_seq", lambda s, d: fe.embed(tk.encode_text(fitted().corpus(typed(s, d), 4).withColumn("seq", F.concat_ws("-", "user", "card", "chunk_id")), fitted().vocab_table(s), ["seq"]), key="seq"))
+add("embed_attention", on_typed(lambda t: embed_with(fitted().encode(t, 16), CausalAttention(fitted().vocab_size()), "last", 16)))
 add("embed_project_2d", lambda s, d: fe.pca(fe.embed(fitted().encode(typed(s, d), 128)), 2)[0].select("row_id", "pca"))
 
 
@@ -268,8 +309,8 @@ RAW = ["amount", "hour", "dow", "month", "mcc_int", "zip3", "cust"]
 FLAT = [f"p{k}" for k in range(8)]
 
 
-def gbt(which: str, columns: list[str], trees: int = 5) -> Callable:
-    """Scores of the test split with one of the tuned sets, but of so few trees: fitting is a job for each level of each tree."""
+def gbt(which: str, columns: list[str]) -> Callable:
+    """Scores of the test split with one of the tuned sets, of up to all its trees."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
         t = fe.align(typed(s, d), parts(s, d).select("row_id", "split")).withColumn("is_val", C("split") == "val")
@@ -277,8 +318,7 @@ def gbt(which: str, columns: list[str], trees: int = 5) -> Callable:
             vectors = fe.embed(fitted().encode(typed(s, d), 128))
             flat, _ = fe.pca(vectors, len(FLAT), vectors.join(t.filter("split = 'train'").select("row_id"), "row_id"))
             t = fe.align(t, flat.select("row_id", *(C("pca")[k].alias(c) for k, c in enumerate(FLAT))))
-        p = fe.GBT_SETS[which]
-        return fe.gbt_scores(t.filter("split <> 'test'"), t.filter("split = 'test'"), columns, "is_fraud", "is_val", trees, p["depth"], p["rate"], p["features"], p["least_rows"], p["rows"])
+        return fe.gbt_scores(t.filter("split <> 'test'"), t.filter("split = 'test'"), columns, "is_fraud", fe.GBT_SETS[which], "is_val")
 
     return run
 

@@ -1,0 +1,142 @@
+"""Boosted trees against a plain version that grows them row by row, and where they stop."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from swipeline.operators import features as fe
+from swipeline.operators.boosting import LEAST_GAIN, Boosting, boost
+from swipeline.plans import queries
+
+UNIT = 2.0**28
+
+
+def table(spark, n, seed=1, noise=0.0, missing=7):
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(n, 3))
+    rows = []
+    for k, (a, b, c) in enumerate(x):
+        y = int(a * b + c + noise * draw.normal() > 0)
+        rows.append((k, y, float(a) if k % missing else None, float(b) if k % 11 else math.nan, float(round(c)), k % 4 == 0))
+    return spark.createDataFrame(rows, "row_id long, y int, a double, `b.c` double, n double, is_val boolean")
+
+
+COLUMNS = ["a", "b.c", "n"]
+
+
+class Plain:
+    """Trees as nested tuples, grown by looking at every row of a node for every cut."""
+
+    def __init__(self, rows, edges, how):
+        self.how, self.edges = how, edges
+        self.x = [[r[c] for c in COLUMNS] for r in rows]
+        self.y, self.hash, self.held = [r.y for r in rows], np.array([r.h for r in rows], np.int64).view(np.uint64), [r.is_val for r in rows]
+        fit = [y for y, held in zip(self.y, self.held, strict=True) if not held]
+        mean = sum(fit) / len(fit)
+        self.margin = [math.log(mean / (1 - mean))] * len(rows)
+
+    def goes_left(self, k, column, edge, missing_left):
+        v = self.x[k][column]
+        return missing_left if v is None or math.isnan(v) else v <= edge
+
+    def gain(self, g, h):
+        return max(abs(g) - self.how.l1, 0) ** 2 / (h + self.how.l2)
+
+    def node(self, rows, depth, chosen, g, h):
+        tg, th = sum(g[k] for k in rows) / UNIT, sum(h[k] for k in rows) / UNIT
+        best = (LEAST_GAIN, None)
+        if depth < self.how.depth:
+            for column in chosen:
+                for missing_left in (False, True):
+                    for edge in [*self.edges[column], math.inf]:
+                        left = [k for k in rows if self.goes_left(k, column, edge, missing_left)]
+                        lg, lh = sum(g[k] for k in left) / UNIT, sum(h[k] for k in left) / UNIT
+                        if min(lh, th - lh) < self.how.least_weight or min(lh, th - lh) <= 0:
+                            continue
+                        gain = self.gain(lg, lh) + self.gain(tg - lg, th - lh) - self.gain(tg, th)
+                        if gain > best[0] + 1e-9 and gain >= self.how.gamma:
+                            best = (gain, (column, edge, missing_left))
+        if best[1] is None:
+            return -math.copysign(max(abs(tg) - self.how.l1, 0), tg) / (th + self.how.l2) * self.how.rate
+        sides = [[k for k in rows if self.goes_left(k, *best[1]) is side] for side in (True, False)]
+        return (*best[1], *(self.node(s, depth + 1, chosen, g, h) for s in sides))
+
+    def leaf(self, tree, k):
+        while isinstance(tree, tuple):
+            tree = tree[3] if self.goes_left(k, *tree[:3]) else tree[4]
+        return tree
+
+    def grow(self, number):
+        chance = [1 / (1 + math.exp(-m)) for m in self.margin]
+        g = [round((p - y) * UNIT) for p, y in zip(chance, self.y, strict=True)]
+        h = [round(p * (1 - p) * UNIT) for p in chance]
+        drawn = self.how.drawn(number, self.hash)
+        rows = [k for k in range(len(self.y)) if drawn[k] and not self.held[k]]
+        tree = self.node(rows, 0, self.how.tree_columns(number, len(COLUMNS)).tolist(), g, h)
+        self.margin = [m + self.leaf(tree, k) for k, m in enumerate(self.margin)]
+        held = [(m, y) for m, y, v in zip(self.margin, self.y, self.held, strict=True) if v]
+        pairs = [(p, n) for p, a in held if a for n, b in held if not b]
+        return sum((p > n) + (p == n) / 2 for p, n in pairs) / len(pairs)
+
+
+@pytest.mark.parametrize("how", [Boosting(trees=5, depth=3, rate=0.5, l1=0.3, l2=0.7, gamma=0.4, least_weight=2.5, rows=0.7, columns=0.7, patience=3), Boosting(trees=3, depth=5, rate=1.0, l2=0.01, least_weight=0.0, patience=2)])
+def test_trees_are_the_plain_ones(spark, how):
+    df = table(spark, 500)
+    model = boost(df, COLUMNS, "y", how, "is_val")
+    rows = df.withColumn("h", F.xxhash64("row_id")).orderBy("row_id").collect()
+    plain = Plain(rows, model.edges, how)
+    areas, scores = [], []
+    for k in range(len(model.areas)):
+        areas.append(plain.grow(k + 1))
+        scores.append([1 / (1 + math.exp(-m)) for m in plain.margin])
+    assert model.areas == pytest.approx(areas, abs=1e-9)
+    best = 1 + max(range(len(areas)), key=lambda k: (round(areas[k], 12), -k))
+    assert len(model.trees) == best
+    got = {r.row_id: r.score for r in model.score(df, "row_id").collect()}
+    assert [got[r.row_id] for r in rows] == pytest.approx(scores[best - 1], abs=1e-7)
+
+
+def test_trees_do_not_depend_on_partitions(spark):
+    df, how = table(spark, 900, 2, 0.5), Boosting(trees=4, depth=3, rate=0.3, rows=0.8, patience=4)
+    one, other = (boost(d, COLUMNS, "y", how, "is_val") for d in (df, df.repartition(7)))
+    assert one.edges == other.edges and one.trees == other.trees and one.areas == pytest.approx(other.areas)
+
+
+def test_search_ends_after_patience(spark):
+    """Labels without a pattern: no tree is kept beyond the first best area that ``patience`` more did not beat."""
+    df = table(spark, 300, 3).withColumn("y", (F.xxhash64("row_id") % 2 == 0).cast("int"))
+    model = boost(df, COLUMNS, "y", Boosting(trees=40, depth=2, rate=0.5, patience=3), "is_val")
+    best = model.areas.index(max(model.areas))
+    assert len(model.trees) == best + 1 and len(model.areas) in (best + 4, 40)
+
+
+def test_trees_learn(spark):
+    df = table(spark, 1500, 4, missing=10**9).filter("NOT isnan(`b.c`)")
+    out = fe.gbt_scores(df.filter("row_id < 1000"), df.filter("row_id >= 1000"), COLUMNS, "y", Boosting(trees=20, depth=4, rate=0.3), "is_val")
+    assert fe.auroc(out, "score", "y").first()[0] > 0.9
+    assert [c for c, _ in out.dtypes] == ["row_id", "y", "score"]
+
+
+def test_trees_of_odd_tables(spark):
+    """No rows, one label, no values at all, null labels and null marks: a model each."""
+    df, how = table(spark, 120, 5), Boosting(trees=2, depth=2)
+    for odd in (df.limit(0), df.withColumn("y", F.lit(1)), df.withColumn("y", F.lit(0)), df.withColumn("y", F.lit(None).cast("int"))):
+        model = boost(odd, COLUMNS, "y", how, "is_val")
+        assert model.trees == [] and model.score(df, "row_id").count() == 120
+    bare = df.withColumns({"a": F.lit(None).cast("double"), "b.c": F.lit(math.nan), "n": F.lit(2)})
+    flat = {round(r.score, 9) for r in boost(bare, COLUMNS, "y", how).score(bare, "row_id").collect()}
+    assert len(flat) == 1
+    some = df.withColumn("y", F.when(F.col("row_id") % 2 == 0, F.col("y"))).withColumn("is_val", F.when(F.col("row_id") % 3 == 0, F.col("is_val")))
+    kept = some.filter("y IS NOT NULL").withColumn("is_val", F.coalesce("is_val", F.lit(False)))
+    assert boost(some, COLUMNS, "y", how, "is_val").trees == boost(kept, COLUMNS, "y", how, "is_val").trees
+    one_sided = df.withColumn("is_val", F.col("is_val") & (F.col("y") == 1))
+    assert len(boost(one_sided, COLUMNS, "y", how, "is_val").trees) == 2  # no area: all trees stay
+
+
+def test_tuned_sets_score_the_test_split(spark):
+    sf = "/root/testdata/sf0.001"
+    test = queries.parts(spark, sf).filter("split = 'test'").count()
+    scores = [r.score for r in queries.QUERIES["gbt_scores"](spark, sf).collect()]
+    assert len(scores) == test and all(0 <= s <= 1 for s in scores)

@@ -39,6 +39,34 @@ def test_row_ids_alignment_and_pooling(spark):
         fe.pool(states, "max")
 
 
+def test_alignment_refuses_ids_that_name_no_row(spark):
+    rows = lambda *ids: spark.createDataFrame([(k,) for k in ids], "row_id int")
+    for left, right in (((1, None), (1, None)), ((1, 1), (1, 1)), ((1, 2), (1, 1)), ((1, 2), (1, None))):
+        with pytest.raises(ValueError):
+            fe.align(rows(*left), rows(*right).withColumn("x", F.lit(1)))
+    assert fe.align(rows(2, 1), rows(1, 2).withColumn("x", F.lit(1))).count() == 2
+
+
+def test_null_labels_are_a_class_of_their_own(spark):
+    df = spark.createDataFrame([(k, None if k % 4 == 0 else k % 2) for k in range(400)], "row_id long, is_fraud long")
+    got = [r.is_fraud for r in sp.stratified_sample(df, 40).collect()]
+    assert (got.count(None), got.count(0), got.count(1)) == (10, 10, 20)
+    assert None not in [r.is_fraud for r in sp.capped_class_sample(df, 50).collect()]
+
+
+def test_metrics_leave_out_rows_without_score_or_label(spark):
+    rows = [(0.9, 1), (0.8, 0), (0.7, 1), (0.1, 0), (None, 1), (0.95, None)]
+    df = spark.createDataFrame(rows, "score double, label int")
+    for f in (fe.auroc, fe.average_precision):
+        assert f(df).first()[0] == f(df.dropna()).first()[0]
+    assert fe.auroc(df.limit(0)).first()[0] is None and fe.average_precision(df.filter("label = 0")).first()[0] is None
+
+
+def test_nothing_stays_in_memory(spark):
+    fe.auroc(spark.range(50).selectExpr("id % 7 AS score", "id % 2 AS label")).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
 def test_encoding_and_lift(spark):
     train = spark.createDataFrame([("b",), ("a",), (None,)], "s string")
     got = fe.ordinal_encode(spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "s string"), train, ["s"])

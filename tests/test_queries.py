@@ -6,11 +6,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql.functions import col as C
 
-from swipeline.operators import features as fe
 from swipeline.plans import queries
 from swipeline.sources import fixtures
 
@@ -110,36 +106,3 @@ def test_kmeans_bins_are_nearest_centres(spark):
     centres = np.array([x[k == j].mean() for j in range(10)])
     nearest = np.abs(x[:, None] - centres).argmin(axis=1)
     assert (nearest == k).mean() >= 0.97
-
-
-def test_boosted_trees_learn(spark):
-    draw = np.random.default_rng(1)
-    x = draw.normal(size=(800, 3))
-    rows = [(k, int(a * b + c > 0), *map(float, (a, b, c)), k % 5 == 0) for k, (a, b, c) in enumerate(x)]
-    df = spark.createDataFrame(rows, "row_id long, y int, a double, b double, c double, is_val boolean")
-    out = fe.gbt_scores(df.filter("row_id < 500"), df.filter("row_id >= 500"), ["a", "b", "c"], "y", "is_val", 20, 4).select(C("score"), C("y").alias("label"))
-    assert out.count() == 300 and fe.auroc(out).first()[0] > 0.85
-    scores = [r.score for r in queries.QUERIES["gbt_scores"](spark, SF).collect()]
-    assert scores and all(0 <= s <= 1 for s in scores)
-
-
-def test_trees_stop_at_the_best_area(spark):
-    """The trees kept are those of the first best area under the curve, and their margins are the model's own."""
-    draw = np.random.default_rng(2)
-    rows = [(k, int(draw.random() < 0.5), *map(float, draw.normal(size=2)), k % 4 == 0) for k in range(240)]
-    df = spark.createDataFrame(rows, "row_id long, y int, a double, b double, is_val boolean")
-    ready = VectorAssembler(inputCols=["a", "b"], outputCol="_f").transform(df)
-    model = GBTClassifier(featuresCol="_f", labelCol="y", maxIter=8, maxDepth=3, seed=42).fit(ready.filter("NOT is_val"))
-    whole = {r.row_id: vector[1] for r in model.transform(ready).collect() for vector in [r.probability]}
-    held = fe.margins(model, ready.filter("is_val"), "row_id", "y").collect()
-    assert all(1 / (1 + math.exp(-2 * r._m[-1])) == pytest.approx(whole[r.row_id]) for r in held)
-    areas = []
-    for k in range(8):
-        pairs = [(p._m[k], n._m[k]) for p in held if p.y for n in held if not n.y]
-        areas.append(sum((a > b) + (a == b) / 2 for a, b in pairs) / len(pairs))
-    best = 1 + max(range(8), key=lambda k: (round(areas[k], 12), -k))
-    got = {r.row_id: r.score for r in fe.gbt_scores(df, df, ["a", "b"], "y", "is_val", 8, 3).collect()}
-    assert len(got) == len(rows)
-    assert all(got[r.row_id] == pytest.approx(1 / (1 + math.exp(-2 * r._m[best - 1]))) for r in held)
-    one = df.withColumn("y", (C("y") * (~C("is_val")).cast("int")).cast("int"))
-    assert fe.gbt_scores(one, one, ["a", "b"], "y", "is_val", 2, 2).count() == len(rows)
