@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swipeline.llm.common import scratch
+from swipeline.llm.common import discard, scratch
 from swipeline.llm.exact_dedup import exact_dedup
 from swipeline.llm.mixing import mix_documents
 from swipeline.llm.packing import pack
@@ -17,12 +17,14 @@ ORACLE_SQL = None
 
 
 def aside(docs: DataFrame, *used: str) -> DataFrame:
-    """The columns ``used`` as they are and all others in one, so that no name of theirs meets a name of an operator."""
-    return docs.select(*(c for c in used if c in docs.columns), F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c not in used)).alias("_aside"))
+    """The columns ``used`` as they are and all others, by their places, in one, so that no name of theirs meets a name of an operator."""
+    names = [c if c in used else f"_{k}" for k, c in enumerate(docs.columns)]
+    others = [c for c in names if c not in used]
+    return docs.toDF(*names).select(*(c for c in names if c in used), F.struct(F.lit(0).alias("none"), *others).alias("_aside"))
 
 
 def restored(found: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
-    return found.select(*(F.col(c) if c in used else F.col("_aside").getField(c).alias(c) for c in docs.columns))
+    return found.select(*(F.col(c) if c in used else F.col("_aside").getField(f"_{k}") for k, c in enumerate(docs.columns))).toDF(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +44,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts are empty ones, so one row without words of them stays; of repeated rows one stays; a null doc_id is below all. Texts may
     be of any length. An empty table gives no rows.
     """
-    every = dict(zip(docs.columns, (F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)), strict=True))
-    return exact_dedup(docs, *every.values()).filter("kept").select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)))
+    names = [c if c in ("doc_id", "text") else f"_{k}" for k, c in enumerate(docs.columns)]
+    found = exact_dedup(docs.toDF(*names), *(F.col(c).alias(f"_c{k}") for k, c in enumerate(names))).filter("kept")
+    return found.select(*(f"_c{k}" for k in range(len(names)))).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near duplicates, the smallest doc_id's (a null one for want of another), columns as given.
 
-    Rows of one doc_id are judged by their own texts. Texts without words are copies of each other. An empty table gives no rows.
+    Rows of one doc_id are judged by their own texts, of any length and read whole. Texts without words are copies of each other. Other columns may have any names. An
+    empty table gives no rows.
     """
     return keep_one(docs)
 
@@ -58,14 +62,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as their source's budget takes them, the last one of a source cut, columns as given.
 
     Documents without words, null texts too, are not in it; a null source is a source; a null doc_id is a value like others. Repeated rows are taken
-    row by row. An empty table gives no rows.
+    row by row. Texts of any length are counted whole, and only a source's last one is cut. Other columns may have any names. An empty table gives no rows.
     """
     used = ("doc_id", "text", "source", "n_chars")
     return restored(mix_documents(aside(docs, *used)), docs, *used)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens; a null text is an empty one. Rows of one doc_id are packed row by row. An empty table gives no rows."""
+    """The pieces of all documents in sequences of 2048 tokens; a null text is an empty one. Rows of one doc_id are packed row by row.
+
+    Long texts are cut into whole sequences and a rest, no id is lost. Other columns play no part, whatever their names. An empty table gives no rows.
+    """
     return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
@@ -73,9 +80,13 @@ STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("simhash dedu
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces. Each stage's rows are a table in the shared folder until the next one's are written; the last one's stays, as the result reads it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
