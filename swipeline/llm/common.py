@@ -38,11 +38,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes what is at ``path``, by the file system that it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is; ASCII texts take the fast way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly that name, dots and back-quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Tells apart rows that share a doc_id; it is never used to compare the texts of two documents."""
     return F.xxhash64(F.col(text), F.col(doc_id))
@@ -76,14 +87,14 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, out: st
     )
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, parts: int = 100) -> DataFrame:
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, parts: int = 100, total: int | None = None) -> DataFrame:
     """``rows`` with what ``classes`` says of their ``keys``; rows without a class are left out, keys are never null.
 
     ``classes`` has each key once and, in ``size``, how many of the rows have it. Those with more than a ``parts``-th of all rows
     are fewer than ``parts``, so they are broadcast and their rows stay where they are; the others are joined by shuffle, where no
-    key holds more than that share. Both tables are read twice: give them cut or cheap.
+    key holds more than that share. Both tables are read twice: give them cut or cheap. ``total`` is the number of rows, if it is known.
     """
-    least = (classes.agg(F.sum(size)).first()[0] or 0) / parts
+    least = (classes.agg(F.sum(size)).first()[0] or 0 if total is None else total) / parts
     hot = F.broadcast(classes.filter(F.col(size) > least))
     rest = rows.join(hot.select(*keys), keys, "left_anti").join(classes.filter(F.col(size) <= least), keys)
     return rows.join(hot, keys).unionByName(rest)
@@ -93,8 +104,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that can be reached, for every node with an edge to another.
 
     Alternating stars: each node hooks its larger neighbours, then all its neighbours, to the smallest one, until the
-    edges are stars and a round changes nothing, however many rounds that takes. Minima are combined before the shuffle, so a node with
-    very many edges is no single task's work; nothing is collected but a count and a checksum. Edges with a null end are ignored.
+    edges are stars and a round changes nothing, however many rounds that takes. Minima are combined before the shuffle, and
+    the nodes with more than a hundredth of all edges, fewer than 200, get theirs by broadcast, so a node with very many edges is no single task's work; nothing is collected but a count and a checksum. Edges with a null end are ignored.
     """
 
     def tidy(df: DataFrame) -> DataFrame:
@@ -107,10 +118,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     seen = state(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")))
+        large = cut(join_classes(both.filter("v > u"), low, ["u"], "n", total=seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_classes(large, low, ["u"], "n", total=seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = tidy(small.unionByName(low.select("u", F.col("m").alias("v"))))
         if (new := state(now)) == seen:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swipeline.llm.common import cut, join_classes, lower_ascii
+from swipeline.llm.common import cut, join_classes, lower_ascii, quoted
 
 
 def digit(text: Column, at: int, width: int) -> Column:
@@ -33,10 +33,11 @@ def exact_dedup(docs: DataFrame, *columns, first: int = 64, growth: int = 4) ->
     rounds go on with these rows alone and shuffle a row's number and digit, never whole texts. Groups are counted with
     map-side combination; the few that hold much of the data are joined back by broadcast, see ``join_classes``.
     """
-    text, names = F.coalesce("text", F.lit("")), [f"_{k}" for k in range(len(docs.select(*(columns or docs.columns)).columns))]
+    columns = columns or tuple(map(quoted, docs.columns))
+    text, names = F.coalesce("text", F.lit("")), [f"_{k}" for k in range(len(docs.select(*columns).columns))]
     heads = docs.select(F.lit(0).alias("row"), "doc_id", digit(text, 0, first).alias("digit"))
     groups = grouped(heads, ["digit"])
-    chosen = docs.select(*(columns or docs.columns), F.col("doc_id"), text.alias("text")).toDF(*names, "doc_id", "text")
+    chosen = docs.select(*columns, F.col("doc_id"), text.alias("text")).toDF(*names, "doc_id", "text")
     chosen = chosen.withColumn("digit", digit(F.col("text"), 0, first))
     # Rows of the few digits that hold much of the data are known by broadcast and dealt evenly, under a key longer than any digit.
     common = groups.filter(F.col("n") > (groups.agg(F.sum("n")).first()[0] or 0) / 100).select("digit", F.lit(True).alias("common"))
@@ -68,6 +69,6 @@ def exact_dedup(docs: DataFrame, *columns, first: int = 64, growth: int = 4) ->
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("kept"),
     )
-    given = docs.select(*(columns or docs.columns)).columns
+    given = docs.select(*columns).columns
     out = [F.col(n).alias(c) for n, c in zip(names, given, strict=True) if c not in ("keep_id", "group_size", "kept")]
     return marked.select(*out, "keep_id", "group_size", "kept")

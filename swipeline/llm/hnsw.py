@@ -397,8 +397,8 @@ def embedding_dedup(
     roots = components(edges).select(F.col("node").alias("id"), "component")
     named = classes.select("id", "least", F.col("n").alias("own"), "rows").join(roots, "id", "left").join(linked, "id", "left")
     named = cut(named.select("id", "least", "rows", F.coalesce("component", "id").alias("component"), (F.col("own") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(named.join(names, "component").select("id", "rows", "n_links", "component_id"))
+    names = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("_size")))
+    named = cut(join_classes(named, names, ["component"], "_size").select("id", "rows", "n_links", "component_id"))
     told = join_classes(placed, named, ["id"], "rows").select("row", "n_links", "component_id")
     out = rows.select("row", "vec_id").join(told, "row", "left")
     return out.select(

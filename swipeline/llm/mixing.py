@@ -58,6 +58,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     columns are carried. Of repeated rows, which are alike but for what their source's cut leaves of them, the first take
     whole copies and a later one the rest; a source has one such group at most. An empty table gives no rows.
     """
+    given, names = docs.columns, [c if c in ("doc_id", "text", "source", "n_chars") else f"_c{k}" for k, c in enumerate(docs.columns)]
+    docs = docs.toDF(*names)
     most, keyed = options.get("most", 2), docs.withColumn("_row", row_key())
     plan = cut(
         mix(keyed, carry=("_row",), **options)
@@ -79,4 +81,4 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     rows = rows.withColumn("text", F.when(F.col("_n") < F.col("_size"), part).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_n") < F.col("_size"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    return rows.select(*names).toDF(*given)

@@ -145,9 +145,9 @@ def named_classes(prints: DataFrame) -> DataFrame:
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     nodes = cut(classes.select("fp", "n", "least", (wide("fp") + F.lit(NAMELESS)).cast("decimal(20,0)").alias("rep")))
     roots = components(links(nodes.select("fp", "rep")))
-    joined = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("component", "rep").alias("root"))
-    names = joined.groupBy("root").agg(F.coalesce(F.min(wide("least")), F.first("root")).cast("decimal(20,0)").alias("component"))
-    return joined.join(names, "root").select("fp", "n", "root", "component")
+    joined = cut(nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("component", "rep").alias("root")))
+    names = cut(joined.groupBy("root").agg(F.coalesce(F.min(wide("least")), F.first("root")).cast("decimal(20,0)").alias("component"), F.count("*").alias("_size")))
+    return join_classes(joined, names, ["root"], "_size").select("fp", "n", "root", "component")
 
 
 def simhash_dedup(docs: DataFrame, words: int = 3) -> DataFrame:

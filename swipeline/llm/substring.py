@@ -20,6 +20,8 @@ PRIMES = [np.uint64(2**53 - 111), np.uint64(2**52 - 47)]
 LONG = 64
 POWERS = [np.array([pow(base, k, int(p)) for k in range(LONG)], np.uint64) for base, p in zip((0x1B873593CC9E2D, 0x85EBCA6BC2B2A), PRIMES, strict=True)]
 NO_ID = np.iinfo(np.int64).max
+#: The bit of a tag that says that the row has no doc_id.
+NULL = 1
 SCHEMA = "key long, kind int, part binary"
 ROWS = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("part", pa.binary())])
 TO_BUCKET, TO_DOCUMENT, TEXT = 0, 1, 2
@@ -130,12 +132,21 @@ def home(ids: np.ndarray, tags: np.ndarray, groups: int) -> np.ndarray:
     return (mixed(ids.view(np.uint64) ^ tags.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
+def beyond(ids: np.ndarray, tags: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which windows are not the smallest doc_id's of their group; ``first`` has where each group begins. A row without an id is above all that have one."""
+    sizes = np.diff(np.append(first, len(ids)))
+    least = np.repeat(np.minimum.reduceat(ids, first), sizes)
+    none = tags & NULL
+    least_none = np.repeat(np.minimum.reduceat(np.where(ids == least, none, NULL), first), sizes)
+    return (ids > least) | (none > least_none)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """(ids, tags, texts) sorted by id, of about ``size`` bytes."""
+    """(ids, tags, texts) sorted by id, those without one last, of about ``size`` bytes."""
     ids, tags, texts, held = [], [], [], 0
 
     def flush():
-        order = np.argsort(np.array(ids, np.int64), kind="stable")
+        order = np.lexsort((np.array(tags, np.int64) & NULL, np.array(ids, np.int64)))
         return np.array(ids, np.int64)[order], np.array(tags, np.int64)[order], [texts[k] for k in order]
 
     for batch in batches:
@@ -181,8 +192,7 @@ def removals(docs: DataFrame, window: int, buckets: int, groups: int, chunk: int
             h, c, row, pos = map(np.concatenate, (parts, checks, owner, place))
             del parts, checks, owner, place
             order, first = alike(h, c)
-            least = np.repeat(ids[row[order[first]]], np.diff(np.append(first, len(h))))
-            later = ids[row[order]] > least
+            later = beyond(ids[row[order]], tags[row[order]], first)
             found, gone, kept = [], np.sort(order[later]), np.sort(order[~later])
             bucket = (h[kept] % np.uint64(buckets)).astype(np.int64)
             for key, at in by_key(bucket):
@@ -199,8 +209,7 @@ def removals(docs: DataFrame, window: int, buckets: int, groups: int, chunk: int
             return table
         h, c, ids, tags, pos = map(np.concatenate, zip(*(unpack_windows(x.as_py()) for x in table.column("part")), strict=True))
         order, first = alike(h, c)
-        least = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(h))))
-        gone = order[ids[order] > least]
+        gone = order[beyond(ids[order], tags[order], first)]
         gone = gone[np.lexsort((pos[gone], tags[gone], ids[gone]))]
         found = [(key, TO_DOCUMENT, pack_spans(ids[gone[at]], tags[gone[at]], pos[gone[at]])) for key, at in by_key(home(ids[gone], tags[gone], groups))]
         return pa.Table.from_batches([rows(found)] if found else [], ROWS)
@@ -251,9 +260,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, windows_per_bucket: int =
     A text of any length is read whole, by one task.
 
     Null and empty texts have no words. A null doc_id is above all others. Rows that share a doc_id are no copies of each
-    other; they are told apart by a 64-bit hash of their texts. Columns of other names play no part. An empty table gives no rows.
+    other; they are told apart by 63 bits of a hash of their texts. Columns of other names play no part. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").bitwiseAND(F.lit(~NULL)).bitwiseOR(F.col("doc_id").isNull().cast("long")).alias("tag"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = 1 + size // (6 * windows_per_bucket)
 
@@ -276,7 +285,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, windows_per_bucket: int =
                 for doc_id, tag, length in zip(ids.tolist(), tags.tolist(), sizes.tolist(), strict=True):
                     own = spans.get((doc_id, tag))
                     n_words, where, kept = cleaned(body[at : at + length], np.concatenate(own) if own else (), window)
-                    out.append((None if doc_id == NO_ID else doc_id, n_words, sum(s["end"] - s["start"] for s in where), where, kept.decode("utf-8", "replace")))
+                    out.append((None if tag & NULL else doc_id, n_words, sum(s["end"] - s["start"] for s in where), where, kept.decode("utf-8", "replace")))
                     at += length
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
         names = ["doc_id", "n_words", "n_removed", "spans", "kept_text"]

@@ -139,7 +139,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     """(columns of ``docs``, held_out, score, predicted) of every row; see ``fit`` for the options.
 
     The fit never sees the fold whose crc32 of doc_id leaves 0; doc_id, source, lang and labels are no inputs of a score.
-    Empty and null texts get the score of a text without features; texts of any length are read whole. With no labelled rows of one class every
+    Empty and null texts get the score of a text without features; texts of any length are read whole; repeated rows have equal scores. With no labelled rows of one class every
     score is the smoothed share of class 1, which is below a half without any labels. Columns of docs named like the new ones are replaced; an empty table gives no rows.
     """
     out = score(docs.drop("held_out", "score", "predicted"), fit(docs, labels, **options))
