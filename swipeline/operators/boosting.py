@@ -265,7 +265,8 @@ def grow(blocks: DataFrame, done: list[Tree], number: int, how: Boosting, column
             if s["gain"] is not None:
                 low, high = tree.split(node, s["col"], s["cut"], s["missing_left"])
                 tree.value[low], tree.value[high] = how.weight(s["g"], s["h"]), how.weight(s["tg"] - s["g"], s["th"] - s["h"])
-                active += [low, high]
+                sides = ((low, s["h"]), (high, s["th"] - s["h"]))
+                active += [n for n, h in sides if h >= 2 * how.least_weight]  # below, no split leaves both children their least
         if not active:
             break
     return tree
