@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Only a local session without it, as in tests, gets a folder of its own; a cluster without it is refused."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="swipeline-"))
+    return base or sc.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to spark.checkpoint.dir; nothing stays in the executors' memory, and it survives the loss of any of them.
 
-    Spark removes the files with the last reference if spark.cleaner.referenceTracking.cleanCheckpoints is set. Only a local session without the
-    folder, as in tests, gets one of its own.
+    Spark removes the files with the last reference if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="swipeline-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()

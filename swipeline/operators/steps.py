@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swipeline.functions import clean
-from swipeline.operators.ranges import dense_row_id
+from swipeline.functions.murmur import murmur_bucket
+from swipeline.operators import learn
 
 
 @dataclass
@@ -32,6 +33,7 @@ class Step:
         raise NotImplementedError
 
     def fit(self, df: DataFrame) -> Step:
+        fit_steps(df, [self])
         return self
 
     def state(self) -> dict:
@@ -68,13 +70,20 @@ class FixedInt(Step):
 
 @dataclass
 class HashBucket(Step):
-    """A string's bucket of ``buckets``; null counts as the empty string."""
+    """A string's bucket of ``buckets``, by the first 32 bits of its 'md5' or by 32-bit 'murmur' with a seed; null counts as the empty string."""
 
     prefix: str = "MERCH"
     buckets: int = 2048
+    method: str = "md5"
+    seed: int = 0
 
     def index(self) -> Column:
-        return clean.hash_bucket(F.coalesce(F.col(self.column).cast("string"), F.lit("")), self.buckets).cast("int")
+        text = F.coalesce(F.col(self.column).cast("string"), F.lit(""))
+        if self.method == "murmur":
+            return murmur_bucket(text, self.buckets, self.seed).cast("int")
+        if self.method != "md5":
+            raise ValueError(f"unknown hash {self.method}")
+        return clean.hash_bucket(text, self.buckets).cast("int")
 
     def token(self) -> Column:
         return F.concat(F.lit(f"{self.prefix}_"), self.index().cast("string"))
@@ -122,14 +131,6 @@ class Mapping(Step):
     def vocab(self) -> list[str]:
         return [f"{self.prefix}_{x}" for x in self.all_labels()]
 
-    def fit(self, df: DataFrame) -> Mapping:
-        if self.learned:
-            found = df.select(F.col(self.column).cast("string").alias("v")).filter("v IS NOT NULL").distinct().limit(self.most + 1).collect()
-            if len(found) > self.most:
-                raise ValueError(f"{self.column} has more than {self.most} values; use hash buckets")
-            self.values = sorted(r["v"] for r in found)
-        return self
-
 
 @dataclass
 class Ranges(Step):
@@ -159,7 +160,7 @@ class Ranges(Step):
 class LearnedBins(Step):
     """Ordinal bins with edges learned from a table: exact quantiles, equal widths, or midpoints of 1-D k-means centres.
 
-    Quantiles interpolate between two rows of the sorted column, which a range shuffle numbers; no task holds more than its range.
+    Quantiles interpolate between two rows of the sorted column. Nulls and NaN are no rows of it; without any there are no edges.
     """
 
     prefix: str = ""
@@ -167,27 +168,25 @@ class LearnedBins(Step):
     strategy: str = "quantile"
     edges: list[float] = field(default_factory=list)
 
-    def fit(self, df: DataFrame) -> LearnedBins:
-        x = df.select(F.col(self.column).cast("double").alias("x")).filter("x IS NOT NULL")
-        inner = [k / self.bins for k in range(1, self.bins)]
-        if self.strategy == "quantile":
-            places = [(x.count() - 1) * p for p in inner]
-            wanted = sorted({f(p) for p in places for f in (math.floor, math.ceil) if p >= 0})
-            at = {r["row_id"]: r["x"] for r in dense_row_id(x, ["x"]).filter(F.col("row_id").isin(wanted)).collect()} if wanted else {}
-            self.edges = [at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in places] if at else []
-        elif self.strategy == "uniform":
-            low, high = x.agg(F.min("x"), F.max("x")).first()
-            self.edges = [] if low is None else [low + (high - low) * k for k in inner]
-        elif self.strategy == "kmeans":
-            from pyspark.ml.clustering import KMeans
-            from pyspark.ml.feature import VectorAssembler
-
-            rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(x)
-            centres = sorted(float(c[0]) for c in KMeans(k=self.bins, seed=42).fit(rows).clusterCenters())
-            self.edges = [(a + b) / 2 for a, b in zip(centres, centres[1:], strict=False)]
-        else:
-            raise ValueError(f"unknown strategy {self.strategy}")
-        return self
+    def shares(self) -> list[float]:
+        return [k / self.bins for k in range(1, self.bins)]
+
+    def ranks(self, n: int) -> list[int]:
+        """The ranks between which the quantiles of ``n`` rows lie."""
+        return sorted({f((n - 1) * p) for p in self.shares() for f in (math.floor, math.ceil)}) if n else []
+
+    def cut_at(self, n: int, values: dict[int, float]) -> None:
+        places = [(n - 1) * p for p in self.shares()] if n else []
+        self.edges = [values[math.floor(p)] + (values[math.ceil(p)] - values[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+    def centres(self, df: DataFrame) -> None:
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.feature import VectorAssembler
+
+        x = df.select(learn.number(self.column).alias("x")).filter("x IS NOT NULL")
+        rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(x)
+        found = sorted(float(c[0]) for c in KMeans(k=self.bins, seed=42).fit(rows).clusterCenters())
+        self.edges = [(a + b) / 2 for a, b in zip(found, found[1:], strict=False)]
 
     def index(self) -> Column:
         x = F.col(self.column).cast("double")
@@ -223,6 +222,37 @@ class TimeDelta(Step):
         return [f"{self.prefix}_{k}" for k in range(self.bins)]
 
 
+def fit_steps(df: DataFrame, steps: list[Step]) -> None:
+    """Fits all ``steps`` that learn, from two scans of ``df`` in all: one for sketches of the binned columns, one for the values of mappings
+    and the exact quantiles between brackets of the sketches. Mappings alone take one scan, equal widths the first; k-means walks over its column by itself.
+    """
+    maps = [s for s in steps if isinstance(s, Mapping) and s.learned]
+    bins = [s for s in steps if isinstance(s, LearnedBins)]
+    for s in bins:
+        if s.strategy not in ("quantile", "uniform", "kmeans"):
+            raise ValueError(f"unknown strategy {s.strategy}")
+        if s.strategy == "kmeans":
+            s.centres(df)
+    spanned = [s for s in bins if s.strategy != "kmeans"]
+    columns = list(dict.fromkeys(s.column for s in spanned))
+    spans = dict(zip(columns, learn.spans(df, columns), strict=True))
+    ranks: dict[str, list[int]] = {}
+    for s in spanned:
+        n, low, high, _ = spans[s.column]
+        if s.strategy == "uniform":
+            s.edges = [low + (high - low) * p for p in s.shares()] if n else []
+        elif n:
+            ranks[s.column] = sorted({*ranks.get(s.column, []), *s.ranks(n)})
+    wanted = {c: (r, learn.brackets(r, spans[c][0], spans[c][3])) for c, r in ranks.items()}
+    if maps or wanted:
+        values, found = learn.values_and_ranks(df, [s.column for s in maps], [s.most for s in maps], wanted)
+        for s, own in zip(maps, values, strict=True):
+            s.values = own
+    for s in spanned:
+        if s.strategy == "quantile":
+            s.cut_at(spans[s.column][0], found[s.column] if s.column in wanted else {})
+
+
 def from_state(state: dict) -> Step:
     kinds = {k.__name__: k for k in (FixedInt, HashBucket, Mapping, Ranges, LearnedBins, TimeDelta)}
     return kinds[state["kind"]](**{k: v for k, v in state.items() if k != "kind"})

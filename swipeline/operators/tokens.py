@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from swipeline.functions import clean
 from swipeline.functions.values import CHIPS, INDUSTRIES, KNOWN_MCCS, SPECIALS, STATES
-from swipeline.operators.steps import FixedInt, HashBucket, LearnedBins, Mapping, Ranges, Step, TimeDelta
+from swipeline.operators.steps import FixedInt, HashBucket, LearnedBins, Mapping, Ranges, Step, TimeDelta, fit_steps
 from swipeline.sources.io import normalize_names, read_corpus, require
 
 NEEDED = ["user", "card", "year", "month", "day", "time", "amount", "use_chip", "merchant_name", "merchant_state", "zip", "mcc"]
@@ -91,9 +91,9 @@ class TokenPipeline:
         return len({r[0] for r in self.vocab_rows()})
 
     def fit(self, df: DataFrame | None = None) -> TokenPipeline:
-        for s in self.steps:
-            if df is not None:
-                s.fit(df)
+        """Learns from ``df``, if it is given, what the steps learn, all in two scans at most (see ``fit_steps``), and numbers the vocabulary."""
+        if df is not None:
+            fit_steps(df, self.steps)
         self.offsets, at = {}, len(SPECIALS)
         for s in self.steps:
             self.offsets[s.name] = at + (s.first_local() if self.compatible else 0)

@@ -12,11 +12,14 @@ from swipeline.functions.values import INDUSTRIES, SPECIALS
 from swipeline.operators import features as fe
 from swipeline.operators import split as sp
 from swipeline.operators import tokens as tk
+from swipeline.operators.kept import new_path
+from swipeline.operators.profiles import profile, sketch_days, store_days
 from swipeline.operators.provider import CausalAttention, embed_with
 from swipeline.operators.ranges import dense_row_id
-from swipeline.operators.steps import FixedInt, LearnedBins, Mapping, TimeDelta
+from swipeline.operators.steps import FixedInt, HashBucket, LearnedBins, Mapping, TimeDelta
 from swipeline.plans import oracle as o
 from swipeline.sources import fixtures
+from swipeline.sources.bucketed import store_by_account
 from swipeline.sources.io import normalize_names
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,6 +158,16 @@ add("context_capacity", capacity, f"SELECT (4096 // (max(n) + 1))::INT AS rows,
 add("token_efficiency", efficiency)
 
 
+def corpus_bucketed(s: SparkSession, d: str) -> DataFrame:
+    """The corpus over transactions stored by account: nothing is shuffled after the table is written."""
+    path = new_path(s, "accounts")
+    return fitted().corpus(store_by_account(tk.preprocess(fixtures.txn(s, d), gaps=False), path.rsplit("/", 1)[-1].replace("-", "_"), 16, path), 4)
+
+
+add("corpus_bucketed", corpus_bucketed, "SELECT * FROM corpus", *SEQ)
+add("tok_merchant_murmur", on_typed(lambda t: t.select("row_id", HashBucket("merch_hash", "merch_hash", "MERCH", 2000, "murmur").token().alias("token"))))
+
+
 def events_time(s: SparkSession, d: str) -> DataFrame:
     step = TimeDelta("time_delta_s", "time_delta_s", "TDIF", 32)
     return fixtures.txn_events(s, d).withColumn("time_delta_s", tk.time_delta()).select("row_id", "time_delta_s", step.token().alias("token"))
@@ -253,6 +266,20 @@ def topn_other(s: SparkSession, d: str) -> DataFrame:
 add("topn_other", topn_other, "SELECT row_id, coalesce(t.s, 'Other') AS shown FROM clean LEFT JOIN (SELECT state_clean AS s FROM clean GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3) t ON s = state_clean", o.TXN, o.CLEAN)
 add("feature_profile", on_txn(lambda t: t.agg(*(F.count_distinct(c).alias(c.lower().replace(" ", "_")) for c in ("User", "Card", "MCC", "Zip", "Use Chip", "Merchant State")))), 'SELECT count(DISTINCT "User") AS "user", count(DISTINCT "Card") AS card, count(DISTINCT "MCC") AS mcc, count(DISTINCT "Zip") AS zip, count(DISTINCT "Use Chip") AS use_chip, count(DISTINCT "Merchant State") AS merchant_state FROM txn', o.TXN)
 
+
+
+def range_profile(s: SparkSession, d: str) -> DataFrame:
+    """Distinct users and merchants and quartiles of amounts over the middle half of the days, from stored sketches."""
+    t = dated(s, d).withColumn("amount", clean.dollars(C("Amount")))
+    path = new_path(s, "days")
+    store_days(sketch_days(t, ["User", "Merchant Name"], ["amount"]), path)
+    low, high = t.agg(F.min("date"), F.max("date")).first()
+    quarter = (high - low) / 4
+    return profile(s, path, str(low + quarter), str(high - quarter), (0.25, 0.5, 0.75))
+
+
+add("range_profile", range_profile)
+
 # Samples
 RANK = "SELECT row_id, is_fraud, row_number() OVER (PARTITION BY is_fraud ORDER BY md5('42|' || row_id::VARCHAR), row_id) AS r FROM ev"
 COUNTS = "n AS (SELECT count(*) AS total, count(*) FILTER (is_fraud = 1) AS ones, count(*) - count(*) FILTER (is_fraud = 1) AS zeros FROM ev)"
