@@ -6,7 +6,7 @@ import textwrap
 import llm_brute as brute
 import pytest
 
-from swipeline.llm.licenses import TEMPLATES, license_scan, words_of
+from swipeline.llm.licenses import TEMPLATES, Scanner, decides, license_scan, words_of
 
 PROSE = (
     "it is not for you or for any of us to say that this is the way to use it and that is as it may be in the end as you are "
@@ -35,7 +35,7 @@ GPL = "This program is free software: you can redistribute it and/or modify it u
 BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
 ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
 MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
-LONG = {"MIT": MIT, "GPL-3.0": GPL, "BSD-3-Clause": BSD, "ISC": ISC, "MPL-2.0": MPL, "All-rights-reserved": "All rights reserved."}
+LONG = {"MIT": MIT, "GPL-3.0": GPL, "BSD-2-Clause OR BSD-3-Clause": BSD, "ISC": ISC, "MPL-2.0": MPL, "All-rights-reserved": "All rights reserved."}
 
 
 @pytest.mark.parametrize("mark", ["", "// ", " * ", "# ", "dnl ", "REM ", "<!-- ", "> | "])
@@ -89,6 +89,8 @@ def test_against_brute_force(spark):
         words = list(own)
         for _ in range(0 if k < len(forms) else draw.randint(0, 2 + len(own) // 9)):
             at = draw.randrange(len(words))
+            if decides(words[at]):
+                continue
             words[at : at + 1] = draw.choice(([], [words[at], "foreign"], ["changed"]))
             words = words or ["changed"]
         before, after = ([draw.choice(prose) for _ in range(draw.randint(0, 12))] for _ in range(2))
@@ -111,3 +113,70 @@ def test_against_brute_force(spark):
                     assert any(r.start_word < end and r.end_word > end - (len(form) - most) for r in own), (name, end, text)
     for k, (name, start, end) in planted.items():
         assert [r.license for r in found[k] if r.start_word == start and r.end_word == end and not r.missing_words + r.added_words] == [name], (k, name, found[k])
+
+
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+LGPL = GPL.replace("GNU General", "GNU Lesser General")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "This work is licensed under the GNU General Public License, version 1.",
+        GPL.replace("version 3", "version 1"),
+        LGPL.replace("version 3", "version 2"),
+        "This work is not licensed under the GNU General Public License, version 3.",
+        "This work is no longer, and never was, licensed under the Apache License, Version 2.0.",
+        "The files may not be released under the MIT License.",
+        "Not all rights reserved.",
+        GPL.replace("GNU General", "Affero General"),
+        ISC.replace("with or without fee", "with a fee"),
+        APACHE.replace("2.0 (the", "1.1 (the"),
+        MIT.replace("Permission is hereby granted", "Permission is not hereby granted"),
+    ],
+)
+def test_a_word_that_decides_is_never_confirmed(spark, text):
+    for whole in (text, "Some prose first. " + text + " And more of it."):
+        assert not license_scan(brute.table(spark, [(1, whole, "s")])).filter("confirmed").count()
+
+
+def test_negations_of_other_clauses_do_not_matter(spark):
+    texts = ["Whether you like it or not. All rights reserved.", "It is not ours; released under the MIT License.", "There is no warranty:\nlicensed under CC BY 4.0."]
+    out = license_scan(brute.table(spark, [(k, t, "s") for k, t in enumerate(texts)])).filter("confirmed").collect()
+    assert {(r.doc_id, r.license) for r in out} == {(0, "All-rights-reserved"), (1, "MIT"), (2, "CC-BY-4.0")}
+
+
+def test_notices_without_a_trigger_word(spark):
+    """Every form is found with a word changed, whatever words the change leaves."""
+    rows, names = [], {}
+    for name, own in TEMPLATES.items():
+        for form in own:
+            words = words_of(form)
+            free = [k for k, w in enumerate(words) if not decides(w)]
+            if len(words) >= 20:
+                for k in free[:: max(1, len(free) // 4)]:
+                    names[len(rows)] = name
+                    rows.append((len(rows), " ".join([*words[:k], "program", *words[k + 1 :]]), "s"))
+    found = {}
+    for r in license_scan(brute.table(spark, rows)).filter("confirmed").collect():
+        found.setdefault(r.doc_id, set()).add(r.license)
+    assert all(names[k] in found.get(k, ()) for k in names)
+    spotter = Scanner(TEMPLATES, 3, 0.1)
+    assert spotter.spots("dnl All\nDNL rights -- reserved.") and not spotter.spots("all the rights are reserved")
+
+
+def test_wording_that_licenses_share(spark):
+    """The two conditions of both are told apart by the third condition, or by a short form."""
+    forms = TEMPLATES["BSD-2-Clause OR BSD-3-Clause"]
+    opening, third = "\n".join(forms[:3]), TEMPLATES["BSD-3-Clause"][1]
+    rows = [(1, opening, "s"), (2, opening + "\n" + third, "s"), (3, "Released under the BSD 2-Clause License.\n" + opening, "s"), (4, "Released under the BSD 3-Clause License.", "s")]
+    got = {}
+    for r in license_scan(brute.table(spark, rows)).filter("confirmed").collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert got == {1: ["BSD-2-Clause OR BSD-3-Clause"] * 3, 2: ["BSD-3-Clause"] * 4, 3: ["BSD-2-Clause"] * 4, 4: ["BSD-3-Clause"]}
+
+
+def test_unconfirmed_rows_hold_half_of_the_rarer_words(spark):
+    rows = [(1, "the software license of the holder and its permission dialog", "s"), (2, MIT.replace("hereby granted, free of charge", "given").replace("deal in the Software without restriction", "use it"), "s")]
+    out = license_scan(brute.table(spark, rows)).collect()
+    assert {(r.doc_id, r.license, r.confirmed) for r in out} == {(2, "MIT", False)}
