@@ -136,6 +136,9 @@ add("chunk_id", on_typed(lambda t: t.select("row_id", F.floor((F.row_number().ov
 SEQ = (*TOKENS, o.LINE, o.CORPUS)
 add("corpus_lines", on_typed(lambda t: fitted().corpus(t, 4)), "SELECT * FROM corpus", *SEQ)
 add("corpus_lines_full", on_typed(lambda t: fitted().corpus(t, 315)), "SELECT * FROM corpus", *TOKENS, o.LINE, o.CORPUS.replace("pos // 4", "pos // 315"))
+# All users as one: three accounts, each of a third of the rows, so that lines are full and accounts have several.
+FOLDED = (o.TXN.replace("txn AS (", "every AS (", 1), 'txn AS (SELECT * REPLACE (0::BIGINT AS "User") FROM every)', o.CLEAN, o.TOK)
+add("corpus_lines_long", on_txn(lambda t: fitted().corpus(tk.preprocess(t.withColumn("User", F.lit(0).cast("long"))), 315)), "SELECT * FROM corpus", *FOLDED, o.LINE, o.CORPUS.replace("pos // 4", "pos // 315"))
 add("corpus_count", on_typed(lambda t: fitted().corpus(t, 4).agg(F.count("*").alias("lines"))), "SELECT count(*) AS lines FROM corpus", *SEQ)
 add("corpus_stats", on_typed(lambda t: fitted().corpus(t, 4).select("user", "card", "chunk_id", (F.size(F.split("text", "<sep>")) - 1).alias("seps"), F.size(F.split("text", " ")).alias("words"))), "SELECT \"user\", card, chunk_id, len(string_split(text, '<sep>')) - 1 AS seps, len(string_split(text, ' ')) AS words FROM corpus", *SEQ)
 
@@ -252,8 +255,8 @@ def histogram(s: SparkSession, d: str) -> DataFrame:
 add("user_histogram", histogram, "SELECT least(floor((n - low) / ((high - low) / 50)), 49)::INT AS bin, count(*) AS users FROM per, (SELECT min(n) AS low, max(n) AS high FROM per) GROUP BY 1", o.TXN, PER_USER)
 add("mcc_fraud_topn", on_txn(lambda t: t.groupBy("MCC").agg(F.count("*").alias("n"), (100 * F.sum(clean.fraud_flag(C("Is Fraud?"))) / F.count("*")).alias("rate")).filter("n >= 2 AND MCC IS NOT NULL").orderBy(F.desc("rate"), "MCC").limit(15)), "SELECT \"MCC\", count(*) AS n, 100.0::DOUBLE * count(*) FILTER (\"Is Fraud?\" = 'Yes') / count(*) AS rate FROM txn WHERE \"MCC\" IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 ORDER BY rate DESC, \"MCC\" LIMIT 15", o.TXN)
 
-MANY = "n >= 500 AND MCC IS NOT NULL"
-add("mcc_fraud_many", on_txn(lambda t: t.groupBy("MCC").agg(F.count("*").alias("n"), (100 * F.sum(clean.fraud_flag(C("Is Fraud?"))) / F.count("*")).alias("rate")).filter(MANY).orderBy(F.desc("rate"), "MCC").limit(15)), "SELECT \"MCC\", count(*) AS n, 100.0::DOUBLE * count(*) FILTER (\"Is Fraud?\" = 'Yes') / count(*) AS rate FROM txn WHERE \"MCC\" IS NOT NULL GROUP BY 1 HAVING count(*) >= 500 ORDER BY rate DESC, \"MCC\" LIMIT 15", o.TXN)
+# Codes by thousands, so that groups of 500 transactions and more are there from sf0.01 on.
+add("mcc_fraud_many", on_txn(lambda t: t.groupBy((C("MCC") - C("MCC") % 1000).alias("mcc_from")).agg(F.count("*").alias("n"), (100 * F.sum(clean.fraud_flag(C("Is Fraud?"))) / F.count("*")).alias("rate")).filter("n >= 500 AND mcc_from IS NOT NULL").orderBy(F.desc("rate"), "mcc_from").limit(15)), "SELECT (\"MCC\" - \"MCC\" % 1000)::INT AS mcc_from, count(*) AS n, 100.0::DOUBLE * count(*) FILTER (\"Is Fraud?\" = 'Yes') / count(*) AS rate FROM txn WHERE \"MCC\" IS NOT NULL GROUP BY 1 HAVING count(*) >= 500 ORDER BY rate DESC, 1 LIMIT 15", o.TXN)
 
 
 def topn_other(s: SparkSession, d: str) -> DataFrame:
@@ -304,7 +307,7 @@ CODES = "SELECT v, (row_number() OVER (ORDER BY v) - 1)::INT AS i FROM (SELECT D
 add("ordinal_encode", encoded, f'SELECT row_id, coalesce(a.i, -1) AS "Use Chip", coalesce(b.i, -1) AS "Merchant City" FROM parts LEFT JOIN ({CODES.format("Use Chip")}) a ON a.v = "Use Chip" LEFT JOIN ({CODES.format("Merchant City")}) b ON b.v = "Merchant City" WHERE split <> \'train\'', *SPLITS)
 vectors = lambda s, d: table("embeddings")(s, d).select(C("vec_id").alias("row_id"), "label", "embedding")
 add("align_by_row_id", lambda s, d: fe.align(vectors(s, d).select("row_id", "label"), vectors(s, d).select("row_id", F.size("embedding").alias("dim"))), "SELECT vec_id AS row_id, label, len(embedding) AS dim FROM embeddings")
-add("combined_features", lambda s, d: fe.align(vectors(s, d).select("row_id", F.array(C("label").cast("double")).alias("raw")), vectors(s, d).select("row_id", C("embedding").cast("array<double>").alias("e"))).select("row_id", F.size(F.concat("raw", "e")).alias("dims"), F.concat("raw", "e")[0].alias("first")), "SELECT vec_id AS row_id, len(embedding) + 1 AS dims, label::DOUBLE AS first FROM embeddings")
+add("combined_features", lambda s, d: fe.align(vectors(s, d).select("row_id", F.array(C("label").cast("double")).alias("raw")), vectors(s, d).select("row_id", C("embedding").cast("array<double>").alias("e"))).select("row_id", F.concat("raw", "e").alias("features")), "SELECT vec_id AS row_id, list_prepend(label::DOUBLE, embedding::DOUBLE[]) AS features FROM embeddings")
 add("embedding_stats", lambda s, d: vectors(s, d).select(F.explode(C("embedding").cast("array<double>")).alias("x")).agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"), F.min("x").alias("min"), F.max("x").alias("max")), "SELECT round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, min(x) AS min, max(x) AS max FROM (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings)")
 add("embedding_dim_variance", lambda s, d: vectors(s, d).select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.var_pop(C("x").cast("double")).alias("v")).agg(F.round(F.avg("v"), 6).alias("variance")), "SELECT round(avg(v), 6) AS variance FROM (SELECT i, var_pop(x) AS v FROM (SELECT unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY i)")
 
