@@ -13,6 +13,7 @@ from swipeline.operators import features as fe
 from swipeline.operators import split as sp
 from swipeline.operators import tokens as tk
 from swipeline.operators.kept import new_path
+from swipeline.operators.layout import layout
 from swipeline.operators.profiles import profile, sketch_days, store_days
 from swipeline.operators.provider import CausalAttention, embed_with
 from swipeline.operators.ranges import dense_row_id
@@ -335,6 +336,7 @@ add("embed_attention", on_typed(lambda t: embed_with(fitted().encode(t, 16), Cau
 add("embed_project_2d", lambda s, d: fe.pca(fe.embed(fitted().encode(typed(s, d), 128)), 2)[0].select("row_id", "pca"))
 
 
+add("embed_layout", lambda s, d: layout(vectors(s, d)))
 RAW = ["amount", "hour", "dow", "month", "mcc_int", "zip3", "cust"]
 FLAT = [f"p{k}" for k in range(8)]
 
