@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swipeline.llm.common import cut
+from swipeline.llm.common import cut, discard
 from swipeline.llm.tokens import encoder
 
 KEYS = ["source", "lang", "tokenizer"]
-DELTAS = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
+DELTAS = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, part int"
 SUMS = "source string, lang string, tokenizer string, docs long, tokens long"
-MANIFEST = "version long, batch long, folder string, mark string, compacted boolean"
+#: An entry is a batch with its mark, or a compaction of the batches from ``batch`` to ``last`` with the folder of their marks.
+MANIFEST = "version long, batch long, last long, folder string, mark string, marks string"
 
 
 def document_counts(docs: DataFrame, vocabulary: str | None = None, tokenizer: str = "byte_bpe_50k/1", revised: Column | None = None) -> DataFrame:
@@ -48,44 +49,68 @@ def added(rows: DataFrame, *keys: str) -> DataFrame:
 class TokenRollup:
     """Totals by source, language and tokenizer version, kept up to date by signed deltas in a folder.
 
-    Each batch has a folder of its own with what it changes: ``deltas`` by document and key, and ``sums`` of these by key. The totals are the
-    sums of the batches' sums, so they need neither texts nor documents. A commit writes new folders and last of all a new manifest, which
+    Each batch has a folder of its own with what it changes: ``deltas`` by document and key, in ``parts`` parts by a hash of the document, and ``sums`` of these by key. The totals are the
+    sums of the batches' sums, so they need neither texts nor documents, and a commit reads of earlier deltas only the parts that its documents are in. A commit writes new folders and last of all a new manifest, which
     says the folders that count; one that fails half-way leaves the totals as they were, and nothing is ever overwritten. Batches have rising
     numbers. Committing a batch again changes nothing if its changes are the same; the last one may be given again with other
     changes, which replace it; an earlier one with other changes, or a new number below the last, is refused, as later batches build on it.
-    ``compact`` adds all batches up into one folder, so a commit's reading does not grow with the number of batches. One writer at a time.
+
+    Only the newest manifest is read. A commit that makes more than ``most_live`` batches adds all but the last up in one folder (``compact`` adds up all), and their marks go to a file of their own: a manifest has at most
+    ``most_live`` + 2 entries, so what is read does not grow with the number of batches. Folders and manifests that no longer count are removed then, once they are ``grace_s`` seconds old, so
+    that a reader who began before can end. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, parts: int = 64, most_live: int = 64, grace_s: int = 3600):
+        self.spark, self.path, self.parts, self.most_live, self.grace_s = spark, path, parts, most_live, grace_s
+
+    def listed(self, folder: str) -> list[tuple[str, int]]:
+        """(name, milliseconds of its last change) of what is in a folder; nothing if it is not there."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [(f.getPath().getName(), f.getModificationTime()) for f in files.listStatus(where)] if files.exists(where) else []
+
+    def manifests(self) -> list[tuple[int, str]]:
+        """(version, name) of the manifests, newest first."""
+        return sorted(((int(name.split("-")[0]), name) for name, _ in self.listed(f"{self.path}/manifest")), reverse=True)
 
     def entries(self) -> list:
-        """The rows of the newest manifest, by batch."""
-        try:
-            rows = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest/*")
-            newest = rows.filter(F.col("version") == rows.agg(F.max("version")).first()[0]).orderBy("batch").collect()
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        """The rows of the newest whole manifest, by batch."""
+        whole = [m for m in self.manifests()[:4] if any(name == "_SUCCESS" for name, _ in self.listed(f"{self.path}/manifest/{m[1]}"))]
+        if not whole:
             return []
-        if len({r["batch"] for r in newest}) < len(newest):
+        if len(whole) > 1 and whole[0][0] == whole[1][0]:
             raise RuntimeError("two writers have committed at once")
-        return newest
+        return self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest/{whole[0][1]}").orderBy("batch").collect()
 
     def publish(self, version: int, entries: list[tuple]) -> None:
         rows = self.spark.createDataFrame([(version, *e) for e in entries], MANIFEST)
-        rows.coalesce(1).write.json(f"{self.path}/manifest/{version}-{uuid.uuid4().hex}")
+        rows.coalesce(1).write.json(f"{self.path}/manifest/{version:012d}-{uuid.uuid4().hex}")
 
     def read(self, part: str, schema: str, entries: list) -> DataFrame:
-        paths = sorted({f"{self.path}/{e['folder']}/{part}" for e in entries})
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        paths = sorted({f"{self.path}/{part}/folder={e['folder']}" for e in entries})
+        columns = [c.split()[0] for c in schema.split(", ")]
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{part}").parquet(*paths).select(columns) if paths else self.spark.createDataFrame([], schema)
+
+    def part_of(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
 
     def write(self, deltas: DataFrame) -> str:
         folder = uuid.uuid4().hex
-        deltas.write.parquet(f"{self.path}/{folder}/deltas")
-        added(self.spark.read.schema(DELTAS).parquet(f"{self.path}/{folder}/deltas"), *KEYS).write.parquet(f"{self.path}/{folder}/sums")
+        parted = deltas.select("doc_id", *KEYS, "docs", "tokens", self.part_of().alias("part")).repartitionByRange("part", "doc_id")
+        parted.write.partitionBy("part").parquet(f"{self.path}/deltas/folder={folder}")
+        added(self.read("deltas", DELTAS, [{"folder": folder}]), *KEYS).write.parquet(f"{self.path}/sums/folder={folder}")
         return folder
 
+    def mark_of(self, batch: int, entries: list) -> str | None:
+        """The mark with which a batch was committed, None if it was not."""
+        for e in entries:
+            if e["marks"] is None and e["batch"] == batch:
+                return e["mark"]
+            if e["marks"] is not None and e["batch"] <= batch <= e["last"]:
+                found = self.spark.read.parquet(f"{self.path}/marks/{e['marks']}").filter(F.col("batch") == batch).first()
+                return found and found["mark"]
+        return None
+
     def commit(self, batch: int, changes: DataFrame) -> None:
         """Adds the deltas of ``changes``: doc_id and op, and for inserts and revisions source, lang, tokenizer and tokens.
 
@@ -103,25 +128,50 @@ class TokenRollup:
         )
         mark = ":".join(map(str, given.agg(F.count("*"), *(F.sum(F.xxhash64(*given.columns, F.lit(k)).cast("decimal(38,0)")) for k in (0, 1))).first()))
         entries = self.entries()
-        if any(e["batch"] == batch and e["mark"] == mark for e in entries):
+        if self.mark_of(batch, entries) == mark:
             return
-        if any(e["batch"] > batch or (e["batch"] == batch and e["compacted"]) for e in entries):
+        if any(e["last"] > batch or (e["last"] == batch and e["marks"] is not None) for e in entries):
             raise ValueError(f"batch {batch} has other changes than before, or is new, and later ones or a compaction build on what it was")
-        before = [e for e in entries if e["batch"] < batch]
+        before = [e for e in entries if e["last"] < batch]
         plus = given.filter(F.col("op").isin("insert", "revise")).groupBy("doc_id", *KEYS).agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
         gone = given.filter(F.col("op").isin("delete", "revise")).select("doc_id").distinct()
-        known = added(self.read("deltas", DELTAS, before).join(gone, "doc_id", "left_semi"), "doc_id", *KEYS)
+        touched = [r["part"] for r in gone.filter("doc_id IS NOT NULL").select(self.part_of().alias("part")).distinct().collect()]
+        earlier = self.read("deltas", DELTAS, before).filter(F.col("part").isin(touched))
+        known = added(earlier.join(gone, "doc_id", "left_semi"), "doc_id", *KEYS)
         minus = known.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
         folder = self.write(added(plus.unionByName(minus), "doc_id", *KEYS))
-        kept = [(e["batch"], e["folder"], e["mark"], e["compacted"]) for e in before]
-        self.publish(max((e["version"] for e in entries), default=0) + 1, [*kept, (batch, folder, mark, False)])
+        kept = [tuple(e)[1:] for e in before]
+        self.publish(max((e["version"] for e in entries), default=0) + 1, [*kept, (batch, batch, folder, mark, None)])
+        if sum(e["marks"] is None for e in before) + 1 > self.most_live:
+            self.fold(1)
 
     def compact(self) -> None:
         """Adds all batches' deltas up in one folder. Their numbers and marks stay known, so a replay of any still changes nothing."""
+        self.fold(0)
+
+    def fold(self, leave: int) -> None:
+        """Adds all but the last ``leave`` batches up, and removes what no longer counts."""
+        entries = self.entries()
+        folded, live = entries[: len(entries) - leave], entries[len(entries) - leave :]
+        if sum(e["marks"] is None for e in folded):
+            folder, marks = self.write(added(self.read("deltas", DELTAS, folded), "doc_id", *KEYS)), f"{uuid.uuid4().hex}"
+            told = self.spark.createDataFrame([(e["batch"], e["mark"]) for e in folded if e["marks"] is None], "batch long, mark string")
+            for e in folded:
+                if e["marks"] is not None:
+                    told = told.unionByName(self.spark.read.parquet(f"{self.path}/marks/{e['marks']}"))
+            told.repartitionByRange(1, "batch").write.parquet(f"{self.path}/marks/{marks}")
+            self.publish(entries[0]["version"] + 1, [(folded[0]["batch"], folded[-1]["last"], folder, None, marks), *(tuple(e)[1:] for e in live)])
+        self.sweep()
+
+    def sweep(self) -> None:
+        """Removes folders and manifests that the newest manifest does without, once they are old enough."""
         entries = self.entries()
-        if len({e["folder"] for e in entries}) > 1:
-            folder = self.write(added(self.read("deltas", DELTAS, entries), "doc_id", *KEYS))
-            self.publish(entries[0]["version"] + 1, [(e["batch"], folder, e["mark"], True) for e in entries])
+        folders, until = {f"folder={e['folder']}" for e in entries}, time.time() * 1000 - self.grace_s * 1000
+        counts = {"deltas": folders, "sums": folders, "marks": {e["marks"] for e in entries}, "manifest": {name for _, name in self.manifests()[:1]}}
+        for kind, needed in counts.items():
+            for name, at in self.listed(f"{self.path}/{kind}"):
+                if name not in needed and at <= until:
+                    discard(self.spark, f"{self.path}/{kind}/{name}")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) of the keys that have documents."""

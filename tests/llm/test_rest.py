@@ -230,6 +230,33 @@ def test_token_rollup_replays_against_plain_totals(spark, tmp_path, monkeypatch)
     assert totals() == plain()
 
 
+def test_token_rollup_reads_no_more_with_more_batches(spark, tmp_path):
+    """Manifests, folders and entries stay few, replays of any batch stay known, and a commit reads only its documents' parts."""
+    path = str(tmp_path / "r")
+    rollup, tokens = TokenRollup(spark, path, parts=8, most_live=3, grace_s=0), 0
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, op string, source string, tokens long")
+    batches = [[(k, "insert", "a", 10 + k), (100 + k, "insert", "b", 1), *([(k - 3, "revise", "c", 7)] if k >= 3 else [])] for k in range(11)]
+    for k, rows in enumerate(batches):
+        rollup.commit(k, table(rows))
+        entries = rollup.entries()
+        assert len(entries) <= 5 and len(rollup.manifests()) <= 4
+    assert all(len(rollup.listed(f"{path}/{kind}")) <= len(entries) for kind in ("deltas", "sums", "marks"))
+    totals = lambda: {r.source: (r.docs, r.tokens) for r in rollup.totals().collect()}
+    want = {"a": (3, sum(10 + k for k in (8, 9, 10))), "b": (11, 11), "c": (8, 56)}
+    assert totals() == want
+    for k in (0, 5, 10):
+        rollup.commit(k, table(batches[k][::-1]))
+    with pytest.raises(ValueError, match="batch 4"):
+        rollup.commit(4, table(batches[5]))
+    assert totals() == want
+    rollup.commit(10, table(batches[10][:1]))  # the last one may still be given anew
+    assert totals() == {"a": (4, 17 + 18 + 19 + 20), "b": (10, 10), "c": (7, 49)}
+    rollup.compact()
+    assert len(rollup.entries()) == 1 and totals()["b"] == (10, 10)
+    read = rollup.read("deltas", "doc_id long, part int", rollup.entries()).filter(F.col("part").isin([3]))
+    assert "PartitionFilters: [isnotnull(part#" in read._jdf.queryExecution().executedPlan().toString()
+
+
 def test_token_query(spark, exact_ids):
     read = lambda t: spark.read.parquet(f"{brute.SF}/{t}.parquet").collect()
     docs, labels = read("documents"), read("labels")
