@@ -313,6 +313,9 @@ def boost(train: DataFrame, columns: list[str], label: str, how: Boosting, valid
         return Model(columns, [[] for _ in columns], 0.0 if mean is None else math.log((mean + 1e-6) / (1 - mean + 1e-6)))
     model = Model(columns, quantile_edges(fit, columns), math.log(mean / (1 - mean)))
     blocks, count = kept(to_blocks(rows, columns, label, validation, key, model.edges, model.start)), len(columns)
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    if blocks.rdd.getNumPartitions() < cores:  # a small table comes in few partitions, and every level walks over them
+        blocks = kept(blocks.repartition(cores))
     best, at, stored = -1.0, how.trees, 0
     every = how.patience if validation is not None else every
 
