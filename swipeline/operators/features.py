@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -96,20 +96,35 @@ def token_vectors(ids: np.ndarray, dim: int) -> np.ndarray:
 
 
 def embed(df: DataFrame, dim: int = 64, pooling: str = "mean", pad: int = 0, ids: str = "input_ids", key: str = "row_id") -> DataFrame:
-    """(key, embedding): token vectors pooled over each row's ids, in Arrow batches; a stand-in for a model's hidden states."""
+    """(key, embedding): token vectors pooled over each row's ids, in Arrow batches; a stand-in for a model's hidden states. Null ids are padding; a row of padding has id 0's vector."""
     if pooling not in ("mean", "last"):
         raise ValueError(f"unknown pooling {pooling}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch[ids]:
-                real = np.asarray(row)[np.asarray(row) != pad]
-                states = token_vectors(real if len(real) else np.zeros(1, int), dim)
-                out.append((states.mean(axis=0) if pooling == "mean" else states[-1]).astype(np.float32))
-            yield pd.DataFrame({key: batch[key], "embedding": out})
-
-    return df.select(key, ids).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<float>")
+            n, lists = batch.num_rows, batch.column(ids)
+            values = lists.flatten().fill_null(pad).to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(n), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            values, rows = values[values != pad], rows[values != pad]
+            different, which = np.unique(np.append(values, 0), return_inverse=True)
+            vectors, empty = token_vectors(different, dim), which[-1]
+            size = np.bincount(rows, minlength=n)
+            first = np.cumsum(size) - size
+            if pooling == "last":
+                out = vectors[np.where(size > 0, which[first + size - 1], empty)]
+            else:
+                order = np.argsort(-size, kind="stable")  # long rows first, so that those with a further id are the front
+                longest, ends = size[order], first[order]
+                sums = vectors[np.where(longest > 0, which[ends], empty)]
+                for k in range(1, int(longest[0]) if n else 0):
+                    m = int(np.searchsorted(-longest, -k, "left"))  # rows of more than k ids
+                    sums[:m] += vectors[which[ends[:m] + k]]
+                out = np.empty_like(sums)
+                out[order] = sums / np.maximum(longest, 1)[:, None]
+            flat = pa.array(out.astype(np.float32).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), flat)], [key, "embedding"])
+
+    return df.select(key, ids).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, embedding array<float>")
 
 
 def score_steps(df: DataFrame, score: str, label: str, descending: bool) -> DataFrame:

@@ -12,7 +12,7 @@ from swipeline.functions.values import INDUSTRIES, SPECIALS
 from swipeline.operators import features as fe
 from swipeline.operators import split as sp
 from swipeline.operators import tokens as tk
-from swipeline.operators.kept import new_path
+from swipeline.operators.kept import kept, new_path
 from swipeline.operators.layout import layout
 from swipeline.operators.profiles import profile, sketch_days, store_days
 from swipeline.operators.provider import CausalAttention, embed_with
@@ -345,11 +345,15 @@ def gbt(which: str, columns: list[str]) -> Callable:
     """Scores of the test split with one of the tuned sets, of up to all its trees."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        t = fe.align(typed(s, d), parts(s, d).select("row_id", "split")).withColumn("is_val", C("split") == "val")
+        t = fe.align(typed(s, d), parts(s, d).select("row_id", "split"))
+        own = ["row_id", "is_fraud", "split", *(c for c in columns if c not in FLAT)]
         if FLAT[0] in columns:
-            vectors = fe.embed(fitted().encode(typed(s, d), 128))
-            flat, _ = fe.pca(vectors, len(FLAT), vectors.join(t.filter("split = 'train'").select("row_id"), "row_id"))
-            t = fe.align(t, flat.select("row_id", *(C("pca")[k].alias(c) for k, c in enumerate(FLAT))))
+            # Kept with the ids, so that the passes of the fit embed them where they are.
+            ids = fitted().encode(t, 128, keep="*")
+            t = kept(ids.select(*own, F.filter("input_ids", lambda x: x != 0).alias("input_ids")))
+            flat, _ = fe.pca(fe.embed(t), len(FLAT), fe.embed(t.filter("split = 'train'")))
+            t = fe.align(t.select(*own), flat.select("row_id", *(C("pca")[k].alias(c) for k, c in enumerate(FLAT))))
+        t = kept(t.select(*own, *(c for c in columns if c in FLAT)).withColumn("is_val", C("split") == "val"))
         return fe.gbt_scores(t.filter("split <> 'test'"), t.filter("split = 'test'"), columns, "is_fraud", fe.GBT_SETS[which], "is_val")
 
     return run
