@@ -20,6 +20,14 @@ BINS = 255
 PLACES = 28
 #: The least gain of a split.
 LEAST_GAIN = 1e-6
+#: Rows of a block, and rows of a partition of blocks from which on there are more partitions than cores.
+BLOCK_ROWS, PART_ROWS = 1 << 16, 1 << 22
+#: The most cells (node, column, bin) for which a task holds sums, 16 bytes each; beyond, it sends a block's sums on.
+MOST_CELLS = 1 << 23
+#: Cells that a task of the aggregate gets, 28 bytes each.
+PART_CELLS = 1 << 18
+#: Margins are written anew after so many trees; until then each level of a tree works them out again.
+EVERY = 2
 BLOCK = "n int, bins binary, label binary, held binary, hash binary, margin binary"
 CELLS = "node int, col int, bin int, g long, h long"
 SPLITS = "node int, tg double, th double, gain double, col int, cut int, missing_left boolean, g double, h double"
@@ -48,14 +56,16 @@ class Tree:
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         """The node in which each row of ``bins`` (rows x columns) ends."""
         column, cut, missing_left, left = (np.array(x) for x in (self.column, self.cut, self.missing_left, self.left))
+        inner = column >= 0
+        # Left is where bin - shift, as a byte, is below the limit: a missing value's 0 becomes 255 where it goes right.
+        shift, limit = (~missing_left).astype(np.uint8), (cut + missing_left).astype(np.int16)
         at = np.zeros(len(bins), np.int64)
-        going = np.arange(len(bins)) if column[0] >= 0 else np.zeros(0, np.int64)
+        going, node = (np.arange(len(bins)) if inner[0] else np.zeros(0, np.int64)), at
         while len(going):
-            node = at[going]
-            b = bins[going, column[node]]
-            goes_left = np.where(b == 0, missing_left[node], b <= cut[node])
-            at[going] = left[node] + ~goes_left
-            going = going[column[at[going]] >= 0]
+            node = left[node] + (bins[going, column[node]] - shift[node] >= limit[node])
+            at[going] = node
+            on = inner[node]
+            going, node = (going, node) if on.all() else (going[on], node[on])
         return at
 
     def margins(self, bins: np.ndarray) -> np.ndarray:
@@ -168,16 +178,25 @@ def quantile_edges(df: DataFrame, names: list[str]) -> list[list[float]]:
 
 
 def to_blocks(df: DataFrame, names: list[str], label: str, held: str | None, key: str, edges: list[list[float]], start: float) -> DataFrame:
-    """The rows as blocks of bytes, an Arrow batch each, so that a level reads few and large values."""
+    """The rows as blocks of bytes, of ``BLOCK_ROWS`` rows or few more, so that a level reads few and large values. Bins are stored column after column."""
     inputs = [f"_x{k}" for k in range(len(names))]
 
+    def block(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        bins, y, held, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        values = [bins.T.tobytes(), y.tobytes(), held.tobytes(), hashes.tobytes(), np.full(len(y), start).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], [c.split()[0] for c in BLOCK.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if batch.num_rows:
-                flag = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
-                hashes = batch.column("_hash").to_numpy().astype("<i8").tobytes()
-                parts = [to_bins(batch, inputs, edges).tobytes(), flag("_y"), flag("_held"), hashes, np.full(batch.num_rows, start).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], [c.split()[0] for c in BLOCK.split(", ")])
+                flags = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("_y", "_held")]
+                parts.append((to_bins(batch, inputs, edges), *flags, batch.column("_hash").to_numpy().astype("<i8")))
+                if sum(len(x[1]) for x in parts) >= BLOCK_ROWS:
+                    yield block(parts)
+                    parts = []
+        if parts:
+            yield block(parts)
 
     y, aside = F.col(f"`{label}`").cast("int").alias("_y"), (F.coalesce(F.col(f"`{held}`"), F.lit(False)) if held else F.lit(False)).alias("_held")
     return df.select(*numbers(names), y, aside, F.xxhash64(F.col(f"`{key}`")).alias("_hash")).mapInArrow(run, BLOCK)
@@ -188,7 +207,7 @@ class Block:
 
     def __init__(self, batch: pa.RecordBatch, row: int, columns: int):
         value = lambda c, kind: np.frombuffer(batch.column(c)[row].as_py(), kind)
-        self.bins = value("bins", np.uint8).reshape(-1, columns)
+        self.bins = value("bins", np.uint8).reshape(columns, -1).T
         self.label, self.held, self.hash, self.margin = value("label", np.uint8), value("held", np.uint8) > 0, value("hash", "<u8"), value("margin", "<f8")
 
     def after(self, trees: list[Tree]) -> np.ndarray:
@@ -201,33 +220,58 @@ def blocks_of(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple
             yield batch, row, Block(batch, row, columns)
 
 
-def histogram(blocks: DataFrame, done: list[Tree], tree: Tree, number: int, active: list[int], chosen: np.ndarray, how: Boosting, columns: int) -> DataFrame:
-    """(node, col, bin, g, h): sums of the gradients of the drawn rows in the ``active`` nodes, a task's own sums for each of its blocks."""
+def histogram(blocks: DataFrame, done: list[Tree], tree: Tree, number: int, active: list[int], chosen: np.ndarray, how: Boosting, columns: int, most: int = MOST_CELLS) -> DataFrame:
+    """(node, col, bin, g, h): sums of the gradients of the drawn rows in the ``active`` nodes, one row a task for each cell that has any; where there are more
+    than ``most`` cells, one a block.
+    """
+    names, nodes = [x.split()[0] for x in CELLS.split(", ")], np.array(active, np.int32)
+
+    def out(c: int, used: np.ndarray, g: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        keys = [nodes[used // (BINS + 1)], np.full(len(used), c, np.int32), (used % (BINS + 1)).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, g, h)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(len(tree.column), -1)
         place[active] = np.arange(len(active))
+        width = len(active) * (BINS + 1)
+        sums = np.zeros((len(chosen), 2, width), np.int64) if len(chosen) * width <= most else None
         for _, _, block in blocks_of(batches, columns):
-            at = place[tree.nodes(block.bins)]
-            rows = np.flatnonzero((at >= 0) & ~block.held & how.drawn(number, block.hash))
+            rows = np.flatnonzero(~block.held & how.drawn(number, block.hash))
+            bins = block.bins.T[:, rows].T
+            at = place[tree.nodes(bins)]
+            if (at < 0).any():
+                inside = np.flatnonzero(at >= 0)
+                rows, bins, at = rows[inside], bins.T[:, inside].T, at[inside]
             if not len(rows):
                 continue
-            chance = 1 / (1 + np.exp(-block.after(done)[rows]))
+            chance = 1 / (1 + np.exp(-sum((t.margins(bins) for t in done), block.margin[rows])))
             g = np.rint((chance - block.label[rows]) * 2.0**PLACES)
             h = np.rint(chance * (1 - chance) * 2.0**PLACES)
-            for c in chosen:
-                cell = at[rows] * (BINS + 1) + block.bins[rows, c]
-                used = np.flatnonzero(np.bincount(cell))
-                sums = [np.bincount(cell, x)[used].astype(np.int64) for x in (g, h)]  # exact: a block's sums are below 2^53
-                out = [np.array(active, np.int32)[used // (BINS + 1)], np.full(len(used), c, np.int32), (used % (BINS + 1)).astype(np.int32), *sums]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], [x.split()[0] for x in CELLS.split(", ")])
+            at *= BINS + 1
+            for k, c in enumerate(chosen):
+                cell = at + bins[:, c]
+                if sums is not None and width > len(rows):
+                    for own, x in zip(sums[k], (g, h), strict=True):
+                        np.add.at(own, cell, x.astype(np.int64))
+                    continue
+                found = [np.bincount(cell, x, width) for x in (g, h)]  # exact: a block's sums are below 2^53
+                if sums is not None:
+                    for own, x in zip(sums[k], found, strict=True):
+                        own += x.astype(np.int64)
+                else:
+                    used = np.flatnonzero(np.bincount(cell))
+                    yield out(c, used, *(x[used].astype(np.int64) for x in found))
+        for k, c in enumerate(chosen if sums is not None else []):
+            used = np.flatnonzero(sums[k].any(axis=0))
+            if len(used):
+                yield out(c, used, *sums[k][:, used])
 
     return blocks.mapInArrow(run, CELLS)
 
 
-def best_splits(cells: DataFrame, how: Boosting) -> DataFrame:
+def best_splits(cells: DataFrame, how: Boosting, parts: int) -> DataFrame:
     """Rows (node, tg, th, gain, col, cut, missing_left, g, h), one for each node and task: the node's sums, and its split of most gain among the task's
-    columns (of equal ones the first column's, then the lowest cut's), null where none is allowed. Sums meet by node and column.
+    columns (of equal ones the first column's, then the lowest cut's), null where none is allowed. Sums meet by node and column, in ``parts`` tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,14 +294,15 @@ def best_splits(cells: DataFrame, how: Boosting) -> DataFrame:
         rows = [(k, *v) for k, v in sorted(found.items())]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), SPLIT_KINDS, strict=True)], SPLIT_NAMES)
 
-    return cells.repartition("node", "col").mapInArrow(run, SPLITS)
+    return cells.repartition(parts, "node", "col").mapInArrow(run, SPLITS)
 
 
-def grow(blocks: DataFrame, done: list[Tree], number: int, how: Boosting, columns: int) -> Tree:
-    """A tree level by level; the driver gets a row for each node of a level and task of the aggregate."""
+def grow(blocks: DataFrame, tasks: int, done: list[Tree], number: int, how: Boosting, columns: int) -> Tree:
+    """A tree level by level; the driver gets a row for each node of a level and task of the aggregate, and has no more tasks to keep than the level's sums need."""
     tree, chosen, active = Tree(), how.tree_columns(number, columns), [0]
     for _ in range(how.depth):
-        found = best_splits(histogram(blocks, done, tree, number, active, chosen, how, columns), how).collect()
+        parts = math.ceil(tasks * len(active) * len(chosen) * (BINS + 1) / PART_CELLS)
+        found = best_splits(histogram(blocks, done, tree, number, active, chosen, how, columns), how, parts).collect()
         best = {r["node"]: r for r in sorted(found, key=lambda r: (r["gain"] is not None, r["gain"] or 0, -(r["col"] or 0)))}
         active = []
         for node, s in sorted(best.items()):
@@ -277,14 +322,13 @@ def prefix_areas(blocks: DataFrame, new: list[Tree], columns: int) -> list[float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, block in blocks_of(batches, columns):
-            margin = block.margin
-            for k, tree in enumerate(new):
-                margin = margin + tree.margins(block.bins)
-                values, at = np.unique(margin[block.held], return_inverse=True)
-                if len(values):
-                    n = np.bincount(at, minlength=len(values))
-                    pos = np.bincount(at, block.label[block.held], len(values)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, np.int32)), *map(pa.array, (values, pos, n - pos))], ["tree", "s", "pos", "neg"])
+            margin, bins, label = block.margin[block.held], block.bins[block.held], block.label[block.held]
+            for k, tree in enumerate(new if len(label) else []):
+                margin = margin + tree.margins(bins)
+                values, at = np.unique(margin, return_inverse=True)
+                n = np.bincount(at, minlength=len(values))
+                pos = np.bincount(at, label, len(values)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, np.int32)), *map(pa.array, (values, pos, n - pos))], ["tree", "s", "pos", "neg"])
 
     per = blocks.mapInArrow(run, "tree int, s double, pos long, neg long").groupBy("tree", "s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     before = sums_before(per, ["tree", "s"], neg_before="neg")
@@ -294,12 +338,12 @@ def prefix_areas(blocks: DataFrame, new: list[Tree], columns: int) -> list[float
     return [None if k not in rows or not rows[k]["pos"] * rows[k]["neg"] else rows[k]["below"] / (rows[k]["pos"] * rows[k]["neg"]) - k for k in range(len(new))]
 
 
-def boost(train: DataFrame, columns: list[str], label: str, how: Boosting, validation: str | None = None, key: str = "row_id", every: int = 10) -> Model:
+def boost(train: DataFrame, columns: list[str], label: str, how: Boosting, validation: str | None = None, key: str = "row_id") -> Model:
     """Trees for a label of 0 and 1 on number ``columns``, by Newton steps on the log loss from the label's mean on.
 
     Rows are binned once by quantiles into blocks of bytes in the shared folder. A level of a tree is one aggregate: tasks add up gradients and second
     derivatives by node, column and bin, the sums meet by node and column, and the driver gets the best split of each node. Margins are kept with the blocks and written anew
-    after ``every`` (with ``validation``: ``patience``) trees, and until then worked out again from the trees since. Sums are of integers and draws are by hashes of ``key``, so the model
+    after ``EVERY`` trees, and until then worked out again from the trees since. Sums are of integers and draws are by hashes of ``key``, so the model
     does not depend on partitions, lost executors or reruns.
 
     With a boolean ``validation`` column its rows are not fitted on: after each ``patience`` trees the areas under the curve on them are measured for all of these, and
@@ -308,16 +352,17 @@ def boost(train: DataFrame, columns: list[str], label: str, how: Boosting, valid
     """
     rows = train.filter(F.col(f"`{label}`").isNotNull())
     fit = rows if validation is None else rows.filter(~F.coalesce(F.col(f"`{validation}`"), F.lit(False)))
-    mean = fit.agg(F.avg(F.col(f"`{label}`").cast("double"))).first()[0]
+    mean, size = fit.agg(F.avg(F.col(f"`{label}`").cast("double")), F.count("*")).first()
     if mean is None or not 0 < mean < 1:
         return Model(columns, [[] for _ in columns], 0.0 if mean is None else math.log((mean + 1e-6) / (1 - mean + 1e-6)))
     model = Model(columns, quantile_edges(fit, columns), math.log(mean / (1 - mean)))
-    blocks, count = kept(to_blocks(rows, columns, label, validation, key, model.edges, model.start)), len(columns)
     cores = train.sparkSession.sparkContext.defaultParallelism
-    if blocks.rdd.getNumPartitions() < cores:  # a small table comes in few partitions, and every level walks over them
-        blocks = kept(blocks.repartition(cores))
+    # Dealt by key to all cores, in few partitions, as a task's sums are one row a cell however many rows it has.
+    tasks = cores * math.ceil(size / (cores * PART_ROWS))
+    dealt = rows.repartition(tasks, F.col(f"`{key}`"))
+    blocks, count = kept(to_blocks(dealt, columns, label, validation, key, model.edges, model.start)), len(columns)
     best, at, stored = -1.0, how.trees, 0
-    every = how.patience if validation is not None else every
+    measured, base = 0, blocks  # the trees whose areas are known, and the blocks of that time
 
     def update(trees: list[Tree]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,18 +373,19 @@ def boost(train: DataFrame, columns: list[str], label: str, how: Boosting, valid
         return kept(blocks.mapInArrow(run, BLOCK))
 
     for number in range(1, how.trees + 1):
-        model.trees.append(grow(blocks, model.trees[stored:], number, how, count))
-        if number % every and number < how.trees:
-            continue
-        if validation is not None:
-            for area in prefix_areas(blocks, model.trees[stored:], count):
+        model.trees.append(grow(blocks, tasks, model.trees[stored:], number, how, count))
+        if validation is not None and (number % how.patience == 0 or number == how.trees):
+            for area in prefix_areas(base, model.trees[measured:], count):
                 model.areas.append(area)
                 if area is not None and area > best:
                     best, at = area, len(model.areas)
                 elif len(model.areas) - at >= how.patience:
                     model.trees = model.trees[:at]
                     return model
-        if number < how.trees:
+            measured = number
+        if number < how.trees and (number % EVERY == 0 or measured == number):
             blocks, stored = update(model.trees[stored:]), number
+        if measured == number or validation is None:
+            base = blocks
     model.trees = model.trees[:at]
     return model

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from swipeline.operators import boosting
 from swipeline.operators import features as fe
 from swipeline.operators.boosting import LEAST_GAIN, Boosting, boost
 from swipeline.plans import queries
@@ -140,3 +141,60 @@ def test_tuned_sets_score_the_test_split(spark):
     test = queries.parts(spark, sf).filter("split = 'test'").count()
     scores = [r.score for r in queries.QUERIES["gbt_scores"](spark, sf).collect()]
     assert len(scores) == test and all(0 <= s <= 1 for s in scores)
+
+
+def test_sums_of_a_level_are_one_row_a_cell_and_task(spark):
+    """However many blocks a task has, or else what a level shuffles grows with the rows and not with the cells."""
+    df = table(spark, 2000, 6).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        model = boost(df, COLUMNS, "y", Boosting(trees=0))
+        blocks = boosting.to_blocks(df, COLUMNS, "y", "is_val", "row_id", model.edges, model.start).coalesce(1).union(boosting.to_blocks(df, COLUMNS, "y", "is_val", "row_id", model.edges, model.start)).coalesce(1)
+        cells = boosting.histogram(blocks, [], boosting.Tree(), 1, [0], np.arange(3), Boosting(), 3)
+        assert cells.groupBy("node", "col", "bin").count().agg(F.max("count")).first()[0] == 1
+        labels = df.filter("NOT is_val").agg(F.sum(model_chance(model) - F.col("y"))).first()[0]
+        assert {round(r.g / UNIT, 3) for r in cells.groupBy("col").agg(F.sum("g").alias("g")).collect()} == {round(2 * labels, 3)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def model_chance(model):
+    return F.lit(1 / (1 + math.exp(-model.start)))
+
+
+def test_sums_beyond_what_a_task_holds(spark, monkeypatch):
+    df, how = table(spark, 600, 7), Boosting(trees=2, depth=3, rate=0.5)
+    whole = boost(df, COLUMNS, "y", how, "is_val")
+    rows = boosting.histogram  # with no room at all, sums leave the tasks block by block
+    monkeypatch.setattr(boosting, "histogram", lambda *a: rows(*a, most=0))
+    assert boost(df, COLUMNS, "y", how, "is_val").trees == whole.trees
+
+
+def test_vectors_are_worked_out_a_few_times_only(spark, monkeypatch):
+    """The search for trees reads kept columns: each vector is embedded for the fits of the projection, for the check of ids and for the columns, and never again."""
+    seen, embed = spark.sparkContext.accumulator(0), fe.embed
+
+    def counted(df, *args, **named):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return embed(df.mapInArrow(run, df.schema), *args, **named)
+
+    monkeypatch.setattr(queries.fe, "embed", counted)
+    monkeypatch.setitem(fe.GBT_SETS, "combined", Boosting(trees=2, depth=2, patience=2))
+    sf = "/root/testdata/sf0.001"
+    assert queries.QUERIES["gbt_combined"](spark, sf).count() == queries.parts(spark, sf).filter("split = 'test'").count()
+    assert seen.value <= 7 * spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+@pytest.mark.parametrize("pooling", ["mean", "last"])
+def test_vectors_are_those_of_one_row_at_a_time(spark, pooling):
+    draw = np.random.default_rng(8)
+    ids = {k: [int(x) for x in draw.integers(0, 50, draw.integers(0, 40))] for k in range(300)} | {300: [], 301: [0, 0]}
+    got = fe.embed(spark.createDataFrame(list(ids.items()), "row_id long, input_ids array<int>"), 16, pooling).collect()
+    for r in got:
+        states = fe.token_vectors(np.array([x for x in ids[r.row_id] if x] or [0]), 16)
+        assert np.array_equal(np.array(r.embedding, np.float32), (states.mean(axis=0) if pooling == "mean" else states[-1]).astype(np.float32))
+    assert len(got) == len(ids)
