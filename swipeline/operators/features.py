@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +46,58 @@ def align(left: DataFrame, right: DataFrame, on: str = "row_id") -> DataFrame:
     return left.join(right, on)
 
 
+def moments(df: DataFrame, column: str, mean: np.ndarray | None = None) -> dict[tuple[int, int], float]:
+    """Sums over the rows' vectors by place: without ``mean`` of entries at (i, -1), with it of products of centred entries at (i, j). (-1, -1) has the number of rows.
+
+    A task adds up its batches as matrices and sends a row a place on; nulls are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, None
+        for batch in batches:
+            x = rows_of(batch.column(0))
+            if len(x):
+                part = x.sum(axis=0)[:, None] if mean is None else (x - mean).T @ (x - mean)
+                n, total = n + len(x), part if total is None else total + part
+        if n:
+            i, j = (k.ravel() for k in np.indices(total.shape))
+            places = [np.append(i, -1), np.append(j if mean is not None else j - 1, -1)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(k.astype(np.int32)) for k in places), pa.array(np.append(total.ravel(), n))], ["i", "j", "x"])
+
+    parts = df.select(F.col(column).cast("array<double>").alias("x")).filter("x IS NOT NULL").mapInArrow(run, "i int, j int, x double")
+    return {(r["i"], r["j"]): r["x"] for r in parts.groupBy("i", "j").agg(F.sum("x").alias("x")).collect()}
+
+
+def rows_of(lists: pa.ListArray) -> np.ndarray:
+    """The lists, all of one length, as a matrix."""
+    sizes = set(lists.value_lengths().to_pylist())
+    if len(sizes) > 1:
+        raise ValueError("vectors have different lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+
+
 def pca(df: DataFrame, k: int, fit_on: DataFrame | None = None, column: str = "embedding", out: str = "pca") -> tuple[DataFrame, float]:
-    """(``df`` with its first k principal coordinates, explained share); centred on the rows it is fitted on."""
-    vec = lambda d: d.withColumn("_x", array_to_vector(F.col(column).cast("array<double>")))
-    train = vec(df if fit_on is None else fit_on)
-    centre = StandardScaler(inputCol="_x", outputCol="_c", withMean=True, withStd=False).fit(train)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centre.transform(train))
-    done = model.transform(centre.transform(vec(df))).withColumn(out, vector_to_array("_p")).drop("_x", "_c", "_p")
-    return done, float(model.explainedVariance.toArray().sum())
+    """(``df`` with its first k principal coordinates, explained share); centred on the rows it is fitted on. A null has none.
+
+    Two passes over the rows it is fitted on: means, then centred products. The driver gets a row for each pair of dimensions.
+    """
+    train = df if fit_on is None else fit_on
+    sums = moments(train, column)
+    n, d = sums.pop((-1, -1), 0), len(sums)
+    if n < 2 or k > d:
+        raise ValueError(f"{k} components of {int(n)} rows in {d} dimensions")
+    mean = np.array([sums[i, -1] for i in range(d)]) / n
+    products = moments(train, column, mean)
+    axes, variances, _ = np.linalg.svd(np.array([[products[i, j] for j in range(d)] for i in range(d)]) / (n - 1))
+    axes = axes[:, :k]
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        there = x.notna()
+        found = iter((np.stack(x[there].to_list()) - mean) @ axes if there.any() else [])
+        return pd.Series([next(found) if t else None for t in there])
+
+    return df.withColumn(out, project(F.col(column).cast("array<double>"))), float(variances[:k].sum() / variances.sum())
 
 
 # The tuned parameters of the models on raw features, on embeddings and on both.

@@ -333,7 +333,20 @@ add("pca_project", lambda s, d: fe.pca(vectors(s, d), 8)[0].select("row_id", "pc
 add("embed_txn", on_typed(lambda t: fe.embed(fitted().encode(t, 128))))
 add("embed_seq", lambda s, d: fe.embed(tk.encode_text(fitted().corpus(typed(s, d), 4).withColumn("seq", F.concat_ws("-", "user", "card", "chunk_id")), fitted().vocab_table(s), ["seq"]), key="seq"))
 add("embed_attention", on_typed(lambda t: embed_with(fitted().encode(t, 16), CausalAttention(fitted().vocab_size()), "last", 16)))
-add("embed_project_2d", lambda s, d: fe.pca(fe.embed(fitted().encode(typed(s, d), 128)), 2)[0].select("row_id", "pca"))
+
+
+def embed_project_2d(s: SparkSession, d: str) -> DataFrame:
+    """Ids are encoded once and kept, without padding, which vectors do not depend on; the passes of the fit embed them anew.
+
+    Rows are dealt to all cores first, as few row groups are few tasks.
+    """
+    pipeline = fitted()
+    tasks = max(s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions")))
+    ids = kept(pipeline.encode(typed(s, d).repartition(tasks, "row_id"), len(pipeline.steps) + 2))
+    return fe.pca(fe.embed(ids), 2)[0].select("row_id", "pca")
+
+
+add("embed_project_2d", embed_project_2d)
 
 
 add("embed_layout", lambda s, d: layout(vectors(s, d)))

@@ -3,6 +3,7 @@
 import os
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,28 @@ def test_stream_expires(spark, tmp_path):
     batches = [[(1, 0, 0, 1000), (2, 0, 1, 1000)], [(2, 0, 2, 5000)], [(2, 0, 3, 5010)], [(1, 0, 4, 5020), (2, 0, 5, 5020)]]
     got = streamed(spark, tmp_path, batches, "expired", delay="10 seconds", expire_s=600)
     assert got == {0: (0, 0, 0, False), 1: (0, 0, 0, False), 2: (4000, 1, 0, False), 3: (10, 2, 1, False), 4: (0, 0, 0, False), 5: (10, 3, 1, False)}
+
+
+def test_pca_is_that_of_ml_in_two_passes(spark):
+    """Coordinates up to the axes' signs and the explained share are Spark ML's; the rows are read twice for the fit."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("vec_id", "embedding").filter("embedding IS NOT NULL")
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got, share = fe.pca(df.mapInArrow(run, df.schema), 4)
+    assert seen.value == 2 * df.count()
+    x = df.withColumn("_x", array_to_vector(F.col("embedding").cast("array<double>")))
+    x = StandardScaler(inputCol="_x", outputCol="_c", withMean=True, withStd=False).fit(x).transform(x)
+    model = PCA(k=4, inputCol="_c", outputCol="_p").fit(x)
+    want = np.array([r.p for r in model.transform(x).select("vec_id", vector_to_array("_p").alias("p")).orderBy("vec_id").collect()])
+    own = np.array([r.pca for r in got.orderBy("vec_id").collect()])
+    print("signs", np.sign((own * want).sum(axis=0)))
+    assert np.allclose(own, want * np.sign((own * want).sum(axis=0)), atol=1e-8)
+    assert share == pytest.approx(float(model.explainedVariance.toArray().sum()))
