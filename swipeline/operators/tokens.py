@@ -9,6 +9,7 @@ from dataclasses import replace
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 from pyspark.sql.window import Window
 
 from swipeline.functions import clean
@@ -51,6 +52,23 @@ def time_delta() -> Column:
     return F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0)).cast("long")
 
 
+def placed_by_day(df: DataFrame) -> DataFrame:
+    """Adds ``pos``, a row's place from 0 in the order of its account: its place within the account's day and the rows of the account's days before.
+
+    No task holds more of an account than a day, however long its history; what is summed up by account is a row a day. ``df`` is read twice, so it must
+    give the same rows again.
+    """
+    time = F.col("time_full")
+    # Of a time with a zone the day is counted from 1970: clocks that go back over midnight would put a later row on an earlier date.
+    day = F.to_date(time) if df.schema["time_full"].dataType == TimestampNTZType() else F.floor(F.unix_seconds(time) / 86400)
+    # One struct, as structs with nulls in them are equal.
+    keyed = df.withColumn("_day", F.struct("user", "card", day.alias("day")))
+    earlier = Window.partitionBy("_day.user", "_day.card").orderBy("_day.day").rowsBetween(Window.unboundedPreceding, -1)
+    days = keyed.groupBy("_day").agg(F.count("*").alias("_n")).select("_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_day").orderBy("time_full", "row_id")) - 1
+    return keyed.withColumn("_within", within).join(days, "_day").withColumn("pos", F.col("_before") + F.col("_within")).drop("_day", "_before", "_within")
+
+
 def default_steps(buckets: int = 2000, time_bins: int = 0, amount_strategy: str = "fixed", amount_bins: int = 10) -> list[Step]:
     """The twelve steps; amounts have fixed bins, or ``amount_bins`` learned ones by 'quantile', 'uniform' or 'kmeans'."""
     fixed = amount_strategy == "fixed"
@@ -134,12 +152,14 @@ class TokenPipeline:
                 raise ValueError(f"token {bad!r} of step {s.name} holds white space; clean the column's values first")
         return F.concat_ws(" ", *(s.token() for s in self.steps))
 
-    def corpus(self, df: DataFrame, chunk: int = 315) -> DataFrame:
+    def corpus(self, df: DataFrame, chunk: int = 315, long_accounts: bool = False) -> DataFrame:
         """(user, card, chunk_id, n_txn, text): an account's transactions in order, ``chunk`` to a line.
 
-        Lines are collected by account and chunk, so no group is longer than ``chunk``.
+        Lines are collected by account and chunk, so no group is longer than ``chunk``. A window by account places the rows; a table stored by account is not
+        shuffled for it, but an account must fit in a task. With ``long_accounts`` it need not (see ``placed_by_day``), for a shuffle more.
         """
-        rows = df.select("user", "card", "row_id", "time_full", self.text().alias("line")).withColumn("pos", F.row_number().over(account_order()) - 1)
+        rows = df.select("user", "card", "row_id", "time_full", self.text().alias("line"))
+        rows = placed_by_day(rows) if long_accounts else rows.withColumn("pos", F.row_number().over(account_order()) - 1)
         rows = rows.withColumn("chunk_id", F.floor(F.col("pos") / chunk).cast("int"))
         lines = rows.groupBy("user", "card", "chunk_id").agg(F.count("*").cast("int").alias("n_txn"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
         body = F.array_join(F.col("l.line"), " <sep> ")
