@@ -20,6 +20,8 @@ from swipeline.sources.io import normalize_names, read_corpus, require
 NEEDED = ["user", "card", "year", "month", "day", "time", "amount", "use_chip", "merchant_name", "merchant_state", "zip", "mcc"]
 #: Between the names of a table of tokens.
 APART = "\x00"
+#: An account of more rows is not left to one task: a window over as many corpus lines takes a task some 200 MB.
+MOST_ROWS = 1_000_000
 
 
 def preprocess(raw: DataFrame, row_id: str = "row_id", lenient: bool = False, zip_width: int | None = None, gaps: bool = True) -> DataFrame:
@@ -52,8 +54,19 @@ def time_delta() -> Column:
     return F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0)).cast("long")
 
 
+def placed(df: DataFrame, long_accounts: bool | None = None) -> DataFrame:
+    """Adds ``pos``, a row's place from 0 in the order of its account.
+
+    A window by account does it where accounts fit in a task, without a shuffle if the table is stored by account; where accounts are long, ``placed_by_day``.
+    If ``long_accounts`` is not given, a first job counts the rows of accounts: more than ``MOST_ROWS`` make a long one.
+    """
+    if long_accounts is None:
+        long_accounts = (df.groupBy("user", "card").count().agg(F.max("count")).first()[0] or 0) > MOST_ROWS
+    return placed_by_day(df) if long_accounts else df.withColumn("pos", F.row_number().over(account_order()) - 1)
+
+
 def placed_by_day(df: DataFrame) -> DataFrame:
-    """Adds ``pos``, a row's place from 0 in the order of its account: its place within the account's day and the rows of the account's days before.
+    """``placed`` for accounts of any length: ``pos`` is a row's place within the account's day and the rows of the account's days before.
 
     No task holds more of an account than a day, however long its history; what is summed up by account is a row a day. ``df`` is read twice, so it must
     give the same rows again.
@@ -152,14 +165,12 @@ class TokenPipeline:
                 raise ValueError(f"token {bad!r} of step {s.name} holds white space; clean the column's values first")
         return F.concat_ws(" ", *(s.token() for s in self.steps))
 
-    def corpus(self, df: DataFrame, chunk: int = 315, long_accounts: bool = False) -> DataFrame:
+    def corpus(self, df: DataFrame, chunk: int = 315, long_accounts: bool | None = None) -> DataFrame:
         """(user, card, chunk_id, n_txn, text): an account's transactions in order, ``chunk`` to a line.
 
-        Lines are collected by account and chunk, so no group is longer than ``chunk``. A window by account places the rows; a table stored by account is not
-        shuffled for it, but an account must fit in a task. With ``long_accounts`` it need not (see ``placed_by_day``), for a shuffle more.
+        Lines are collected by account and chunk, so no group is longer than ``chunk``; for ``long_accounts`` see ``placed``.
         """
-        rows = df.select("user", "card", "row_id", "time_full", self.text().alias("line"))
-        rows = placed_by_day(rows) if long_accounts else rows.withColumn("pos", F.row_number().over(account_order()) - 1)
+        rows = placed(df.select("user", "card", "row_id", "time_full", self.text().alias("line")), long_accounts)
         rows = rows.withColumn("chunk_id", F.floor(F.col("pos") / chunk).cast("int"))
         lines = rows.groupBy("user", "card", "chunk_id").agg(F.count("*").cast("int").alias("n_txn"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
         body = F.array_join(F.col("l.line"), " <sep> ")

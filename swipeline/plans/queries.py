@@ -132,8 +132,8 @@ add("decode", lambda s, d: tk.decode(fitted().encode(typed(s, d), 16), fitted(),
 add("encode_text", lambda s, d: tk.encode_text(typed(s, d).select("row_id", F.concat(fitted().text(), F.lit(" ?")).alias("text")), fitted().vocab_table(s), ["row_id"]), "SELECT row_id, list_append(ids, 4) AS input_ids FROM ids", o.TXN, o.CLEAN, o.IDS)
 add("vocab_lookup_join", lambda s, d: fitted().transform(typed(s, d), "row_id").select("row_id", C("merch_hash").alias("token")).join(F.broadcast(fitted().vocab_table(s).select("token", "id")), "token", "left").select("row_id", F.coalesce("id", F.lit(4)).alias("id")), "SELECT row_id, ids[2] AS id FROM ids", o.TXN, o.CLEAN, o.IDS)
 POSITION = 'SELECT row_id, (row_number() OVER (PARTITION BY "user", card ORDER BY time_full, row_id) - 1)::INT AS'
-add("seq_position", on_typed(lambda t: t.select("row_id", (F.row_number().over(tk.account_order()) - 1).alias("pos"))), f"{POSITION} pos FROM clean", o.TXN, o.CLEAN)
-add("chunk_id", on_typed(lambda t: t.select("row_id", F.floor((F.row_number().over(tk.account_order()) - 1) / 4).cast("int").alias("chunk_id"))), f"SELECT row_id, (pos // 4)::INT AS chunk_id FROM ({POSITION} pos FROM clean)", o.TXN, o.CLEAN)
+add("seq_position", on_typed(lambda t: tk.placed(t).select("row_id", C("pos").cast("int"))), f"{POSITION} pos FROM clean", o.TXN, o.CLEAN)
+add("chunk_id", on_typed(lambda t: tk.placed(t).select("row_id", F.floor(C("pos") / 4).cast("int").alias("chunk_id"))), f"SELECT row_id, (pos // 4)::INT AS chunk_id FROM ({POSITION} pos FROM clean)", o.TXN, o.CLEAN)
 SEQ = (*TOKENS, o.LINE, o.CORPUS)
 add("corpus_lines", on_typed(lambda t: fitted().corpus(t, 4)), "SELECT * FROM corpus", *SEQ)
 add("corpus_lines_full", on_typed(lambda t: fitted().corpus(t, 315)), "SELECT * FROM corpus", *TOKENS, o.LINE, o.CORPUS.replace("pos // 4", "pos // 315"))

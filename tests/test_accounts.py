@@ -55,3 +55,14 @@ def test_lines_are_those_of_the_window(spark, chunk):
     plain, dealt = (sorted(map(tuple, pipeline.corpus(queries.typed(spark, SF), chunk, long_accounts=x).collect())) for x in (False, True))
     assert plain == dealt
     assert pipeline.corpus(queries.typed(spark, SF).limit(0), chunk, long_accounts=True).collect() == []
+
+
+@pytest.mark.parametrize("name", ["corpus_lines", "corpus_lines_full", "corpus_count", "corpus_stats", "corpus_bucketed", "embed_seq", "seq_position", "chunk_id"])
+def test_queries_see_long_accounts(spark, monkeypatch, name):
+    """With a long account no query places rows by a window over it, and its result is the same."""
+    plain = sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, SF).collect())
+    used, by_day = [], tk.placed_by_day
+    monkeypatch.setattr(tk, "MOST_ROWS", 0)
+    monkeypatch.setattr(tk, "placed_by_day", lambda df: used.append(1) or by_day(df))
+    df = queries.QUERIES[name](spark, SF)
+    assert used and sorted(str(tuple(r)) for r in df.collect()) == plain
